@@ -1,0 +1 @@
+"""No operator: every private aggregate here answers a bounded table, and none reads a stream."""
