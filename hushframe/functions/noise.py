@@ -96,10 +96,10 @@ class Draw:
 
 @dataclass(frozen=True)
 class SeededNoise:
-    """Reproducible noise: the key of each draw is ``seed|column|stream|group key...``."""
+    """Reproducible noise: each draw is keyed by the seed, the column, a stream number and the group."""
 
     unsafe_seed: str | int
-    algorithm: str = "md5"
+    algorithm: str = "xxhash64"
 
     def add(self, df: DataFrame, draws: Sequence[Draw], keys: Sequence[str] = ()) -> DataFrame:
         """Replace each drawn column by its noisy value."""

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from hushframe.functions.uniform import hash52
 
 RANK = "_rank"
+RANK_IN_TASK = 1000  # spark.sql.optimizer.windowGroupLimitThreshold
+SLICES = 4096
 
 
 @dataclass(frozen=True)
@@ -33,7 +35,7 @@ class PrivacyUnit:
     rows: int = 1
     row_key: tuple[str, ...] = ()
     seed: str | int = 0
-    algorithm: str = "md5"
+    algorithm: str = "xxhash64"
 
     def __post_init__(self) -> None:
         if self.partitions < 1 or self.rows < 1:
@@ -48,10 +50,25 @@ def _order(df: DataFrame, unit: PrivacyUnit) -> list[Column]:
     return [hash52(unit.seed, *key, algorithm=unit.algorithm), *[F.col(c) for c in key]]
 
 
+def _keep_ranked(
+    df: DataFrame, rank: Column, name: str, keys: Sequence[str], k: int, order: Sequence[Column]
+) -> DataFrame:
+    """Rows whose rank among the rows of their key is at most k.
+
+    Spark filters by rank inside the tasks only up to a certain k. For a larger k the rows of a key are
+    first ranked within slices of it, cut by their hash: the first k of the key are among the first k of
+    the slices, and a busy key is spread over many tasks.
+    """
+    if k > RANK_IN_TASK:
+        slices = Window.partitionBy(*keys, F.pmod(order[0], F.lit(SLICES))).orderBy(*order)
+        df = df.withColumn(name, rank.over(slices)).filter(F.col(name) <= F.lit(k)).drop(name)
+    whole = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn(name, rank.over(whole)).filter(F.col(name) <= F.lit(k))
+
+
 def first_rows(df: DataFrame, keys: Sequence[str], k: int, order: Sequence[Column]) -> DataFrame:
-    """At most k rows per key, first in the given order; ``_rank`` keeps the position."""
-    ranked = df.withColumn(RANK, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    return ranked.filter(F.col(RANK) <= F.lit(k))
+    """At most k rows per key, first in the given order (a hash, then ties); ``_rank`` keeps the position."""
+    return _keep_ranked(df, F.row_number(), RANK, keys, k, order)
 
 
 def bound_rows(df: DataFrame, unit: PrivacyUnit, by: Sequence[str] = ()) -> DataFrame:
@@ -60,14 +77,21 @@ def bound_rows(df: DataFrame, unit: PrivacyUnit, by: Sequence[str] = ()) -> Data
     return kept.drop(RANK)
 
 
-def contributed_partitions(df: DataFrame, unit: PrivacyUnit, by: Sequence[str]) -> DataFrame:
-    """Distinct (unit, partition) pairs, at most ``unit.partitions`` per unit.
+def contributed_partitions(
+    df: DataFrame, unit: PrivacyUnit, by: Sequence[str], keyset: DataFrame | None = None
+) -> DataFrame:
+    """Distinct (unit, partition) pairs, at most ``unit.partitions`` per unit, all in the key set if given.
 
     Pairs are made distinct inside each task first, so copies of a hot pair never travel.
     """
     pairs = df.select(unit.column, *by).distinct()
-    order = [hash52(unit.seed, unit.column, *by, algorithm=unit.algorithm), *[F.col(c) for c in by]]
-    return first_rows(pairs, [unit.column], unit.partitions, order).drop(RANK)
+    if keyset is not None:
+        pairs = null_safe_semi_join(pairs, keyset, by)
+    return first_rows(pairs, [unit.column], unit.partitions, _pair_order(unit, by)).drop(RANK)
+
+
+def _pair_order(unit: PrivacyUnit, by: Sequence[str]) -> list[Column]:
+    return [hash52(unit.seed, unit.column, *by, algorithm=unit.algorithm), *[F.col(c) for c in by]]
 
 
 def bound_partitions(df: DataFrame, unit: PrivacyUnit, by: Sequence[str]) -> DataFrame:
@@ -80,29 +104,53 @@ def bound_partitions(df: DataFrame, unit: PrivacyUnit, by: Sequence[str]) -> Dat
     return null_safe_semi_join(df, keep, [unit.column, *by])
 
 
-def bound_contributions(df: DataFrame, unit: PrivacyUnit, by: Sequence[str] = ()) -> DataFrame:
+def bound_contributions(
+    df: DataFrame, unit: PrivacyUnit, by: Sequence[str] = (), keyset: DataFrame | None = None
+) -> DataFrame:
     """Both bounds at once; ``_rank`` = 1 marks one row per (unit, partition).
 
-    Rows are bounded first, so that the partition ranking sees at most ``rows`` rows per pair.
+    Rows are bounded first, so that the key set and the partition ranking see at most ``rows`` rows per
+    pair. Neither changes which rows of a pair are kept.
     """
     kept = first_rows(df, [unit.column, *by], unit.rows, _order(df, unit))
+    return _bound_pairs(kept, unit, by, keyset)
+
+
+def one_value_each(
+    df: DataFrame, value: str, unit: PrivacyUnit, by: Sequence[str] = (), keyset: DataFrame | None = None
+) -> DataFrame:
+    """``bound_contributions`` for one row per pair, when only ``value`` is needed of it.
+
+    The row with the smallest hash is found by a hash aggregate, without sorting the table.
+    """
+    first = _order(df, unit)[0]
+    kept = df.groupBy(unit.column, *by).agg(F.min_by(value, first).alias(value))
+    return _bound_pairs(kept.withColumn(RANK, F.lit(1)), unit, by, keyset)
+
+
+def _bound_pairs(kept: DataFrame, unit: PrivacyUnit, by: Sequence[str], keyset: DataFrame | None) -> DataFrame:
     if not by:
         return kept
-    order = [hash52(unit.seed, unit.column, *by, algorithm=unit.algorithm), *[F.col(c) for c in by]]
-    position = F.dense_rank().over(Window.partitionBy(unit.column).orderBy(*order))
-    return kept.withColumn("_pair", position).filter(F.col("_pair") <= F.lit(unit.partitions)).drop("_pair")
+    if keyset is not None:
+        kept = null_safe_semi_join(kept, keyset, by)
+    pairs = _keep_ranked(kept, F.dense_rank(), "_pair", [unit.column], unit.partitions, _pair_order(unit, by))
+    return pairs.drop("_pair")
 
 
-def truncate_rows(df: DataFrame, keys: Sequence[str], k: int, order_by: Sequence[str], seed: str | int = 0) -> DataFrame:
+def truncate_rows(
+    df: DataFrame, keys: Sequence[str], k: int, order_by: Sequence[str], seed: str | int = 0, algorithm: str = "xxhash64"
+) -> DataFrame:
     """At most k rows per key, in hash order of ``order_by``."""
-    order = [hash52(seed, *order_by), *[F.col(c) for c in order_by]]
+    order = [hash52(seed, *order_by, algorithm=algorithm), *[F.col(c) for c in order_by]]
     return first_rows(df, keys, k, order).drop(RANK)
 
 
-def truncate_groups(df: DataFrame, keys: Sequence[str], groups: Sequence[str], k: int, seed: str | int = 0) -> DataFrame:
+def truncate_groups(
+    df: DataFrame, keys: Sequence[str], groups: Sequence[str], k: int, seed: str | int = 0, algorithm: str = "xxhash64"
+) -> DataFrame:
     """All rows of at most k groups per key, e.g. at most k orders per customer."""
     pairs = df.select(*keys, *groups).distinct()
-    order = [hash52(seed, *keys, *groups), *[F.col(c) for c in groups]]
+    order = [hash52(seed, *keys, *groups, algorithm=algorithm), *[F.col(c) for c in groups]]
     keep = first_rows(pairs, keys, k, order).drop(RANK)
     return null_safe_semi_join(df, keep, [*keys, *groups])
 

@@ -43,7 +43,7 @@ def grouped_symmetric_difference(
     a: DataFrame, b: DataFrame, keyset: DataFrame, keys: Sequence[str]
 ) -> DataFrame:
     """The same within the groups of a key set: differing rows, and groups that differ at all."""
-    nets = net_rows(restrict_to_keys(a, keyset, keys), restrict_to_keys(b, keyset, keys))
+    nets = restrict_to_keys(net_rows(a, b), keyset, keys)
     per_group = nets.groupBy(*keys).agg(F.sum(_gap()).alias("_rows"))
     return per_group.agg(
         F.coalesce(F.sum("_rows"), F.lit(0)).alias("row_distance"),

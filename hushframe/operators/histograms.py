@@ -13,7 +13,7 @@ from hushframe.functions.calibration import scale_for
 from hushframe.functions.noise import Draw, Noise
 from hushframe.functions.scalars import check_bounds
 from hushframe.operators.bounding import PrivacyUnit
-from hushframe.operators.keysets import fill_keyset
+from hushframe.operators.keysets import aggregate_on_keyset, private_rows
 from hushframe.operators.private import select_partitions
 
 MAX_CELLS = 10_000_000
@@ -44,11 +44,10 @@ class Axis:
         return F.when(inside, F.least(at, F.lit(self.bins - 1)).cast("bigint"))
 
 
-def bin_counts(df: DataFrame, axes: Sequence[Axis], by: Sequence[str] = ()) -> DataFrame:
-    """Exact counts of the non-empty cells, ``bin_0``, ``bin_1``, ..."""
+def cells_of(df: DataFrame, axes: Sequence[Axis], by: Sequence[str] = ()) -> DataFrame:
+    """The cell ``bin_0``, ``bin_1``, ... of each row that lies on the grid."""
     names = [f"bin_{i}" for i in range(len(axes))]
-    cells = df.select(*by, *[a.index().alias(n) for a, n in zip(axes, names)]).dropna(subset=names)
-    return cells.groupBy(*by, *names).agg(F.count(F.lit(1)).alias("count"))
+    return df.select(*by, *[a.index().alias(n) for a, n in zip(axes, names)]).dropna(subset=names)
 
 
 def full_grid(df: DataFrame, axes: Sequence[Axis]) -> DataFrame:
@@ -72,7 +71,7 @@ def dp_histogramdd(
     With the public n the counts are given as frequencies as well.
     """
     names = [f"bin_{i}" for i in range(len(axes))]
-    exact = fill_keyset(full_grid(df, axes), bin_counts(df, axes), names, {"count": 0})
+    exact = aggregate_on_keyset(cells_of(df, axes), full_grid(df, axes), names, {"count": private_rows()})
     noisy = noise.add(exact, [Draw("count", "geometric", scale_for(float(influence), epsilon))], names)
     edges = {
         f"edge_{i}": F.lit(float(a.low)) + F.col(f"bin_{i}") * F.lit(a.width) for i, a in enumerate(axes)
@@ -94,7 +93,7 @@ def dp_sparse_histogram(
 ) -> DataFrame:
     """Found cells of a grid that is too large to list: paid for with delta."""
     names = [f"bin_{i}" for i in range(len(axes))]
-    cells = df.select(unit.column, *[a.index().alias(n) for a, n in zip(axes, names)]).dropna(subset=names)
+    cells = cells_of(df, axes, [unit.column])
     return select_partitions(cells, unit, names, epsilon, delta, noise)
 
 
@@ -117,7 +116,8 @@ def dp_quantiles(
     if by:
         grid = keyset.select(*by).withColumn("bin_0", F.explode(F.sequence(F.lit(0), F.lit(axis.bins - 1))))
         grid = grid.withColumn("bin_0", F.col("bin_0").cast("bigint"))
-    counts = fill_keyset(grid, bin_counts(df, [axis], by), [*by, "bin_0"], {"count": 0})
+    cells = cells_of(df, [axis], by)
+    counts = aggregate_on_keyset(cells, grid, [*by, "bin_0"], {"count": private_rows()})
     group = Window.partitionBy(*by)
     upto = F.sum("count").over(group.orderBy("bin_0"))
     total = F.sum("count").over(group)

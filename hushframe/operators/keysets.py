@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from hushframe.operators.bounding import null_safe_semi_join, truncate_rows
 
 MAX_LITERAL_KEYS = 4096
+MARKER = "_listed"
 
 
 def join_public(df: DataFrame, public: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -36,10 +37,11 @@ def join_private(
     left_order: Sequence[str],
     right_order: Sequence[str],
     seed: str | int = 0,
+    algorithm: str = "xxhash64",
 ) -> DataFrame:
     """Join two private tables after keeping at most so many rows per key on each side."""
-    a = truncate_rows(left, on, left_rows, left_order, seed)
-    b = truncate_rows(right, on, right_rows, right_order, seed)
+    a = truncate_rows(left, on, left_rows, left_order, seed, algorithm)
+    b = truncate_rows(right, on, right_rows, right_order, seed, algorithm)
     return a.join(b, list(on), "inner")
 
 
@@ -48,17 +50,25 @@ def restrict_to_keys(df: DataFrame, keyset: DataFrame, keys: Sequence[str]) -> D
     return null_safe_semi_join(df, keyset, keys)
 
 
-def fill_keyset(
-    keyset: DataFrame, grouped: DataFrame, keys: Sequence[str], zeros: Mapping[str, object]
+def aggregate_on_keyset(
+    df: DataFrame, keyset: DataFrame, keys: Sequence[str], aggregates: Mapping[str, Column]
 ) -> DataFrame:
-    """One row per public key: the aggregated row, or zeros where no private row has the key."""
-    right = grouped.withColumnsRenamed({k: f"_key_{k}" for k in keys})
-    condition: Column | None = None
-    for k in keys:
-        same = keyset[k].eqNullSafe(right[f"_key_{k}"])
-        condition = same if condition is None else condition & same
-    joined = keyset.join(right, condition, "left").drop(*[f"_key_{k}" for k in keys])
-    return joined.withColumns({c: F.coalesce(F.col(c), F.lit(z)) for c, z in zeros.items()})
+    """Exactly one row per public key, also for keys that no private row has.
+
+    The keys are stacked below the private rows as markers and grouped with them: one shuffle, no join,
+    NULL is a key like any other, and a key that was listed twice is still released once. Aggregates must
+    not see the markers: use ``private_rows()`` to count, and functions that skip NULL otherwise.
+    """
+    markers = keyset.select(*keys).withColumn(MARKER, F.lit(1))
+    stacked = df.withColumn(MARKER, F.lit(0)).unionByName(markers, allowMissingColumns=True)
+    listed = F.max(MARKER).alias(MARKER)
+    grouped = stacked.groupBy(*keys).agg(*[c.alias(n) for n, c in aggregates.items()], listed)
+    return grouped.filter(F.col(MARKER) == 1).drop(MARKER)
+
+
+def private_rows() -> Column:
+    """Number of rows that are no markers of ``aggregate_on_keyset``."""
+    return F.count(F.when(F.col(MARKER) == 0, 1))
 
 
 def declared_keys(spark: SparkSession, domains: Mapping[str, Sequence[object]]) -> DataFrame:

@@ -22,8 +22,9 @@ from hushframe.operators.bounding import (
     PrivacyUnit,
     bound_contributions,
     contributed_partitions,
+    one_value_each,
 )
-from hushframe.operators.keysets import fill_keyset, restrict_to_keys
+from hushframe.operators.keysets import aggregate_on_keyset, private_rows
 
 METRICS = ("count", "privacy_id_count", "sum", "mean", "variance", "std")
 
@@ -97,20 +98,19 @@ def _split(metrics: Sequence[str], epsilon: float, weights: Mapping[str, float]
 
 def _moments(df, metrics, value, low, high, by, keyset, selection, unit, grid) -> DataFrame:
     """Exact bounded moments, one row per key, named ``<metric>_<moment>``."""
-    if by and keyset is not None and unit.column is not None:
-        df = restrict_to_keys(df, keyset, by)
     v = F.col(value) if isinstance(value, str) else value
     needed = [*by] if unit.column is None else [*by, unit.column, *unit.row_key]
-    clamped = [] if value is None else [clamp(v, low, high).alias("_value")]
-    df = df.select(*dict.fromkeys(needed), *clamped)
-    if unit.column is not None:
-        df = bound_contributions(df, unit, by)
-
+    clamped = (F.lit(None).cast("double") if value is None else clamp(v, low, high)).alias("_value")
+    df = df.select(*dict.fromkeys(needed), clamped)
+    if unit.column is not None and unit.rows == 1:
+        df = one_value_each(df, "_value", unit, by, keyset)
+    elif unit.column is not None:
+        df = bound_contributions(df, unit, by, keyset)
+
+    on_keyset = bool(by) and keyset is not None
+    rows = private_rows() if on_keyset else F.count(F.lit(1))
     x = F.col("_value")
-    columns = {
-        "rows": F.count(F.lit(1)),
-        "ids": F.sum(F.when(F.col(RANK) == 1, 1).otherwise(0)) if unit.column else F.count(F.lit(1)),
-    }
+    columns = {"rows": rows, "ids": F.count(F.when(F.col(RANK) == 1, 1)) if unit.column else rows}
     zeros = {"rows": 0, "ids": 0, "n": 0, "sum": Decimal(0) if grid else 0.0, "m1": 0.0, "m2": 0.0}
     if value is not None:
         centred = x - F.lit((low + high) / 2.0)
@@ -120,16 +120,16 @@ def _moments(df, metrics, value, low, high, by, keyset, selection, unit, grid) -
             columns["sum"] = F.sum(F.round(x / F.lit(grid)).cast("decimal(18,0)")).cast("decimal(38,0)")
         else:
             columns["sum"] = F.sum(x)
-    aggregates, fill = [], {}
+    aggregates = {}
     for metric in metrics:
         for moment in MOMENTS[metric]:
-            name = f"{metric}_{moment}"
-            fill[name] = zeros[moment]
-            aggregates.append(F.coalesce(columns[moment], F.lit(zeros[moment])).alias(name))
-    if selection is not None and keyset is None:
-        aggregates.append(columns["ids"].alias("selected_ids"))
-    grouped = df.groupBy(*by).agg(*aggregates)
-    return fill_keyset(keyset.select(*by), grouped, by, fill) if by and keyset is not None else grouped
+            aggregates[f"{metric}_{moment}"] = F.coalesce(columns[moment], F.lit(zeros[moment]))
+    if selection is not None and not on_keyset:
+        aggregates["selected_ids"] = columns["ids"]
+    if on_keyset:
+        used = [c for c in (*by, "_value", RANK) if c in df.columns]
+        return aggregate_on_keyset(df.select(*used), keyset, by, aggregates)
+    return df.groupBy(*by).agg(*[c.alias(n) for n, c in aggregates.items()])
 
 
 def _draws(metrics, shares, low, high, by, unit, count_mechanism, grid) -> list[Draw]:
@@ -220,12 +220,11 @@ def dp_privacy_id_count(
     """
     if by and keyset is None:
         raise ValueError("groups need a public keyset; use select_partitions for found keys")
-    if keyset is not None:
-        df = restrict_to_keys(df, keyset, by)
-    pairs = contributed_partitions(df, unit, by) if by else df.select(unit.column).distinct()
-    exact = pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("privacy_id_count"))
     if by:
-        exact = fill_keyset(keyset.select(*by), exact, by, {"privacy_id_count": 0})
+        pairs = contributed_partitions(df, unit, by, keyset).select(*by)
+        exact = aggregate_on_keyset(pairs, keyset, by, {"privacy_id_count": private_rows()})
+    else:
+        exact = df.select(unit.column).distinct().agg(F.count(F.lit(1)).alias("privacy_id_count"))
     partitions = unit.partitions if by else 1
     draw = Draw("privacy_id_count", "geometric", scale_for(float(partitions), epsilon))
     return noise.add(exact, [draw], by)

@@ -2,55 +2,72 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from hushframe.functions.calibration import scale_for
 from hushframe.functions.noise import Draw, Noise
 from hushframe.functions.scalars import check_bounds, clamp
 from hushframe.functions.uniform import hash52
+from hushframe.plans.materialise import materialise
 
 HASH_BITS = 52
 LEVEL_BITS = 16
 
 
-def hash_sample(df: DataFrame, n: int, seed: str | int = 0, algorithm: str = "md5") -> DataFrame:
+def hash_sample(df: DataFrame, n: int, seed: str | int = 0, algorithm: str = "xxhash64") -> DataFrame:
     """Exactly the first n rows in hash order of all columns, or the whole table if it is shorter.
 
-    No global sort. Counts per leading hash bits find the bucket in which the n-th row lies, finer
-    bits find the position in it, and the sample is then a filter on the hash. Each round brings one
-    row to the driver. Equal rows share a hash: of such a group, part is cut as a number, not as rows.
+    No global sort. Counts per leading hash bits find the bucket in which the n-th row lies; the
+    distinct hashes of that one bucket are written, and finer bits find the position among them. The
+    sample is then a filter on the hash. Each round brings one row to the driver. Equal rows share a
+    hash: of such a group, part is cut as a number, not as rows.
     """
     kept, _ = _cut(df, n, seed, algorithm)
     return kept
 
 
+def _crossing(counts: DataFrame, n: int, before: int) -> Row:
+    """Total of the buckets, and the first bucket with which ``n`` rows are reached.
+
+    ``counts`` holds at most 2^16 buckets, one row each, so they may be ordered in one place.
+    """
+    upto = F.sum("_rows").over(Window.orderBy("_bucket")) + F.lit(before)
+    running = counts.select("_bucket", "_rows", upto.alias("_upto"))
+    at = F.min(F.when(F.col("_upto") >= n, F.struct("_bucket", "_upto", "_rows")))
+    return running.agg(F.max("_upto").alias("total"), at.alias("at")).first()
+
+
 def _cut(df: DataFrame, n: int, seed: str | int, algorithm: str) -> tuple[DataFrame, int]:
+    """The sample and its size."""
     if n < 1:
         raise ValueError(f"declared size must be at least 1, got {n}")
     order = hash52(seed, *df.columns, algorithm=algorithm)
     hashed = df.select(order.alias("_hash"))
-    low, before, width = 0, 0, HASH_BITS
-    total = None
+    width = HASH_BITS - LEVEL_BITS
+    buckets = hashed.groupBy(F.shiftright("_hash", width).alias("_bucket"))
+    found = _crossing(buckets.agg(F.count(F.lit(1)).alias("_rows")), n, 0)
+    if found["at"] is None:
+        return df, found["total"] or 0
+    low = found["at"]["_bucket"] << width
+    before = found["at"]["_upto"] - found["at"]["_rows"]
+    if found["at"]["_upto"] == n:
+        return df.filter(order < F.lit(low + (1 << width))), n
+
+    inside = (F.col("_hash") >= F.lit(low)) & (F.col("_hash") < F.lit(low + (1 << width)))
+    hashes = hashed.filter(inside).groupBy("_hash").agg(F.count(F.lit(1)).alias("_rows"))
+    hashes = materialise(hashes, "hashes")
     while width > 0:
-        inside = hashed.filter((F.col("_hash") >= low) & (F.col("_hash") < low + (1 << width)))
+        inside = (F.col("_hash") >= F.lit(low)) & (F.col("_hash") < F.lit(low + (1 << width)))
         width = max(width - LEVEL_BITS, 0)
-        step = 1 << width
         bucket = F.shiftright(F.col("_hash") - F.lit(low), width)
-        counts = inside.groupBy(bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("_rows"))
-        # at most 2^16 buckets, one row each
-        upto = F.sum("_rows").over(Window.orderBy("_bucket")) + F.lit(before)
-        running = counts.select("_bucket", "_rows", upto.alias("_upto"))
-        crossing = F.min(F.when(F.col("_upto") >= n, F.struct("_bucket", "_upto", "_rows")))
-        found = running.agg(F.max("_upto").alias("total"), crossing.alias("at")).first()
-        if total is None:
-            total = found["total"] or 0
-        if found["at"] is None:
-            return df, total
-        low += found["at"]["_bucket"] * step
-        before = found["at"]["_upto"] - found["at"]["_rows"]
-        if found["at"]["_upto"] == n:
-            return df.filter(order < F.lit(low + step)), n
+        finer = hashes.filter(inside).groupBy(bucket.alias("_bucket"))
+        at = _crossing(finer.agg(F.sum("_rows").alias("_rows")), n, before)["at"]
+        low += at["_bucket"] << width
+        before = at["_upto"] - at["_rows"]
+        if at["_upto"] == n:
+            return df.filter(order < F.lit(low + (1 << width))), n
+
     # Rows with the hash ``low`` are copies of one row, or a rare collision of a few different ones.
     kept = df.filter(order < F.lit(low))
     ties = df.filter(order == F.lit(low)).groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_copies"))
@@ -66,7 +83,7 @@ def _cut(df: DataFrame, n: int, seed: str | int, algorithm: str) -> tuple[DataFr
 
 def resize(
     df: DataFrame, c: str, n: int, constant: float, low: float, high: float,
-    seed: str | int = 0, algorithm: str = "md5",
+    seed: str | int = 0, algorithm: str = "xxhash64",
 ) -> DataFrame:
     """Clamp a column and make the table exactly n rows: sample down, or pad with a constant.
 
@@ -103,7 +120,7 @@ def _sized_moments(df, c, low, high, n, constant, seed, algorithm) -> DataFrame:
 
 def dp_sum_sized(
     df: DataFrame, c: str, low: float, high: float, n: int, epsilon: float, noise: Noise, *,
-    constant: float | None = None, seed: str | int = 0, algorithm: str = "md5",
+    constant: float | None = None, seed: str | int = 0, algorithm: str = "xxhash64",
 ) -> DataFrame:
     """Private sum of n declared rows: changing one row moves it by at most high - low."""
     constant = low if constant is None else constant
@@ -115,7 +132,7 @@ def dp_sum_sized(
 
 def dp_mean_sized(
     df: DataFrame, c: str, low: float, high: float, n: int, epsilon: float, noise: Noise, *,
-    constant: float | None = None, seed: str | int = 0, algorithm: str = "md5",
+    constant: float | None = None, seed: str | int = 0, algorithm: str = "xxhash64",
 ) -> DataFrame:
     """Private mean of n declared rows."""
     constant = low if constant is None else constant
@@ -133,7 +150,7 @@ def variance_sensitivity(low: float, high: float, n: int, ddof: int = 0) -> floa
 
 def dp_variance_sized(
     df: DataFrame, c: str, low: float, high: float, n: int, epsilon: float, noise: Noise, *,
-    ddof: int = 0, constant: float | None = None, seed: str | int = 0, algorithm: str = "md5",
+    ddof: int = 0, constant: float | None = None, seed: str | int = 0, algorithm: str = "xxhash64",
 ) -> DataFrame:
     """Private variance of n declared rows, population (ddof 0) or sample (ddof 1)."""
     if n < 2:

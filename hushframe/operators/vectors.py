@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hushframe.functions.calibration import scale_for
 from hushframe.functions.noise import Draw, Noise
 from hushframe.operators.bounding import ROW, PrivacyUnit, bound_rows
+from hushframe.operators.keysets import aggregate_on_keyset
 
 
 def vector_norm(c: Column | str, norm: str) -> Column:
@@ -33,9 +34,9 @@ def vector_sum(df: DataFrame, c: str, dim: int, clip: float, norm: str = "l2") -
     """
     scaled = df.select(F.col(c).alias("_v"), clip_factor(c, norm, clip).alias("_factor"))
     parts = scaled.select("_factor", F.posexplode("_v").alias("pos", "_x"))
-    sums = parts.groupBy("pos").agg(F.sum(F.col("_x").cast("double") * F.col("_factor")).alias("value"))
+    parts = parts.select("pos", (F.col("_x").cast("double") * F.col("_factor")).alias("_x"))
     grid = df.sparkSession.range(dim).select(F.col("id").cast("int").alias("pos"))
-    return grid.join(sums, "pos", "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
+    return aggregate_on_keyset(parts, grid, ["pos"], {"value": F.coalesce(F.sum("_x"), F.lit(0.0))})
 
 
 def dp_vector_sum(

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from hushframe.functions.calibration import scale_for
 from hushframe.functions.noise import Draw, Noise
 from hushframe.functions.scalars import label
-from hushframe.operators.keysets import fill_keyset
+from hushframe.operators.bounding import null_safe_semi_join
+from hushframe.operators.keysets import aggregate_on_keyset
 from hushframe.plans.materialise import materialise
 
 
@@ -36,8 +37,8 @@ def two_phase_count(
     """
     extra = [c for c in fine if c not in coarse]
     cells = materialise(df.groupBy(*fine).agg(F.count(F.lit(1)).alias("n")), "cells")
-    coarse_counts = cells.groupBy(*coarse).agg(F.sum("n").alias("n"))
-    coarse_counts = fill_keyset(coarse_keyset.select(*coarse), coarse_counts, coarse, {"n": 0})
+    count = {"n": F.coalesce(F.sum("n"), F.lit(0))}
+    coarse_counts = aggregate_on_keyset(cells.select(*coarse, "n"), coarse_keyset, coarse, count)
 
     first_scale = scale_for(float(influence), total_rho * coarse_share, "zcdp")
     second_scale = scale_for(float(influence), total_rho * (1.0 - coarse_share), "zcdp")
@@ -48,16 +49,18 @@ def two_phase_count(
         *coarse, label(F.col("coarse_count") < F.lit(threshold), "true", "false").alias("under_threshold")
     )
 
-    small = coarse_counts.join(labelled.filter("under_threshold = 'true'"), list(coarse))
-    small = small.withColumnRenamed("n", "small_count")
+    small_keys = labelled.filter("under_threshold = 'true'").drop("under_threshold")
+    small = null_safe_semi_join(coarse_counts, small_keys, coarse).withColumnRenamed("n", "small_count")
     small = noise.add(small, [Draw("small_count", "discrete_gaussian", second_scale)], coarse)
 
-    wanted = fine_keyset.select(*fine).join(labelled.filter("under_threshold = 'false'"), list(coarse))
-    large = fill_keyset(wanted, cells.select(*fine, "n"), fine, {"n": 0})
-    large = large.withColumnRenamed("n", "large_count")
+    large_keys = labelled.filter("under_threshold = 'false'").drop("under_threshold")
+    wanted = null_safe_semi_join(fine_keyset.select(*fine), large_keys, coarse)
+    large = aggregate_on_keyset(cells, wanted, fine, count).withColumnRenamed("n", "large_count")
     large = noise.add(large, [Draw("large_count", "discrete_gaussian", second_scale)], fine)
 
     missing = [F.lit(None).cast(fine_keyset.schema[c].dataType).alias(c) for c in extra]
-    return small.select(
-        *coarse, *missing, "under_threshold", F.col("small_count").alias("count")
-    ).unionByName(large.select(*fine, "under_threshold", F.col("large_count").alias("count")))
+    under = F.lit("true").alias("under_threshold")
+    over = F.lit("false").alias("under_threshold")
+    return small.select(*coarse, *missing, under, F.col("small_count").alias("count")).unionByName(
+        large.select(*fine, over, F.col("large_count").alias("count"))
+    )

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hushframe.functions.calibration import pure_to_zcdp, zcdp_to_epsilon
+from hushframe.plans.materialise import materialise
 
 SPENDS = "session string, partition string, query string, mechanism string, epsilon double, delta double, rho double, ts timestamp"
 EXACT = "decimal(18,12)"
@@ -38,7 +39,7 @@ def first_overrun(spends: DataFrame, limit: float) -> DataFrame:
     """Per session the moment at which its running total first exceeds the limit.
 
     Running totals are taken per day, then per second of the day found, then per instant of the second
-    found. Spends are added up before each window, so that a window orders calendar units and never the
+    found; the spends left after each step are written. Spends are added up before each window, so that a window orders calendar units and never the
     raw spends of a busy session. Sessions within the limit have no row.
     """
     scope = spends.groupBy("session", "ts").agg(F.sum(_exact("epsilon")).alias("_spent"))
@@ -61,7 +62,7 @@ def first_overrun(spends: DataFrame, limit: float) -> DataFrame:
             (F.col("_upto") - F.col("_spent")).cast("decimal(38,12)").alias("_before"),
         )
         inside = scope.drop("_before").withColumn("_open", F.date_trunc(unit, "ts"))
-        scope = inside.join(opening, ["session", "_open"]).drop("_open")
+        scope = materialise(inside.join(opening, ["session", "_open"]).drop("_open"), "overrun")
     raise AssertionError("unreachable")
 
 

@@ -59,7 +59,7 @@ def inverse_normal(p: Column) -> Column:
     )
 
 
-def skew_normal(seed: str | int, scale: Column | float, skew: float, *key: Column | str, algorithm: str = "md5") -> Column:
+def skew_normal(seed: str | int, scale: Column | float, skew: float, *key: Column | str, algorithm: str = "xxhash64") -> Column:
     """Skew-normal value around 0 (Azzalini 1985), rounded half-even to cents."""
     u1 = uniform(seed, F.lit("z1"), *key, algorithm=algorithm)
     u2 = uniform(seed, F.lit("z2"), *key, algorithm=algorithm)
@@ -79,7 +79,7 @@ def truncated_normal(u: Column, mean: float, deviation: float, low: float, high:
     return F.greatest(F.least(value, F.lit(float(high))), F.lit(float(low)))
 
 
-def demographics(seed: str | int, *key: Column | str, algorithm: str = "md5") -> dict[str, Column]:
+def demographics(seed: str | int, *key: Column | str, algorithm: str = "xxhash64") -> dict[str, Column]:
     """Age 0..120, height 50..200 in cents of a unit, income normal(0, 5000) within 3000..15000."""
     def u(what: str) -> Column:
         return uniform(seed, F.lit(what), *key, algorithm=algorithm)

@@ -10,7 +10,7 @@ from hushframe.operators.private import dp_aggregate, dp_count
 from workload.registry import register, table
 from workload.sql import NOISE, SEED, clamp, d, geometric, h52, laplace
 
-USER = B.PrivacyUnit("user_id", partitions=2, rows=3, row_key=("event_id",), seed=SEED)
+USER = B.PrivacyUnit("user_id", partitions=2, rows=3, row_key=("event_id",), seed=SEED, algorithm="md5")
 
 # Rows of at most 2 event types per user, by hash of (user, type).
 BOUNDED_TYPES = f"""
@@ -58,7 +58,7 @@ select o_custkey, o_orderkey, o_totalprice from r where rn <= 4
 """)
 def truncate_rows_per_key(spark, folder):
     orders = table(spark, folder, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
-    return B.truncate_rows(orders, ["o_custkey"], 4, ["o_orderkey"], SEED)
+    return B.truncate_rows(orders, ["o_custkey"], 4, ["o_orderkey"], SEED, "md5")
 
 
 @register(f"""
@@ -69,7 +69,7 @@ select o.o_custkey, o.o_orderkey, o.o_orderpriority from orders o join p using (
 """)
 def truncate_groups_per_key(spark, folder):
     orders = table(spark, folder, "orders").select("o_custkey", "o_orderkey", "o_orderpriority")
-    return B.truncate_groups(orders, ["o_custkey"], ["o_orderpriority"], 2, SEED)
+    return B.truncate_groups(orders, ["o_custkey"], ["o_orderpriority"], 2, SEED, "md5")
 
 
 @register(f"select count(*) + {geometric('count_rows', d(7.0))} as \"count\" from lineitem")

@@ -71,7 +71,7 @@ def dp_histogramdd(spark, folder):
 
 
 DAY = H.Axis("o_day", 0, 4000, 40)
-BUYER = PrivacyUnit("o_custkey", partitions=4, rows=1, row_key=("o_orderkey",), seed=SEED)
+BUYER = PrivacyUnit("o_custkey", partitions=4, rows=1, row_key=("o_orderkey",), seed=SEED, algorithm="md5")
 _COARSE = H.Axis("o_totalprice", 0, 500000, 50)
 
 

@@ -39,7 +39,7 @@ def join_private(spark, folder):
     orders = table(spark, folder, "orders").select("o_custkey", F.col("o_orderkey").alias("orderkey"))
     line = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
     lines = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("orderkey"), *line)
-    return K.join_private(orders, lines, ["orderkey"], 1, 2, ["o_custkey"], line, SEED)
+    return K.join_private(orders, lines, ["orderkey"], 1, 2, ["o_custkey"], line, SEED, "md5")
 
 
 @register(f"""

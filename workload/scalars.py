@@ -59,7 +59,7 @@ select l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity from r where r
 def sample_to_size(spark, folder):
     n = 3 * table(spark, folder, "orders").count()
     columns = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"]
-    return hash_sample(table(spark, folder, "lineitem").select(*columns), n, SEED)
+    return hash_sample(table(spark, folder, "lineitem").select(*columns), n, SEED, "md5")
 
 
 @register(f"""
@@ -71,7 +71,7 @@ select l_returnflag, l_quantity, count(*) as n from kept group by all
 def sample_many_equal_rows(spark, folder):
     n = 3 * table(spark, folder, "orders").count()
     rows = table(spark, folder, "lineitem").select("l_returnflag", "l_quantity")
-    sized = resize(rows, "l_quantity", n, 5.0, 5.0, 40.0, SEED)
+    sized = resize(rows, "l_quantity", n, 5.0, 5.0, 40.0, SEED, "md5")
     return sized.groupBy("l_returnflag", "l_quantity").agg(F.count("*").alias("n"))
 
 
@@ -84,7 +84,7 @@ select event_id, value from kept
 def pad_to_size(spark, folder):
     n = 2 * table(spark, folder, "orders").count()
     rows = table(spark, folder, "events").select("event_id", "value")
-    return resize(rows, "value", n, 5.0, 5.0, 250.0, SEED)
+    return resize(rows, "value", n, 5.0, 5.0, 250.0, SEED, "md5")
 
 
 _WITH_MISSING = """select event_id, case when event_type = 'error' then null

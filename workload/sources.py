@@ -158,7 +158,7 @@ select o_orderkey, {', '.join(f"round({_skew_sql(_SCALE, s)}, 2) as skew_{s}" fo
 def skew_normal_samples(spark, folder):
     """One sample per order and skew, scaled by the order status."""
     scale = F.when(F.col("o_orderstatus") == "F", 50.0).when(F.col("o_orderstatus") == "O", 250.0).otherwise(500.0)
-    drawn = [G.skew_normal(SEED, scale, s, "o_orderkey").alias(f"skew_{s}") for s in G.SKEWS]
+    drawn = [G.skew_normal(SEED, scale, s, "o_orderkey", algorithm="md5").alias(f"skew_{s}") for s in G.SKEWS]
     return table(spark, folder, "orders").select("o_orderkey", *drawn)
 
 
@@ -193,6 +193,6 @@ select c_custkey, floor({plain_uniform(SEED, "'age'", 'c_custkey')} * {d(121)}):
 """)
 def demographics_samples(spark, folder):
     """Age, height and income for each customer."""
-    columns = [c.alias(n) for n, c in G.demographics(SEED, "c_custkey").items()]
+    columns = [c.alias(n) for n, c in G.demographics(SEED, "c_custkey", algorithm="md5").items()]
     people = table(spark, folder, "customer").select("c_custkey", *columns)
     return people.withColumn("income", F.round("income", 4))

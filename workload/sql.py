@@ -5,7 +5,7 @@ from __future__ import annotations
 from hushframe.functions.noise import SeededNoise
 
 SEED = "42"
-NOISE = SeededNoise(SEED)
+NOISE = SeededNoise(SEED, "md5")
 
 
 def d(x: float) -> str:
