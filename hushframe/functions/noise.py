@@ -15,7 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hushframe.functions import secure
 from hushframe.functions.uniform import uniform
+from hushframe.plans.materialise import materialise
 
 MECHANISMS = ("laplace", "geometric", "gaussian", "discrete_gaussian")
 
@@ -143,33 +145,29 @@ class SecureNoise:
     """Operating-system randomness, drawn once: the noisy table is written before it is read."""
 
     def add(self, df: DataFrame, draws: Sequence[Draw], keys: Sequence[str] = ()) -> DataFrame:
-        from hushframe.functions.secure import noisy_value
-        from hushframe.plans.materialise import materialise
-
+        """Replace each drawn column by its noisy value, in a written table."""
         scaled = df.withColumns({f"_scale_{d.column}": d.scale_column() for d in draws})
         types = {d.column: T.LongType() if d.whole and not d.grid else T.DoubleType() for d in draws}
         schema = T.StructType([
             T.StructField(f.name, types.get(f.name, f.dataType), True) for f in df.schema.fields
         ])
-        names = df.columns
+        names, noisy_value = df.columns, secure.noisy_value
+        plan = [(d.column, d.mechanism, d.grid) for d in draws]
 
         def draw_rows(batches):
             for batch in batches:
-                for d in draws:
-                    pairs = zip(batch[d.column], batch[f"_scale_{d.column}"])
-                    batch[d.column] = [noisy_value(d.mechanism, v, s, d.grid) for v, s in pairs]
+                for column, mechanism, grid in plan:
+                    pairs = zip(batch[column], batch[f"_scale_{column}"])
+                    batch[column] = [noisy_value(mechanism, v, s, grid) for v, s in pairs]
                 yield batch[names]
 
         return materialise(scaled.mapInPandas(draw_rows, schema))
 
     def uniform(self, label: str, keys: Sequence[str | Column], stream: int = 1) -> Column:
-        from hushframe.functions.secure import os_uniform
-
-        return os_uniform(F.concat_ws("|", *keys))
+        return secure.os_uniform(F.concat_ws("|", *keys))
 
     def settle(self, df: DataFrame) -> DataFrame:
-        from hushframe.plans.materialise import materialise
-
+        """The written copy of a table that draws noise in its plan."""
         return materialise(df)
 
 

@@ -28,6 +28,11 @@ def clamp(c: Column | str, low: float, high: float) -> Column:
     return F.when(value.isNotNull() & ~F.isnan(value), inside)
 
 
+def grid_steps(c: Column | str, grid: float) -> Column:
+    """The nearest whole number of grid steps; sums of it are exact and do not overflow."""
+    return F.floor(_col(c) / F.lit(float(grid)) + F.lit(0.5)).cast("decimal(18,0)")
+
+
 def cast_or_default(c: Column | str, type_name: str, default: object) -> Column:
     """Cast, and use a constant where the text does not parse."""
     return F.coalesce(_col(c).try_cast(type_name), F.lit(default).cast(type_name))

@@ -10,13 +10,18 @@ from __future__ import annotations
 import math
 import os
 import secrets
+import sys
 from fractions import Fraction
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Ship this module with the tasks, so that executors need no installed copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _coin(p: Fraction) -> bool:
     return secrets.randbelow(p.denominator) < p.numerator

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from hushframe.functions.calibration import scale_for, selection_threshold
 from hushframe.functions.noise import Draw, Noise
-from hushframe.functions.scalars import check_bounds, clamp
+from hushframe.functions.scalars import check_bounds, clamp, grid_steps
 from hushframe.operators.bounding import (
     RANK,
     ROW,
@@ -116,8 +116,7 @@ def _moments(df, metrics, value, low, high, by, keyset, selection, unit, grid) -
         centred = x - F.lit((low + high) / 2.0)
         columns |= {"n": F.count(x), "m1": F.sum(centred), "m2": F.sum(centred * centred)}
         if grid:
-            # decimal sums of whole steps: exact, and no overflow at any table size
-            columns["sum"] = F.sum(F.round(x / F.lit(grid)).cast("decimal(18,0)")).cast("decimal(38,0)")
+            columns["sum"] = F.sum(grid_steps(x, grid)).cast("decimal(38,0)")
         else:
             columns["sum"] = F.sum(x)
     aggregates = {}

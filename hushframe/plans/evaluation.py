@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushframe.functions.noise import SeededNoise
-from hushframe.functions.scalars import check_bounds, clamp, error_columns
+from hushframe.functions.scalars import check_bounds, clamp, error_columns, grid_steps
 
 # The budgets that are compared.
 EPSILONS = [
@@ -48,7 +48,7 @@ def dataset_moments(df: DataFrame, dataset: str, value: str, low: float, high: f
         F.avg(value).alias("true_mean"),
         F.var_samp(value).alias("true_variance"),
         F.sum(x).alias("bounded_sum"),
-        F.sum(F.round(x / F.lit(grid)).cast("decimal(18,0)")).cast("double").alias("grid_sum"),
+        F.sum(grid_steps(x, grid)).cast("double").alias("grid_sum"),
         F.sum(y).alias("m1"),
         F.sum(y * y).alias("m2"),
     )

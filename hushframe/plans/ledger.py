@@ -1,7 +1,7 @@
 """Privacy accounting over a table of spends.
 
 A spend is a row (session, partition, query, mechanism, epsilon, delta, rho, ts). Everything is grouped
-by session, so an audit of many sessions is one aggregation. Epsilons are added as decimals: whether a
+by session, so an audit of many sessions is one aggregation. Epsilons are added as whole numbers: whether a
 limit is exceeded must not depend on the order in which tasks finish.
 """
 
@@ -16,22 +16,28 @@ from hushframe.functions.calibration import pure_to_zcdp, zcdp_to_epsilon
 from hushframe.plans.materialise import materialise
 
 SPENDS = "session string, partition string, query string, mechanism string, epsilon double, delta double, rho double, ts timestamp"
-EXACT = "decimal(18,12)"
+UNIT = 1e12
 
 
-def _exact(c: str) -> Column:
-    return F.col(c).cast(EXACT)
+def _units(c: Column | str | float) -> Column:
+    """An epsilon as a whole number of 10^-12, whose sums are exact and do not overflow."""
+    value = F.col(c) if isinstance(c, str) else F.lit(c)
+    return F.floor(value * F.lit(UNIT) + F.lit(0.5)).cast("decimal(18,0)")
+
+
+def _amount(units: Column) -> Column:
+    return units.cast("double") / F.lit(UNIT)
 
 
 def totals(spends: DataFrame, limit: float) -> DataFrame:
     """Spent and remaining epsilon, total delta and number of spends per session."""
-    spent = F.sum(_exact("epsilon"))
+    spent = F.sum(_units("epsilon"))
     return spends.groupBy("session").agg(
-        spent.cast("double").alias("epsilon"),
+        _amount(spent).alias("epsilon"),
         F.sum("delta").alias("delta"),
         F.count(F.lit(1)).alias("spends"),
-        (F.lit(limit).cast(EXACT) - spent).cast("double").alias("remaining"),
-        (spent > F.lit(limit).cast(EXACT)).alias("over_limit"),
+        _amount(_units(limit) - spent).alias("remaining"),
+        (spent > _units(limit)).alias("over_limit"),
     )
 
 
@@ -42,8 +48,8 @@ def first_overrun(spends: DataFrame, limit: float) -> DataFrame:
     found; the spends left after each step are written. Spends are added up before each window, so that a window orders calendar units and never the
     raw spends of a busy session. Sessions within the limit have no row.
     """
-    scope = spends.groupBy("session", "ts").agg(F.sum(_exact("epsilon")).alias("_spent"))
-    scope = scope.withColumn("_before", F.lit(0).cast("decimal(38,12)"))
+    scope = spends.groupBy("session", "ts").agg(F.sum(_units("epsilon")).alias("_spent"))
+    scope = scope.withColumn("_before", F.lit(0).cast("decimal(38,0)"))
     for unit in ("day", "second", None):
         at = F.date_trunc(unit, "ts") if unit else F.col("ts")
         buckets = scope.withColumn("_at", at).groupBy("session", "_before", "_at").agg(
@@ -51,15 +57,15 @@ def first_overrun(spends: DataFrame, limit: float) -> DataFrame:
         )
         upto = F.sum("_spent").over(Window.partitionBy("session").orderBy("_at"))
         running = buckets.withColumn("_upto", F.col("_before") + upto)
-        over = running.filter(F.col("_upto") > F.lit(limit).cast(EXACT))
+        over = running.filter(F.col("_upto") > _units(limit))
         found = over.groupBy("session").agg(F.min_by(F.struct("_at", "_upto", "_spent"), "_at").alias("_found"))
         found = found.select("session", "_found.*")
         if unit is None:
-            return found.select("session", F.col("_at").alias("ts"), F.col("_upto").cast("double").alias("epsilon"))
+            return found.select("session", F.col("_at").alias("ts"), _amount(F.col("_upto")).alias("epsilon"))
         opening = found.select(
             "session",
             F.col("_at").alias("_open"),
-            (F.col("_upto") - F.col("_spent")).cast("decimal(38,12)").alias("_before"),
+            (F.col("_upto") - F.col("_spent")).cast("decimal(38,0)").alias("_before"),
         )
         inside = scope.drop("_before").withColumn("_open", F.date_trunc(unit, "ts"))
         scope = materialise(inside.join(opening, ["session", "_open"]).drop("_open"), "overrun")
@@ -94,9 +100,9 @@ def compose_advanced(spends: DataFrame, slack: float) -> DataFrame:
 
 def parallel_compose(spends: DataFrame) -> DataFrame:
     """Spends on disjoint partitions count once: the largest partition total per session."""
-    per_partition = spends.groupBy("session", "partition").agg(F.sum(_exact("epsilon")).alias("_spent"))
+    per_partition = spends.groupBy("session", "partition").agg(F.sum(_units("epsilon")).alias("_spent"))
     return per_partition.groupBy("session").agg(
-        F.max("_spent").cast("double").alias("epsilon"), F.count(F.lit(1)).alias("partitions")
+        _amount(F.max("_spent")).alias("epsilon"), F.count(F.lit(1)).alias("partitions")
     )
 
 
@@ -115,7 +121,7 @@ def split_budget(plan: DataFrame, total: float, weight: str = "weight") -> DataF
 
     The weights are summed by aggregation and joined back, not by a window over the session's rows.
     """
-    sums = plan.groupBy("session").agg(F.sum(_exact(weight)).cast("double").alias("_weights"))
+    sums = plan.groupBy("session").agg(_amount(F.sum(_units(weight))).alias("_weights"))
     share = F.lit(float(total)) * F.col(weight) / F.col("_weights")
     return plan.join(sums, "session").withColumn("epsilon", share).drop("_weights")
 

@@ -59,6 +59,11 @@ def inverse_normal(p: Column) -> Column:
     )
 
 
+def _cents(value: Column) -> Column:
+    """Two digits, half to even; cheaper per row than the decimal rounding of ``bround``."""
+    return F.rint(value * F.lit(100.0)) / F.lit(100.0)
+
+
 def skew_normal(seed: str | int, scale: Column | float, skew: float, *key: Column | str, algorithm: str = "xxhash64") -> Column:
     """Skew-normal value around 0 (Azzalini 1985), rounded half-even to cents."""
     u1 = uniform(seed, F.lit("z1"), *key, algorithm=algorithm)
@@ -67,7 +72,7 @@ def skew_normal(seed: str | int, scale: Column | float, skew: float, *key: Colum
     d = skew / math.sqrt(1.0 + skew * skew)
     mixed = F.lit(d) * F.abs(radius * F.cos(angle)) + F.lit(math.sqrt(1.0 - d * d)) * radius * F.sin(angle)
     size = scale if isinstance(scale, Column) else F.lit(float(scale))
-    return F.bround(size * mixed, 2)
+    return _cents(size * mixed)
 
 
 def truncated_normal(u: Column, mean: float, deviation: float, low: float, high: float) -> Column:
@@ -86,7 +91,7 @@ def demographics(seed: str | int, *key: Column | str, algorithm: str = "xxhash64
 
     return {
         "age": F.floor(u("age") * F.lit(121.0)).cast("int"),
-        "height": F.bround(F.lit(50.0) + u("height") * F.lit(150.0), 2),
+        "height": _cents(F.lit(50.0) + u("height") * F.lit(150.0)),
         "income": truncated_normal(u("income"), 0.0, 5000.0, 3000.0, 15000.0),
     }
 
