@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from hushframe.functions.uniform import hash52
 
 RANK = "_rank"
-RANK_IN_TASK = 1000  # spark.sql.optimizer.windowGroupLimitThreshold
 SLICES = 4096
 
 
@@ -59,7 +58,7 @@ def _keep_ranked(
     first ranked within slices of it, cut by their hash: the first k of the key are among the first k of
     the slices, and a busy key is spread over many tasks.
     """
-    if k > RANK_IN_TASK:
+    if k > int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
         slices = Window.partitionBy(*keys, F.pmod(order[0], F.lit(SLICES))).orderBy(*order)
         df = df.withColumn(name, rank.over(slices)).filter(F.col(name) <= F.lit(k)).drop(name)
     whole = Window.partitionBy(*keys).orderBy(*order)

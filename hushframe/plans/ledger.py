@@ -30,11 +30,12 @@ def _amount(units: Column) -> Column:
 
 
 def totals(spends: DataFrame, limit: float) -> DataFrame:
-    """Spent and remaining epsilon, total delta and number of spends per session."""
-    spent = F.sum(_units("epsilon"))
+    """Spent and remaining epsilon, total delta, total rho and number of spends per session."""
+    spent = F.coalesce(F.sum(_units("epsilon")), F.lit(0))
     return spends.groupBy("session").agg(
         _amount(spent).alias("epsilon"),
         F.sum("delta").alias("delta"),
+        _amount(F.coalesce(F.sum(_units("rho")), F.lit(0))).alias("rho"),
         F.count(F.lit(1)).alias("spends"),
         _amount(_units(limit) - spent).alias("remaining"),
         (spent > _units(limit)).alias("over_limit"),

@@ -15,7 +15,6 @@ from hushframe.operators import private
 from hushframe.operators.bounding import ROW, PrivacyUnit, bound_partitions
 from hushframe.operators.keysets import join_public, public_multiplicity
 from hushframe.plans.ledger import SPENDS, split_total
-from hushframe.plans.materialise import materialise
 
 
 class BudgetExceeded(Exception):
@@ -88,45 +87,51 @@ class Query:
 class PrivacySession:
     """Named private views and what may still be spent on them.
 
-    ``epsilon`` may be infinite. A query that does not fit raises before Spark is asked for anything.
-    The spend is recorded before the job runs, so that a failed job is not free. With ``ledger_path`` it
-    is also appended to a table there, for audits over many sessions.
+    The budget is an epsilon, or a rho with ``measure="zcdp"``; it may be infinite. A query that does not
+    fit raises before Spark is asked for anything. The spend is recorded before the job runs, so that a
+    failed job is not free. With ``ledger_path`` it is also appended to a table there, for audits over many
+    sessions.
     """
 
     def __init__(
         self,
         spark: SparkSession,
         views: Mapping[str, DataFrame],
-        epsilon: float,
+        budget: float,
         *,
+        measure: str = "pure",
         unit: PrivacyUnit = ROW,
         noise: Noise | None = None,
         name: str = "session",
         ledger_path: str | None = None,
     ) -> None:
-        if not epsilon > 0:
-            raise ValueError(f"privacy budget must be positive, got {epsilon}")
+        if not budget > 0:
+            raise ValueError(f"privacy budget must be positive, got {budget}")
+        if measure not in ("pure", "zcdp"):
+            raise ValueError(f"unknown privacy measure: {measure}")
         self.spark = spark
         self.name = name
-        self.epsilon = epsilon
+        self.budget = budget
+        self.measure = measure
         self.unit = unit
         self.noise = noise or SecureNoise()
         self.ledger_path = ledger_path
         self._views = dict(views)
         self._influence = {view: 1 for view in views}
         self._spends: list[tuple] = []
+        self._amounts: list[float] = []
 
     @classmethod
-    def from_dataframe(cls, df: DataFrame, source: str, epsilon: float, **options) -> PrivacySession:
-        return cls(df.sparkSession, {source: df}, epsilon, **options)
+    def from_dataframe(cls, df: DataFrame, source: str, budget: float, **options) -> PrivacySession:
+        return cls(df.sparkSession, {source: df}, budget, **options)
 
     @property
     def spent(self) -> float:
-        return math.fsum(row[4] for row in self._spends)
+        return math.fsum(self._amounts)
 
     @property
     def remaining(self) -> float:
-        return self.epsilon - self.spent
+        return self.budget - self.spent
 
     def __len__(self) -> int:
         return len(self._spends)
@@ -135,14 +140,19 @@ class PrivacySession:
         """This session's spends as a table."""
         return self.spark.createDataFrame(self._spends, SPENDS)
 
-    def _charge(self, epsilon: float, query: str, mechanism: str, partition: str = "all") -> None:
-        if not epsilon > 0:
-            raise ValueError(f"privacy budget must be positive, got {epsilon}")
-        if math.fsum([self.spent, epsilon]) > self.epsilon * (1 + 1e-12):
-            raise BudgetExceeded(f"{query} needs {epsilon}, but only {self.remaining} is left")
+    def _require(self, amount: float, what: str) -> None:
+        if not amount > 0:
+            raise ValueError(f"privacy budget must be positive, got {amount}")
+        if math.fsum([*self._amounts, amount]) > self.budget * (1 + 1e-12):
+            raise BudgetExceeded(f"{what} needs {amount}, but only {self.remaining} is left")
+
+    def _charge(self, amount: float, query: str, mechanism: str, partition: str = "all") -> None:
+        self._require(amount, query)
         now = datetime.now(timezone.utc).replace(tzinfo=None)
-        row = (self.name, partition, query, mechanism, float(epsilon), 0.0, None, now)
+        epsilon, rho = (float(amount), None) if self.measure == "pure" else (None, float(amount))
+        row = (self.name, partition, query, mechanism, epsilon, 0.0, rho, now)
         self._spends.append(row)
+        self._amounts.append(float(amount))
         if self.ledger_path:
             one = self.spark.createDataFrame([row], SPENDS)
             one.coalesce(1).write.mode("append").parquet(self.ledger_path)
@@ -155,12 +165,12 @@ class PrivacySession:
         self._views[name] = query.rows(self._views[query.view])
         self._views[name].createOrReplaceTempView(name)
 
-    def evaluate(self, query: Query, epsilon: float) -> DataFrame:
-        """Charge, run once, return the written release."""
-        return self.evaluate_all({"answer": query}, epsilon)["answer"]
+    def evaluate(self, query: Query, budget: float) -> DataFrame:
+        """Charge, then answer. Secure answers are computed now and written once."""
+        return self.evaluate_all({"answer": query}, budget)["answer"]
 
     def evaluate_all(
-        self, queries: Mapping[str, Query], epsilon: float, weights: Mapping[str, float] | None = None
+        self, queries: Mapping[str, Query], budget: float, weights: Mapping[str, float] | None = None
     ) -> dict[str, DataFrame]:
         """Declare several queries first, share one budget among them by weight, then run them."""
         for name, query in queries.items():
@@ -168,28 +178,30 @@ class PrivacySession:
                 raise ValueError(f"query {name} has no statistic")
             if query.view not in self._views:
                 raise ValueError(f"there is no view {query.view}")
-        if math.fsum([self.spent, epsilon]) > self.epsilon * (1 + 1e-12):
-            raise BudgetExceeded(f"{list(queries)} need {epsilon}, but only {self.remaining} is left")
-        shares = split_total(epsilon, {name: (weights or {}).get(name, 1.0) for name in queries})
+        self._require(budget, ", ".join(queries))
+        shares = split_total(budget, {name: (weights or {}).get(name, 1.0) for name in queries})
         for name, query in queries.items():
             self._charge(shares[name], f"{query.metric}({query.view})", query.metric)
         return {name: self._run(query, shares[name]) for name, query in queries.items()}
 
-    def _run(self, query: Query, epsilon: float) -> DataFrame:
+    def _run(self, query: Query, budget: float) -> DataFrame:
         unit = self.unit
         if unit.column is None:
             unit = replace(unit, rows=unit.rows * self._influence[query.view] * query.influence)
-        options = dict(query.options)
-        if query.keyset is not None:
-            options |= {"by": query.keyset.columns, "keyset": query.keyset}
         df = query.rows(self._views[query.view])
-        answer = private.dp_aggregate(df, [query.metric], epsilon, self.noise, unit=unit, **options)
-        return materialise(answer)
+        keys = query.keyset.columns if query.keyset is not None else []
+        if self.measure == "zcdp" and query.metric == "count":
+            return private.dp_group_count(df, query.keyset, keys, budget, self.noise, measure="zcdp", unit=unit)
+        # a pure epsilon costs rho = epsilon^2 / 2
+        epsilon = budget if self.measure == "pure" else math.sqrt(2.0 * budget)
+        return private.dp_aggregate(
+            df, [query.metric], epsilon, self.noise, by=keys, keyset=query.keyset, unit=unit, **query.options
+        )
 
     def partition_and_spend(
-        self, view: str, attribute: str, splits: Mapping[str, object], epsilon: float
+        self, view: str, attribute: str, splits: Mapping[str, object], budget: float
     ) -> dict[str, PrivacySession]:
-        """Disjoint child sessions by the value of one column; all of them together cost ``epsilon`` once.
+        """Disjoint child sessions by the value of one column; all of them together cost ``budget`` once.
 
         To answer the same question for every part, group one session by ``attribute`` instead: that is
         one job rather than one per child.
@@ -202,12 +214,12 @@ class PrivacySession:
         else:
             factor = min(unit.partitions, len(splits))
             df = bound_partitions(df.filter(df[attribute].isin(list(splits.values()))), unit, [attribute])
-        self._charge(epsilon * factor, f"partition({view})", "parallel", attribute)
+        self._charge(budget * factor, f"partition({view})", "parallel", attribute)
         children = {}
         for name, value in splits.items():
             part = df.filter(F.col(attribute) == F.lit(value))
             child = PrivacySession(
-                self.spark, {view: part}, epsilon, unit=unit, noise=self.noise,
+                self.spark, {view: part}, budget, measure=self.measure, unit=unit, noise=self.noise,
                 name=f"{self.name}/{name}", ledger_path=self.ledger_path,
             )
             child._influence[view] = self._influence[view]

@@ -12,7 +12,7 @@ PARTITIONS = ("mechanism", "query", "dataset_size")
 
 def append_results(df: DataFrame, path: str) -> None:
     """Append to a table that is partitioned the way results are looked up."""
-    df.write.mode("append").partitionBy(*PARTITIONS).parquet(path)
+    df.hint("rebalance", *PARTITIONS).write.mode("append").partitionBy(*PARTITIONS).parquet(path)
 
 
 def read_results(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:

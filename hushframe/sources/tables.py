@@ -69,6 +69,7 @@ def dataset_features(name: Column | str = "dataset") -> dict[str, Column]:
 def write_dataset_dir(df: DataFrame, folder: str, dataset: str = "dataset") -> None:
     """One folder of CSV part files per dataset name, written in one job.
 
-    Rows are spread within a dataset, so a dataset with most of the rows is not one task's work.
+    Rebalancing gathers small datasets into few files and splits one that holds most of the rows.
     """
-    df.write.mode("error").option("header", True).partitionBy(dataset).csv(folder)
+    spread = df.hint("rebalance", dataset)
+    spread.write.mode("error").option("header", True).partitionBy(dataset).csv(folder)

@@ -185,7 +185,34 @@ def test_partition_bounds_units_that_are_in_several_parts(spark):
 def test_budget_is_shared_by_weight(people):
     session = PrivacySession.from_dataframe(people, "people", 1.0, noise=QUIET)
     session.evaluate_all({"n": Query("people").count(), "s": Query("people").sum("age", 0, 120)}, 1.0, {"n": 1, "s": 3})
-    assert [row[4] for row in session._spends] == pytest.approx([0.25, 0.75])
+    assert session._amounts == pytest.approx([0.25, 0.75])
+
+
+def test_two_phases_in_sessions(spark, people):
+    """A coarse release labels the groups; small and large ones go to children with the rest."""
+    session = PrivacySession.from_dataframe(people, "people", 40.0, measure="zcdp", noise=QUIET)
+    diseases = spark.createDataFrame([("Mumps",), ("Rubella",), ("Typhoid",)], "disease string")
+    counts = session.evaluate(Query("people").group_by(diseases).count(), 4.0)
+    labelled = counts.selectExpr("disease", "IF(count < 42, 'true', 'false') AS under_threshold")
+    session.create_view(Query("people").join_public(labelled, ["disease"]), "labelled_people")
+    parts = session.partition_and_spend("labelled_people", "under_threshold", {"small": "true", "large": "false"}, 36.0)
+    assert session.remaining == pytest.approx(0.0)
+    small = parts["small"].evaluate(Query("labelled_people").group_by(diseases).count(), 36.0).collect()
+    assert abs({r["disease"]: r["count"] for r in small}["Mumps"] - 10) <= 2
+    ages = spark.range(19, 79).select(F.col("id").cast("int").alias("age"))
+    fine = parts["large"].evaluate(Query("labelled_people").group_by(ages).count(), 36.0)
+    assert fine.count() == 60 and abs(fine.agg(F.sum("count")).first()[0] - 90) < 30
+    rows = session.spends().collect()
+    assert [r["rho"] for r in rows] == [4.0, 36.0] and all(r["epsilon"] is None for r in rows)
+    assert L.totals(session.spends(), 1.0).first()["rho"] == 40.0
+
+
+def test_other_statistics_under_zcdp(people):
+    session = PrivacySession.from_dataframe(people, "people", 1e12, measure="zcdp", noise=QUIET)
+    mean = session.evaluate(Query("people").average("age", 0, 120), 1e12).first()[0]
+    assert mean == pytest.approx(people.agg(F.avg("age")).first()[0], abs=1e-3)
+    with pytest.raises(ValueError):
+        PrivacySession.from_dataframe(people, "people", 1.0, measure="renyi")
 
 
 def test_ledger_table(spark, people, tmp_path):

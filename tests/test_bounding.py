@@ -50,9 +50,11 @@ def ids(df):
 
 
 @pytest.fixture(params=[1000, 1], ids=["ranked in task", "sliced"])
-def threshold(request, monkeypatch):
-    monkeypatch.setattr(B, "RANK_IN_TASK", request.param)
+def threshold(request, spark, monkeypatch):
     monkeypatch.setattr(B, "SLICES", 4)
+    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", request.param)
+    yield
+    spark.conf.unset("spark.sql.optimizer.windowGroupLimitThreshold")
 
 
 def test_rows(rows, threshold):

@@ -101,6 +101,7 @@ def spends(spark, folder):
 @register(f"""
 with {SPENDS}
 select session, sum(epsilon::decimal(18, 12))::double as epsilon, round(sum(delta), 12) as delta, count(*) as spends,
+       coalesce(sum(rho::decimal(18, 12)), 0)::double as rho,
        (5 - sum(epsilon::decimal(18, 12)))::double as remaining, sum(epsilon::decimal(18, 12)) > 5 as over_limit
 from spends group by 1
 """)
