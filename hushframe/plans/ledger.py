@@ -46,31 +46,36 @@ def first_overrun(spends: DataFrame, limit: float) -> DataFrame:
     """Per session the moment at which its running total first exceeds the limit.
 
     Running totals are taken per day, then per second of the day found, then per instant of the second
-    found; the spends left after each step are written. Spends are added up before each window, so that a window orders calendar units and never the
-    raw spends of a busy session. Sessions within the limit have no row.
+    found. Spends are added up before each window, so that a window orders calendar units and never the
+    raw spends of a busy session. Sessions whose whole total is within the limit drop out first and have
+    no row; what lies on the days found is written.
     """
-    scope = spends.groupBy("session", "ts").agg(F.sum(_units("epsilon")).alias("_spent"))
-    scope = scope.withColumn("_before", F.lit(0).cast("decimal(38,0)"))
-    for unit in ("day", "second", None):
-        at = F.date_trunc(unit, "ts") if unit else F.col("ts")
-        buckets = scope.withColumn("_at", at).groupBy("session", "_before", "_at").agg(
-            F.sum("_spent").alias("_spent")
-        )
-        upto = F.sum("_spent").over(Window.partitionBy("session").orderBy("_at"))
-        running = buckets.withColumn("_upto", F.col("_before") + upto)
-        over = running.filter(F.col("_upto") > _units(limit))
-        found = over.groupBy("session").agg(F.min_by(F.struct("_at", "_upto", "_spent"), "_at").alias("_found"))
-        found = found.select("session", "_found.*")
-        if unit is None:
-            return found.select("session", F.col("_at").alias("ts"), _amount(F.col("_upto")).alias("epsilon"))
+    scope = spends.select("session", "ts", _units("epsilon").alias("_spent"), F.lit(0).alias("_before"))
+    whole = scope.groupBy("session").agg(F.sum("_spent").alias("_whole"))
+    over = whole.filter(F.col("_whole") > _units(limit)).select("session")
+    scope = scope.join(materialise(over, "overrun"), "session", "left_semi")
+    for unit in ("day", "second"):
+        found = _first_crossing(scope, F.date_trunc(unit, "ts"), limit)
         opening = found.select(
             "session",
             F.col("_at").alias("_open"),
             (F.col("_upto") - F.col("_spent")).cast("decimal(38,0)").alias("_before"),
         )
         inside = scope.drop("_before").withColumn("_open", F.date_trunc(unit, "ts"))
-        scope = materialise(inside.join(opening, ["session", "_open"]).drop("_open"), "overrun")
-    raise AssertionError("unreachable")
+        inside = inside.join(opening, ["session", "_open"])
+        scope = inside.groupBy("session", "_before", "ts").agg(F.sum("_spent").alias("_spent"))
+        scope = materialise(scope, "overrun")
+    found = _first_crossing(scope, F.col("ts"), limit)
+    return found.select("session", F.col("_at").alias("ts"), _amount(F.col("_upto")).alias("epsilon"))
+
+
+def _first_crossing(scope: DataFrame, at: Column, limit: float) -> DataFrame:
+    """Per session the first bucket ``_at`` in which the total reaches beyond the limit."""
+    buckets = scope.groupBy("session", "_before", at.alias("_at")).agg(F.sum("_spent").alias("_spent"))
+    upto = F.sum("_spent").over(Window.partitionBy("session").orderBy("_at"))
+    over = buckets.withColumn("_upto", F.col("_before") + upto).filter(F.col("_upto") > _units(limit))
+    first = Window.partitionBy("session").orderBy("_at")
+    return over.withColumn("_rank", F.row_number().over(first)).filter(F.col("_rank") == 1).drop("_rank")
 
 
 def compose_advanced(spends: DataFrame, slack: float) -> DataFrame:

@@ -64,15 +64,17 @@ def _cents(value: Column) -> Column:
     return F.rint(value * F.lit(100.0)) / F.lit(100.0)
 
 
-def skew_normal(seed: str | int, scale: Column | float, skew: float, *key: Column | str, algorithm: str = "xxhash64") -> Column:
+def skew_normal(
+    seed: str | int, scale: Column | float, skew: Column | float, *key: Column | str, algorithm: str = "xxhash64"
+) -> Column:
     """Skew-normal value around 0 (Azzalini 1985), rounded half-even to cents."""
     u1 = uniform(seed, F.lit("z1"), *key, algorithm=algorithm)
     u2 = uniform(seed, F.lit("z2"), *key, algorithm=algorithm)
     radius, angle = F.sqrt(F.lit(-2.0) * F.log(u1)), F.lit(2.0 * math.pi) * u2
-    d = skew / math.sqrt(1.0 + skew * skew)
-    mixed = F.lit(d) * F.abs(radius * F.cos(angle)) + F.lit(math.sqrt(1.0 - d * d)) * radius * F.sin(angle)
-    size = scale if isinstance(scale, Column) else F.lit(float(scale))
-    return _cents(size * mixed)
+    size, shape = (x if isinstance(x, Column) else F.lit(float(x)) for x in (scale, skew))
+    share = shape / F.sqrt(F.lit(1.0) + shape * shape)
+    rest = F.sqrt(F.lit(1.0) - share * share)
+    return _cents(size * (share * F.abs(radius * F.cos(angle)) + rest * radius * F.sin(angle)))
 
 
 def truncated_normal(u: Column, mean: float, deviation: float, low: float, high: float) -> Column:
@@ -100,8 +102,7 @@ def skew_normal_table(
     spark: SparkSession, n: int, scale: float, skew: float, seed: str | int, algorithm: str = "xxhash64"
 ) -> DataFrame:
     """n rows of one column ``values``; each row depends on its number only, so tasks may be re-run."""
-    key = F.concat_ws("_", F.lit(scale), F.lit(skew), "id")
-    return spark.range(n).select(skew_normal(seed, scale, skew, key, algorithm=algorithm).alias("values"))
+    return skew_normal_datasets(spark, n, seed, [scale], [skew], algorithm).select("values")
 
 
 def skew_normal_datasets(
@@ -109,16 +110,18 @@ def skew_normal_datasets(
     scales: Sequence[float] = SCALES, skews: Sequence[float] = SKEWS, algorithm: str = "xxhash64",
 ) -> DataFrame:
     """All scale and skew settings as one table with the dataset name."""
-    settings = [(scale, skew) for scale in scales for skew in skews]
-    value: Column | None = None
-    for i, (scale, skew) in enumerate(settings):
-        key = F.concat_ws("_", F.lit(scale), F.lit(skew), "id")
-        drawn = skew_normal(seed, scale, skew, key, algorithm=algorithm)
-        here = F.col("setting") == i
-        value = F.when(here, drawn) if value is None else value.when(here, drawn)
-    names = F.array(*[F.lit(f"data_{n}_{scale}_{skew}.csv") for scale, skew in settings])
-    rows = spark.range(n).withColumn("setting", F.explode(F.sequence(F.lit(0), F.lit(len(settings) - 1))))
-    return rows.select(value.alias("values"), F.get(names, F.col("setting")).alias("dataset"))
+    settings = F.array(*[
+        F.struct(
+            F.lit(f"data_{n}_{scale}_{skew}.csv").alias("dataset"),
+            F.lit(float(scale)).alias("scale"),
+            F.lit(float(skew)).alias("skew"),
+        )
+        for scale in scales
+        for skew in skews
+    ])
+    rows = spark.range(n).select("id", F.inline(settings))
+    value = skew_normal(seed, F.col("scale"), F.col("skew"), "scale", "skew", "id", algorithm=algorithm)
+    return rows.select(value.alias("values"), "dataset")
 
 
 def demographics_table(spark: SparkSession, n: int, seed: str | int, algorithm: str = "xxhash64") -> DataFrame:

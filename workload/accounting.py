@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hushframe.functions import calibration as C
+from hushframe.functions.scalars import label
+from hushframe.operators.keysets import declared_keys
 from hushframe.plans import ledger as L
 from hushframe.plans.session import PrivacySession, Query
-from workload.aggregates import discrete_gaussian_sql
+from workload.aggregates import SEGMENTS, discrete_gaussian_sql
 from workload.registry import register, table
 from workload.sql import NOISE, clamp, d, gaussian, geometric, laplace
 
@@ -194,6 +196,45 @@ def budget_session(spark, folder):
     return rows[0].unionAll(rows[1])
 
 
+_SESSION_SIGMA = 1.0 / (2 * 0.02)
+
+
+@register(f"""
+with g as (select n_nationkey as c_nationkey, count(c_custkey) as n
+           from nation left join customer on c_nationkey = n_nationkey group by 1),
+h as (select c_nationkey, case when noisy < 60 then 'true' else 'false' end as under from
+  {discrete_gaussian_sql('g', 'c_nationkey', 'n', 'count_rows', _SESSION_SIGMA, 'c_nationkey')}),
+small as (select n_nationkey as c_nationkey, count(c_custkey) as n from nation left join
+  (select customer.* from customer join h using (c_nationkey) where under = 'true') on c_nationkey = n_nationkey group by 1),
+large as (select seg as c_mktsegment, count(c_custkey) as n from
+  (select unnest(['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY']) as seg) left join
+  (select customer.* from customer join h using (c_nationkey) where under = 'false') on c_mktsegment = seg group by 1)
+select 'small' as part, c_nationkey::varchar as key, noisy as "count", 0.0::double as remaining from
+  {discrete_gaussian_sql('small', 'c_nationkey', 'n', 'count_rows', 1.0 / (2 * 0.18), 'c_nationkey')}
+union all
+select 'large', c_mktsegment, noisy, 0.0::double from
+  {discrete_gaussian_sql('large', 'c_mktsegment', 'n', 'count_rows', 1.0 / (2 * 0.18), 'c_mktsegment')}
+""")
+def session_two_phases(spark, folder):
+    """The steps of a two-phase query one by one: release, label, join back as a view, split, release again."""
+    session = PrivacySession.from_dataframe(
+        table(spark, folder, "customer"), "customer", 0.2, measure="zcdp", noise=NOISE
+    )
+    nations = table(spark, folder, "nation").select(F.col("n_nationkey").alias("c_nationkey"))
+    segments = declared_keys(spark, {"c_mktsegment": SEGMENTS})
+    counts = session.evaluate(Query("customer").group_by(nations).count(), 0.02)
+    labelled = counts.select("c_nationkey", label("count < 60", "true", "false").alias("under"))
+    view = f"labelled_{id(session)}"
+    session.create_view(Query("customer").join_public(labelled, ["c_nationkey"]), view)
+    parts = session.partition_and_spend(view, "under", {"small": "true", "large": "false"}, 0.18)
+    small = parts["small"].evaluate(Query(view).group_by(nations).count(), 0.18)
+    large = parts["large"].evaluate(Query(view).group_by(segments).count(), 0.18)
+    left = F.round(F.lit(session.remaining), 9).alias("remaining")
+    return small.select(
+        F.lit("small").alias("part"), F.col("c_nationkey").cast("string").alias("key"), "count", left
+    ).unionAll(large.select(F.lit("large").alias("part"), F.col("c_mktsegment").alias("key"), "count", left))
+
+
 @register(f"""
 with k as (select r_regionkey as n_regionkey from region),
 c as (select n_regionkey, count(c_custkey) as n from k left join

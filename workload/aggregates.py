@@ -57,6 +57,16 @@ def dp_count(spark, folder):
     return P.dp_count(table(spark, folder, "lineitem"), 0.5, NOISE)
 
 
+@register(f"""
+with r as (select *, row_number() over (partition by user_id order by {h52(SEED, 'event_id')}, event_id) as rn from events)
+select count(*) + {laplace('count_rows', d(1.0))} as "count" from r where rn <= 1
+""")
+def dp_count_laplace(spark, folder):
+    """One row per privacy id, one global partition, real-valued noise."""
+    unit = PrivacyUnit("user_id", row_key=("event_id",), seed=SEED, algorithm="md5")
+    return P.dp_count(table(spark, folder, "events"), 1.0, NOISE, unit=unit, count_mechanism="laplace")
+
+
 @register(f"""
 with k as (select unnest(['A', 'N', 'R']) as l_returnflag),
 c as (select l_returnflag, count(l_orderkey) as n from k left join
@@ -166,6 +176,26 @@ def dp_skip_nan(spark, folder):
     return _rounded(_rounded(answer, 6, "sum", "mean", "std"), 4, "variance")
 
 
+_ONE_EACH = f"""(
+select value from (select *, row_number() over (partition by user_id order by {h52(SEED, 'event_id')}, event_id) as rn from events)
+where rn <= 1)"""
+
+
+@register(f"""
+with {_moments('value', 0, 400, _ONE_EACH)},
+s as (select sum({clamp('value', 0, 400)}::decimal(18, 2))::double as s from {_ONE_EACH})
+select round(s + {laplace('sum_sum', d(400 / 0.5))}, 6) as "sum", round({_mean(0, 400, 0.5)}, 6) as mean,
+       round({_variance(0, 400, 0.5)}, 4) as variance from m, s
+""")
+def dp_one_row_per_person(spark, folder):
+    """Sum, mean and variance over one row of each person."""
+    unit = PrivacyUnit("user_id", row_key=("event_id",), seed=SEED, algorithm="md5")
+    answer = P.dp_aggregate(
+        table(spark, folder, "events"), ["sum", "mean", "variance"], 1.5, NOISE, value="value", low=0, high=400, unit=unit
+    )
+    return _rounded(_rounded(answer, 6, "sum", "mean"), 4, "variance")
+
+
 def _sized(low: float, high: float) -> str:
     """Values of the 3 x orders rows that come first in hash order."""
     key = "l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity"

@@ -72,6 +72,16 @@ def truncate_groups_per_key(spark, folder):
     return B.truncate_groups(orders, ["o_custkey"], ["o_orderpriority"], 2, SEED, "md5")
 
 
+@register(f"""
+with r as (select *, row_number() over (partition by o_custkey, o_orderpriority
+             order by {h52(SEED, 'o_orderkey')}, o_orderkey) as rn from orders)
+select o_custkey, o_orderpriority, o_orderkey from r where rn <= 1
+""")
+def truncate_rows_per_key_and_group(spark, folder):
+    orders = table(spark, folder, "orders").select("o_custkey", "o_orderpriority", "o_orderkey")
+    return B.truncate_rows(orders, ["o_custkey", "o_orderpriority"], 1, ["o_orderkey"], SEED, "md5")
+
+
 @register(f"select count(*) + {geometric('count_rows', d(7.0))} as \"count\" from lineitem")
 def count_with_row_influence(spark, folder):
     """One person has at most 7 lines of an order."""
