@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hushframe.functions.uniform import hash52
+from hushframe.operators.matching import null_safe_semi_join
 
 RANK = "_rank"
 SLICES = 4096
@@ -152,13 +153,3 @@ def truncate_groups(
     order = [hash52(seed, *keys, *groups, algorithm=algorithm), *[F.col(c) for c in groups]]
     keep = first_rows(pairs, keys, k, order).drop(RANK)
     return null_safe_semi_join(df, keep, [*keys, *groups])
-
-
-def null_safe_semi_join(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Rows of ``df`` whose key is in ``keys``; NULL matches NULL, as in a grouping."""
-    right = keys.select(*[F.col(c).alias(f"_key_{c}") for c in on])
-    same = [df[c].eqNullSafe(right[f"_key_{c}"]) for c in on]
-    condition = same[0]
-    for part in same[1:]:
-        condition = condition & part
-    return df.join(right, condition, "left_semi")

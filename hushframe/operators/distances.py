@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushframe.operators.keysets import restrict_to_keys
+from hushframe.operators.matching import null_safe_anti_join
 
 
 def net_rows(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -134,7 +135,7 @@ def if_grouped_by(a: DataFrame, b: DataFrame, c: str, outer: str = "sum") -> Dat
 
 def remove_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """The table without all rows of the given keys."""
-    return df.join(keys.select(key), key, "left_anti")
+    return null_safe_anti_join(df, keys, [key])
 
 
 def add_keys(df: DataFrame, rows: DataFrame) -> DataFrame:

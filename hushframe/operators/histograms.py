@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from hushframe.functions.calibration import scale_for
 from hushframe.functions.noise import Draw, Noise
 from hushframe.functions.scalars import check_bounds
-from hushframe.operators.bounding import PrivacyUnit
+from hushframe.operators.bounding import ROW, PrivacyUnit, bound_contributions, bound_rows
 from hushframe.operators.keysets import aggregate_on_keyset, private_rows
 from hushframe.operators.private import select_partitions
 
@@ -64,15 +64,18 @@ def full_grid(df: DataFrame, axes: Sequence[Axis]) -> DataFrame:
 
 def dp_histogramdd(
     df: DataFrame, axes: Sequence[Axis], epsilon: float, noise: Noise, *,
-    influence: int = 1, n: int | None = None,
+    unit: PrivacyUnit = ROW, n: int | None = None,
 ) -> DataFrame:
     """Private counts of all cells, empty ones included, with the lower edge of each bin.
 
-    With the public n the counts are given as frequencies as well.
+    A unit with an id counts with at most ``unit.rows`` rows in the whole histogram. With the public n the
+    counts are given as frequencies as well.
     """
     names = [f"bin_{i}" for i in range(len(axes))]
+    if unit.column is not None:
+        df = bound_rows(df, unit)
     exact = aggregate_on_keyset(cells_of(df, axes), full_grid(df, axes), names, {"count": private_rows()})
-    noisy = noise.add(exact, [Draw("count", "geometric", scale_for(float(influence), epsilon))], names)
+    noisy = noise.add(exact, [Draw("count", "geometric", scale_for(float(unit.rows), epsilon))], names)
     edges = {
         f"edge_{i}": F.lit(float(a.low)) + F.col(f"bin_{i}") * F.lit(a.width) for i, a in enumerate(axes)
     }
@@ -99,7 +102,7 @@ def dp_sparse_histogram(
 
 def dp_quantiles(
     df: DataFrame, axis: Axis, quantiles: Sequence[float], epsilon: float, noise: Noise, *,
-    by: Sequence[str] = (), keyset: DataFrame | None = None, influence: int = 1,
+    by: Sequence[str] = (), keyset: DataFrame | None = None, unit: PrivacyUnit = ROW,
 ) -> DataFrame:
     """Private quantiles by the exponential mechanism over a public bin grid.
 
@@ -112,6 +115,10 @@ def dp_quantiles(
             raise ValueError(f"quantile {q} is not between 0 and 1")
     if by and keyset is None:
         raise ValueError("groups need a public keyset")
+    influence = unit.rows
+    if unit.column is not None:
+        df = bound_contributions(df, unit, by, keyset)
+        influence *= unit.partitions if by else 1
     grid = full_grid(df, [axis])
     if by:
         grid = keyset.select(*by).withColumn("bin_0", F.explode(F.sequence(F.lit(0), F.lit(axis.bins - 1))))

@@ -11,7 +11,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushframe.operators.bounding import null_safe_semi_join, truncate_rows
+from hushframe.operators.bounding import truncate_rows
+from hushframe.operators.matching import null_safe_semi_join
 
 MAX_LITERAL_KEYS = 4096
 MARKER = "_listed"

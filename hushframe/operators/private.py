@@ -69,6 +69,8 @@ def dp_aggregate(
         raise ValueError(f"unknown metrics: {unknown}")
     if by and keyset is None and selection is None:
         raise ValueError("groups need a public keyset or a selection budget (epsilon, delta)")
+    if by and keyset is None and unit.column is None and unit.rows > 1:
+        raise ValueError("found keys need a privacy unit column when one person has several rows")
     if "privacy_id_count" in metrics and unit.column is None:
         raise ValueError("privacy_id_count needs a privacy unit column")
     bounded_metrics = [m for m in metrics if m not in ("count", "privacy_id_count")]
@@ -82,7 +84,7 @@ def dp_aggregate(
     draws = _draws(metrics, shares, low, high, by, unit, count_mechanism, grid)
     found_keys = bool(by) and keyset is None
     if found_keys:
-        partitions = unit.partitions if unit.column else unit.rows
+        partitions = unit.partitions if unit.column else 1
         draws.append(Draw("selected_ids", "laplace", scale_for(float(partitions), selection[0])))
     noisy = noise.add(exact, draws, by)
     if found_keys:
@@ -233,6 +235,8 @@ def select_partitions(
     df: DataFrame, unit: PrivacyUnit, by: Sequence[str], epsilon: float, delta: float, noise: Noise
 ) -> DataFrame:
     """Keys found in private data whose noisy number of units reaches the threshold for delta."""
+    if unit.column is None:
+        raise ValueError("selecting keys needs a privacy unit column")
     pairs = contributed_partitions(df, unit, by)
     exact = pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("noisy_ids"))
     draw = Draw("noisy_ids", "laplace", scale_for(float(unit.partitions), epsilon))

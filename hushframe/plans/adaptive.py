@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from hushframe.functions.calibration import scale_for
 from hushframe.functions.noise import Draw, Noise
 from hushframe.functions.scalars import label
-from hushframe.operators.bounding import null_safe_semi_join
+from hushframe.operators.bounding import ROW, PrivacyUnit, bound_contributions
 from hushframe.operators.keysets import aggregate_on_keyset
+from hushframe.operators.matching import null_safe_semi_join
 from hushframe.plans.materialise import materialise
 
 
@@ -25,7 +26,7 @@ def two_phase_count(
     threshold: float,
     noise: Noise,
     coarse_share: float = 0.1,
-    influence: int = 1,
+    unit: PrivacyUnit = ROW,
 ) -> DataFrame:
     """Count coarse groups with a tenth of the budget; spend the rest on fine counts of large groups
     and on better coarse counts of small ones.
@@ -33,8 +34,14 @@ def two_phase_count(
     ``fine`` holds the coarse keys and the extra ones. The private table is read once: its fine counts
     are written, the coarse ones are their sums, and the released label is joined to those counts
     instead of to the rows. The two branches count disjoint rows, so each may use the whole rest. The
-    coarse release is written before it is used; both phases see the same noise.
+    coarse release is written before it is used; both phases see the same noise. A unit with an id is kept
+    in one coarse group, as it could otherwise lie in both branches.
     """
+    if unit.column is not None:
+        if unit.partitions != 1:
+            raise ValueError("a unit may lie in one coarse group only")
+        df = bound_contributions(df, unit, coarse, coarse_keyset)
+    influence = unit.rows
     extra = [c for c in fine if c not in coarse]
     cells = materialise(df.groupBy(*fine).agg(F.count(F.lit(1)).alias("n")), "cells")
     count = {"n": F.coalesce(F.sum("n"), F.lit(0))}

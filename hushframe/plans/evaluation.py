@@ -36,6 +36,12 @@ MECHANISMS = ["geometric", "laplace", "public_size", "noisy_size"]
 TRIAL_KEY = ["dataset", "query", "mechanism", "epsilon"]
 
 
+def unsafe_data_bounds(df: DataFrame, value: str) -> tuple[float, float]:
+    """Smallest and largest value, in one job. They are private: for error studies only."""
+    row = df.agg(F.min(value), F.max(value)).first()
+    return float(row[0]), float(row[1])
+
+
 def dataset_moments(df: DataFrame, dataset: str, value: str, low: float, high: float, grid: float) -> DataFrame:
     """One row per dataset: size, truths, and the bounded moments that noise is added to."""
     check_bounds(low, high)

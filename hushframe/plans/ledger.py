@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hushframe.functions.calibration import pure_to_zcdp, zcdp_to_epsilon
+from hushframe.operators.matching import null_safe_join, null_safe_semi_join
 from hushframe.plans.materialise import materialise
 
 SPENDS = "session string, partition string, query string, mechanism string, epsilon double, delta double, rho double, ts timestamp"
@@ -53,7 +54,7 @@ def first_overrun(spends: DataFrame, limit: float) -> DataFrame:
     scope = spends.select("session", "ts", _units("epsilon").alias("_spent"), F.lit(0).alias("_before"))
     whole = scope.groupBy("session").agg(F.sum("_spent").alias("_whole"))
     over = whole.filter(F.col("_whole") > _units(limit)).select("session")
-    scope = scope.join(materialise(over, "overrun"), "session", "left_semi")
+    scope = null_safe_semi_join(scope, materialise(over, "overrun"), ["session"])
     for unit in ("day", "second"):
         found = _first_crossing(scope, F.date_trunc(unit, "ts"), limit)
         opening = found.select(
@@ -62,7 +63,7 @@ def first_overrun(spends: DataFrame, limit: float) -> DataFrame:
             (F.col("_upto") - F.col("_spent")).cast("decimal(38,0)").alias("_before"),
         )
         inside = scope.drop("_before").withColumn("_open", F.date_trunc(unit, "ts"))
-        inside = inside.join(opening, ["session", "_open"])
+        inside = null_safe_join(inside, opening, ["session", "_open"])
         scope = inside.groupBy("session", "_before", "ts").agg(F.sum("_spent").alias("_spent"))
         scope = materialise(scope, "overrun")
     found = _first_crossing(scope, F.col("ts"), limit)
@@ -129,7 +130,7 @@ def split_budget(plan: DataFrame, total: float, weight: str = "weight") -> DataF
     """
     sums = plan.groupBy("session").agg(_amount(F.sum(_units(weight))).alias("_weights"))
     share = F.lit(float(total)) * F.col(weight) / F.col("_weights")
-    return plan.join(sums, "session").withColumn("epsilon", share).drop("_weights")
+    return null_safe_join(plan, sums, ["session"]).withColumn("epsilon", share).drop("_weights")
 
 
 def split_total(total: float, weights: dict[str, float]) -> dict[str, float]:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from hushframe.operators.matching import null_safe_anti_join
+
 PARTITIONS = ("mechanism", "query", "dataset_size")
 
 
@@ -21,5 +23,4 @@ def read_results(spark: SparkSession, path: str, schema: StructType | str) -> Da
 
 def pending_trials(grid: DataFrame, results: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Settings of the grid that have no result yet, whichever of them were finished before."""
-    done = results.select(*keys).distinct()
-    return grid.join(done, list(keys), "left_anti")
+    return null_safe_anti_join(grid, results.select(*keys).distinct(), keys)

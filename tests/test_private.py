@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from hushframe.functions.noise import SecureNoise, SeededNoise
 from hushframe.operators import histograms as H
 from hushframe.operators import private as P
-from hushframe.operators.bounding import ROW, PrivacyUnit
+from hushframe.operators.bounding import ROW, PrivacyUnit, bound_contributions
 from hushframe.operators.vectors import dp_vector_sum, vector_sum
+from hushframe.plans.adaptive import two_phase_count
 
 QUIET = SeededNoise(1)
 HUGE = 1e9
@@ -162,6 +163,35 @@ def test_zcdp_count(spark, table, keys):
     assert {r["kind"]: r["count"] for r in rows} == {**dict.fromkeys(map(str, range(5)), 180), "5": 0, "6": 0}
 
 
+def test_bounded_units_in_grids(table, keys):
+    unit = PrivacyUnit("unit", partitions=2, rows=3, row_key=("id",))
+    axis = H.Axis("v", -10, 30, 4)
+    counts = H.dp_histogramdd(table, [axis], HUGE, QUIET, unit=unit)
+    assert counts.agg(F.sum("count")).first()[0] == 3 * table.select("unit").distinct().count()
+    medians = H.dp_median(table, axis, HUGE, QUIET, unit=unit, by=["kind"], keyset=keys)
+    assert medians.count() == 7
+    assert all(-10 <= r["value"] <= 30 for r in medians.collect())
+
+
+def test_two_phases_with_units(spark, table, keys):
+    fine = keys.withColumn("half", F.explode(F.array(F.lit(0), F.lit(1))))
+    df = table.withColumn("half", (F.col("v") > 9).cast("int"))
+    unit = PrivacyUnit("unit", rows=20, row_key=("id",))
+    rows = two_phase_count(df, keys, ["kind"], fine, ["kind", "half"], 1e9, 50, QUIET, unit=unit).collect()
+    kept = bound_contributions(df, unit, ["kind"])
+    coarse = {r["kind"]: r["count"] for r in kept.groupBy("kind").count().collect()}
+    assert {r["kind"] for r in rows} == {str(k) for k in range(7)}
+    for r in rows:
+        if r["under_threshold"] == "true":
+            assert r["half"] is None and r["count"] == coarse.get(r["kind"], 0) < 50
+        else:
+            assert coarse[r["kind"]] >= 50
+    large = sum(r["count"] for r in rows if r["under_threshold"] == "false")
+    assert large == sum(n for n in coarse.values() if n >= 50)
+    with pytest.raises(ValueError):
+        two_phase_count(df, keys, ["kind"], fine, ["kind", "half"], 1.0, 50, QUIET, unit=PrivacyUnit("unit", 2))
+
+
 def test_threshold():
     from hushframe.functions.calibration import selection_threshold
 
@@ -182,6 +212,8 @@ def test_threshold():
         lambda t: P.dp_count(t, 0.0, QUIET),
         lambda t: P.dp_count(t, -1.0, QUIET),
         lambda t: P.dp_aggregate(t, ["privacy_id_count"], 1.0, QUIET, unit=ROW),
+        lambda t: P.dp_count(t, 1.0, QUIET, by=["kind"], selection=(1.0, 1e-5), unit=PrivacyUnit(rows=2)),
+        lambda t: P.select_partitions(t, ROW, ["kind"], 1.0, 1e-5, QUIET),
         lambda t: H.Axis("v", 0, 1, 0),
         lambda t: H.dp_quantiles(t, H.Axis("v", 0, 1, 5), [1.5], 1.0, QUIET),
     ],

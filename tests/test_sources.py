@@ -177,5 +177,9 @@ def test_results_resume(spark, trials, tmp_path):
     assert {r["dataset_size"] for r in by_size} == {1, 10}
 
 
+def test_data_bounds(spark):
+    assert E.unsafe_data_bounds(spark.range(5), "id") == (0.0, 4.0)
+
+
 def test_epsilons():
     assert len(E.EPSILONS) == 28 and E.EPSILONS == sorted(E.EPSILONS)
