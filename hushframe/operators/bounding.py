@@ -140,7 +140,10 @@ def _bound_pairs(kept: DataFrame, unit: PrivacyUnit, by: Sequence[str], keyset:
 def truncate_rows(
     df: DataFrame, keys: Sequence[str], k: int, order_by: Sequence[str], seed: str | int = 0, algorithm: str = "xxhash64"
 ) -> DataFrame:
-    """At most k rows per key, in hash order of ``order_by``."""
+    """At most k rows per key, in hash order of ``order_by``, which must tell the rows of a key apart.
+
+    With a group among the keys this bounds the rows per key and group.
+    """
     order = [hash52(seed, *order_by, algorithm=algorithm), *[F.col(c) for c in order_by]]
     return first_rows(df, keys, k, order).drop(RANK)
 

@@ -7,6 +7,7 @@ moments. The sensitivities follow from the bounds and never from the data.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from decimal import Decimal
 
@@ -154,7 +155,7 @@ def _draws(metrics, shares, low, high, by, unit, count_mechanism, grid) -> list[
             elif moment == "m2":
                 sensitivity *= ((high - low) / 2.0) ** 2
             if moment == "sum" and grid:
-                steps = influence * round(max(abs(low), abs(high)) / grid)
+                steps = influence * math.ceil(max(abs(low), abs(high)) / grid)
                 draws.append(Draw(name, "geometric", scale_for(float(steps), epsilon), grid))
             else:
                 draws.append(Draw(name, mechanism, scale_for(sensitivity, epsilon)))

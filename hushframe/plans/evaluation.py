@@ -6,6 +6,7 @@ repetitions are expanded from those moments, so the private table is not read ag
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -137,7 +138,7 @@ def _answers(low: float, high: float, grid: float, noise: SeededNoise) -> dict[t
     var_size, var_shift = from_noisy_size(3)
     noisy_spread = (F.col("m2") + laplace("m2", half * half, 3)) / var_size - var_shift * var_shift
     noisy_spread = F.greatest(F.least(noisy_spread, F.lit(half * half)), F.lit(0.0))
-    steps = round(most / grid)
+    steps = math.ceil(most / grid)
     return {
         ("COUNT", "geometric"): n + geometric("n", 1.0),
         ("COUNT", "laplace"): n + laplace("n", 1.0),

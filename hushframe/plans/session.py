@@ -148,7 +148,7 @@ class PrivacySession:
 
     def _charge(self, amount: float, query: str, mechanism: str, partition: str = "all") -> None:
         self._require(amount, query)
-        now = datetime.now(timezone.utc).replace(tzinfo=None)
+        now = datetime.now(timezone.utc)
         epsilon, rho = (float(amount), None) if self.measure == "pure" else (None, float(amount))
         row = (self.name, partition, query, mechanism, epsilon, 0.0, rho, now)
         self._spends.append(row)

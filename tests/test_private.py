@@ -79,6 +79,11 @@ def test_grid_sum_is_exact(table):
     assert P.dp_sum(table, "v", -4, 20, HUGE, QUIET, grid=0.5).first()[0] == expected
 
 
+def test_grid_sensitivity_covers_rounding_up():
+    draw, = P._draws(["sum"], {"sum": 1.0}, 0, 2.5, (), ROW, "geometric", 1.0)
+    assert draw.scale == 3.0  # 2.5 rounds up to three steps
+
+
 def test_empty_table(table):
     row = P.dp_aggregate(table.limit(0), ["count", "sum", "mean", "std"], HUGE, QUIET, value="v", low=0, high=10).first()
     assert row["count"] == 0 and row["sum"] == pytest.approx(0, abs=1e-4)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from hushframe.plans import evaluation as E
@@ -12,7 +14,7 @@ from workload.sql import NOISE, clamp, d, geometric, laplace
 
 LOW, HIGH, GRID, ITERATIONS = 0.0, 60.0, 0.01, 3
 HALF, MIDDLE = (HIGH - LOW) / 2, (LOW + HIGH) / 2
-STEPS = round(HIGH / GRID)
+STEPS = math.ceil(HIGH / GRID)
 KEY = ["dataset", "query", "mechanism", "epsilon", "iteration"]
 
 
