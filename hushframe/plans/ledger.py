@@ -55,14 +55,14 @@ def first_overrun(spends: DataFrame, limit: float) -> DataFrame:
     whole = scope.groupBy("session").agg(F.sum("_spent").alias("_whole"))
     over = whole.filter(F.col("_whole") > _units(limit)).select("session")
     scope = null_safe_semi_join(scope, materialise(over, "overrun"), ["session"])
-    for unit in ("day", "second"):
-        found = _first_crossing(scope, F.date_trunc(unit, "ts"), limit)
+    for bucket in _calendar(spends):
+        found = _first_crossing(scope, bucket, limit)
         opening = found.select(
             "session",
             F.col("_at").alias("_open"),
             (F.col("_upto") - F.col("_spent")).cast("decimal(38,0)").alias("_before"),
         )
-        inside = scope.drop("_before").withColumn("_open", F.date_trunc(unit, "ts"))
+        inside = scope.drop("_before").withColumn("_open", bucket)
         inside = null_safe_join(inside, opening, ["session", "_open"])
         scope = inside.groupBy("session", "_before", "ts").agg(F.sum("_spent").alias("_spent"))
         scope = materialise(scope, "overrun")
@@ -70,6 +70,14 @@ def first_overrun(spends: DataFrame, limit: float) -> DataFrame:
     return found.select("session", F.col("_at").alias("ts"), _amount(F.col("_upto")).alias("epsilon"))
 
 
+def _calendar(spends: DataFrame) -> tuple[Column, Column]:
+    """Day and second numbers of ``ts`` as elapsed time, which clock changes do not shift."""
+    elapsed = F.col("ts") - F.lit("1970-01-01 00:00:00").cast(spends.schema["ts"].dataType)
+    day, hour, minute, second = [F.extract(F.lit(f), elapsed) for f in ("DAY", "HOUR", "MINUTE", "SECOND")]
+    of_day = hour * F.lit(3600) + minute * F.lit(60) + F.floor(second)
+    return day.cast("bigint"), day.cast("bigint") * F.lit(86400) + of_day.cast("bigint")
+
+
 def _first_crossing(scope: DataFrame, at: Column, limit: float) -> DataFrame:
     """Per session the first bucket ``_at`` in which the total reaches beyond the limit."""
     buckets = scope.groupBy("session", "_before", at.alias("_at")).agg(F.sum("_spent").alias("_spent"))

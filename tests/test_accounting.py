@@ -86,6 +86,25 @@ def test_overrun_on_a_later_day(spark):
     assert found["ts"] == datetime(2024, 1, 2, 0, 6) and found["epsilon"] == 4.25
 
 
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+def test_overrun_across_a_clock_change(spark, kind):
+    """Local times between 2 and 3 o'clock of that night do not exist in this zone."""
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        rows = [("s", f"2024-03-10 0{h}:{m:02d}:00") for h in (1, 2, 3) for m in range(0, 60, 10)]
+        df = spark.createDataFrame(rows, "session string, at string")
+        at = F.col("at").cast(kind) if kind == "timestamp_ntz" else F.to_timestamp(F.concat("at", F.lit("+00:00")))
+        df = df.select("session", at.alias("ts"), F.lit(1.0).alias("epsilon"))
+        for limit in range(len(rows)):
+            found = L.first_overrun(df, float(limit)).select(F.col("epsilon"), F.col("ts")).first()
+            expected = df.orderBy("ts").collect()[limit]["ts"]
+            assert (found["epsilon"], found["ts"]) == (limit + 1.0, expected)
+            if limit == 8:
+                break
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_parallel(spark):
     rows = [("s", "a", 0.5, 0.0, 0), ("s", "a", 0.5, 0.0, 1), ("s", "b", 0.7, 0.0, 2)]
     answer = L.parallel_compose(spends(spark, rows)).first()
