@@ -18,9 +18,9 @@ LEVEL_BITS = 16
 def hash_sample(df: DataFrame, n: int, seed: str | int = 0, algorithm: str = "xxhash64") -> DataFrame:
     """Exactly the first n rows in hash order of all columns, or the whole table if it is shorter.
 
-    No global sort. Counts per leading hash bits find the bucket in which the n-th row lies; the
-    distinct hashes of that one bucket are written, and finer bits find the position among them. The
-    sample is then a filter on the hash. Each round brings one row to the driver. Equal rows share a
+    No global sort. Counts per leading hash bits find the bucket in which the n-th row lies. The distinct
+    hashes of that one bucket are ordered if they are few; otherwise they are written, and finer bits find
+    the position among them. The sample is then a filter on the hash. Each round brings one row to the driver. Equal rows share a
     hash: of such a group, part is cut as a number, not as rows.
     """
     kept, _ = _cut(df, n, seed, algorithm)
@@ -56,10 +56,12 @@ def _cut(df: DataFrame, n: int, seed: str | int, algorithm: str) -> tuple[DataFr
 
     inside = (F.col("_hash") >= F.lit(low)) & (F.col("_hash") < F.lit(low + (1 << width)))
     hashes = hashed.filter(inside).groupBy("_hash").agg(F.count(F.lit(1)).alias("_rows"))
-    hashes = materialise(hashes, "hashes")
+    many = found["at"]["_rows"] > 1 << LEVEL_BITS
+    if many:
+        hashes = materialise(hashes, "hashes")
     while width > 0:
         inside = (F.col("_hash") >= F.lit(low)) & (F.col("_hash") < F.lit(low + (1 << width)))
-        width = max(width - LEVEL_BITS, 0)
+        width = max(width - LEVEL_BITS, 0) if many else 0
         bucket = F.shiftright(F.col("_hash") - F.lit(low), width)
         finer = hashes.filter(inside).groupBy(bucket.alias("_bucket"))
         at = _crossing(finer.agg(F.sum("_rows").alias("_rows")), n, before)["at"]
