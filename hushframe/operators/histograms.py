@@ -83,11 +83,17 @@ def dp_histogramdd(
     return noisy.withColumn("frequency", F.col("count") / F.lit(float(n))) if n else noisy
 
 
-def dp_histogram(df: DataFrame, c: str, low: float, high: float, bins: int, epsilon: float, noise: Noise, **options) -> DataFrame:
+def dp_histogram(
+    df: DataFrame, c: str, low: float, high: float, bins: int, epsilon: float, noise: Noise, **options
+) -> DataFrame:
+    """Private counts of equal bins of one column."""
     return dp_histogramdd(df, [Axis(c, low, high, bins)], epsilon, noise, **options)
 
 
-def dp_histogram2d(df: DataFrame, first: Axis, second: Axis, epsilon: float, noise: Noise, **options) -> DataFrame:
+def dp_histogram2d(
+    df: DataFrame, first: Axis, second: Axis, epsilon: float, noise: Noise, **options
+) -> DataFrame:
+    """Private counts of the cells of two columns."""
     return dp_histogramdd(df, [first, second], epsilon, noise, **options)
 
 
@@ -145,8 +151,12 @@ def dp_quantiles(
 
 
 def dp_median(df: DataFrame, axis: Axis, epsilon: float, noise: Noise, **options) -> DataFrame:
+    """The private median, overall or per group."""
     return dp_quantiles(df, axis, [0.5], epsilon, noise, **options)
 
 
-def dp_percentiles(df: DataFrame, axis: Axis, percents: Sequence[float], epsilon: float, noise: Noise, **options) -> DataFrame:
+def dp_percentiles(
+    df: DataFrame, axis: Axis, percents: Sequence[float], epsilon: float, noise: Noise, **options
+) -> DataFrame:
+    """Private quantiles, asked for in percent."""
     return dp_quantiles(df, axis, [p / 100.0 for p in percents], epsilon, noise, **options)

@@ -245,21 +245,29 @@ def select_partitions(
     return noise.add(exact, [draw], by).filter(F.col("noisy_ids") >= F.lit(threshold))
 
 
-def dp_sum(df: DataFrame, c: Column | str, low: float, high: float, epsilon: float, noise: Noise, **options) -> DataFrame:
+def dp_sum(
+    df: DataFrame, c: Column | str, low: float, high: float, epsilon: float, noise: Noise, **options
+) -> DataFrame:
     """Private sum of clamped values; NULL and NaN are skipped."""
     return dp_aggregate(df, ["sum"], epsilon, noise, value=c, low=low, high=high, **options)
 
 
-def dp_mean(df: DataFrame, c: Column | str, low: float, high: float, epsilon: float, noise: Noise, **options) -> DataFrame:
+def dp_mean(
+    df: DataFrame, c: Column | str, low: float, high: float, epsilon: float, noise: Noise, **options
+) -> DataFrame:
     """Private mean when the number of rows is private too."""
     return dp_aggregate(df, ["mean"], epsilon, noise, value=c, low=low, high=high, **options)
 
 
-def dp_variance(df: DataFrame, c: Column | str, low: float, high: float, epsilon: float, noise: Noise, **options) -> DataFrame:
+def dp_variance(
+    df: DataFrame, c: Column | str, low: float, high: float, epsilon: float, noise: Noise, **options
+) -> DataFrame:
     """Private variance when the number of rows is private too."""
     return dp_aggregate(df, ["variance"], epsilon, noise, value=c, low=low, high=high, **options)
 
 
-def dp_std(df: DataFrame, c: Column | str, low: float, high: float, epsilon: float, noise: Noise, **options) -> DataFrame:
+def dp_std(
+    df: DataFrame, c: Column | str, low: float, high: float, epsilon: float, noise: Noise, **options
+) -> DataFrame:
     """Private standard deviation: the root of the private variance."""
     return dp_aggregate(df, ["std"], epsilon, noise, value=c, low=low, high=high, **options)

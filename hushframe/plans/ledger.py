@@ -16,7 +16,10 @@ from hushframe.functions.calibration import pure_to_zcdp, zcdp_to_epsilon
 from hushframe.operators.matching import null_safe_join, null_safe_semi_join
 from hushframe.plans.materialise import materialise
 
-SPENDS = "session string, partition string, query string, mechanism string, epsilon double, delta double, rho double, ts timestamp"
+SPENDS = (
+    "session string, partition string, query string, mechanism string, "
+    "epsilon double, delta double, rho double, ts timestamp"
+)
 UNIT = 1e12
 
 
