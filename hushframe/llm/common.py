@@ -56,7 +56,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int)
     return texts.join(F.broadcast(known), "id")
 
 
-def blocks(texts: list[str | None], limit: int = 1 << 20) -> Iterator[tuple[list[int], list[str]]]:
+def blocks(texts: list[str | None], limit: int = 1 << 18) -> Iterator[tuple[list[int], list[str]]]:
     """Groups of about `limit` characters: the index of each part's text, and the parts.
 
     Whole texts where they fit; a longer one is cut behind a space, so no task needs memory for

@@ -28,17 +28,23 @@ CONTEXT = 2048
 #: Pieces that one task packs.
 SHARD = 16384
 #: Words whose ids a worker remembers.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 19
 
 #: Outside of these characters, words are not cut apart here but by the tokenizer, in the whole text. Within
 #: them lower case, white space and normal form need no neighbouring character, so words can be encoded alone.
-UNUSUAL = re.compile(r"[^\t-\r -~¡-±´-¸º»¿-ɏ]|<\|")
+UNUSUAL = re.compile(r"[^\t-\r -~¡-±´-¸º»¿-ɏ]")
+#: How the vocabulary's special tokens begin, which may stand in a text.
+SPECIAL = "<|"
+#: The vocabulary's words (fixed values of the file's format), for the characters above.
+WORD = re.compile(r"[^\W\d_]+|'(?:s|t|re|ve|m|ll|d)|\d|(?:[^\s\w]|_)+")
+#: New words that are encoded in one call.
+TOGETHER = 500
 
 
 class WordIds:
     """Ids of whole texts, encoding each distinct word once.
 
-    A word is what white space separates: the tokenizer drops white space and never merges over it.
+    The vocabulary never merges over the end of a word, so a text's ids are those of its words.
     """
 
     def __init__(self, path: str) -> None:
@@ -47,18 +53,30 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[number for word, number in vocabulary.items() if word.endswith("</w>")]] = True
 
     def _learn(self, words: list[str]) -> None:
-        for word, found in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
-            self.known[word] = array("I", found.ids).tobytes()
+        """Encode words side by side; an id that ends a word tells where the next word's ids begin."""
+        for at in range(0, len(words), TOGETHER):
+            part = words[at : at + TOGETHER]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            stops = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+            if len(stops) != len(part):
+                for word, found in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
+                    self.known[word] = array("I", found.ids).tobytes()
+                continue
+            data = ids.tobytes()
+            for word, start, stop in zip(part, [0, *stops], stops):
+                self.known[word] = data[start:stop]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit numbers."""
-        split = [None if UNUSUAL.search(text) else text.lower().split() for text in texts]
+        split = [None if SPECIAL in text or UNUSUAL.search(text) else WORD.findall(text.lower()) for text in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        new = set().union(*(words for words in split if words)).difference(self.known)
-        self._learn(list(new))
+        self._learn(list(set().union(*(words for words in split if words)).difference(self.known)))
         known = self.known
         out = []
         for text, words in zip(texts, split):
@@ -119,7 +137,7 @@ def token_pieces(
     return cut.withColumnRenamed("id", doc_id)
 
 
-def slices(texts: pa.Array, limit: int = 1 << 22) -> Iterator[tuple[int, int]]:
+def slices(texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of rows with about `limit` bytes of text, one row at least."""
     import pyarrow.compute as pc
 
