@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hushframe.llm.common import importable
+from hushframe.plans.materialise import materialise
 
 #: Lengths that share a block of the suffix sums.
 BLOCK = 1024
@@ -52,28 +53,28 @@ def length_histogram(docs: DataFrame, length: Column, block: int = BLOCK) -> Dat
     A null length counts nowhere. No rows: no rows.
     """
     lengths = docs.select(length.cast("long").alias("length")).filter("length is not null")
-    sizes = lengths.groupBy("length").agg(F.count(F.lit(1)).alias("documents"))
+    sizes = materialise(lengths.groupBy("length").agg(F.count(F.lit(1)).alias("documents")), "lengths")
     sizes = sizes.withColumn("tokens", F.col("length") * F.col("documents"))
     sizes = sizes.withColumn("block", F.floor(F.col("length") / block))
+    documents, tokens = sizes.agg(F.sum("documents"), F.sum("tokens")).first()
     over = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     sums = sizes.groupBy("block").agg(F.sum("documents").alias("d"), F.sum("tokens").alias("t"))
     later = sums.select(
         "block", F.coalesce(F.sum("d").over(over), F.lit(0)).alias("d"), F.coalesce(F.sum("t").over(over), F.lit(0)).alias("t")
     )
-    whole = sums.agg(F.sum("d").alias("all_documents"), F.sum("t").alias("all_tokens"))
     inside = Window.partitionBy("block").orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, 0)
     suffix = (
         sizes.withColumn("own_d", F.sum("documents").over(inside))
         .withColumn("own_t", F.sum("tokens").over(inside))
-        .join(later.crossJoin(F.broadcast(whole)), "block")
+        .join(later, "block")
         .withColumn("documents_at_least", F.col("own_d") + F.col("d"))
         .withColumn("tokens_at_least", F.col("own_t") + F.col("t"))
     )
-    below = F.col("all_tokens") - F.col("tokens_at_least")
+    below = F.lit(tokens).cast("long") - F.col("tokens_at_least")
     return suffix.select(
         "length", "documents", "tokens", "documents_at_least", "tokens_at_least",
         (below + F.col("length") * F.col("documents_at_least")).alias("truncated_total"),
-        (F.col("all_documents") - F.col("documents_at_least") + F.col("documents")).alias("documents_up_to"),
+        (F.lit(documents).cast("long") - F.col("documents_at_least") + F.col("documents")).alias("documents_up_to"),
     )
 
 
@@ -88,7 +89,7 @@ def truncated_totals(histogram: DataFrame, limits: DataFrame) -> DataFrame:
         "length", "documents_at_least", "truncated_total",
         (F.col("truncated_total") - F.col("length") * F.col("documents_at_least")).alias("below"),
     )
-    top = histogram.agg(F.max("truncated_total").alias("everything"))
+    everything = histogram.agg(F.max("truncated_total")).first()[0]
     points = ends.select(F.col("length").alias("at"), F.struct("length", "documents_at_least", "below").alias("row"))
     asked = limits.select(F.col("limit").cast("long").alias("at"), F.lit(None).cast(points.schema["row"].dataType).alias("row"))
     block = F.floor(F.col("at") / BLOCK)
@@ -102,21 +103,16 @@ def truncated_totals(histogram: DataFrame, limits: DataFrame) -> DataFrame:
         "at", F.coalesce("own", "next").alias("row")
     )
     total = F.when(F.col("at").isNull(), None).otherwise(
-        F.coalesce(F.col("row.below") + F.col("at") * F.col("row.documents_at_least"), F.col("everything"))
+        F.coalesce(F.col("row.below") + F.col("at") * F.col("row.documents_at_least"), F.lit(everything).cast("long"))
     )
-    return found.join(F.broadcast(top)).select(F.col("at").alias("limit"), total.alias("total"))
+    return found.select(F.col("at").alias("limit"), total.alias("total"))
 
 
 def length_quantiles(histogram: DataFrame, shares: list[float]) -> DataFrame:
     """(share, length): the smallest length that this share of all documents does not exceed."""
-    whole = histogram.agg(F.max("documents_up_to").alias("all_documents"))
-    reached = histogram.select("length", "documents_up_to")
-    parts = []
+    documents = histogram.agg(F.max("documents_up_to")).first()[0]
+    least = []
     for share in shares:
-        enough = F.col("documents_up_to") >= F.ceil(F.lit(float(share)) * F.col("all_documents"))
-        at = reached.join(F.broadcast(whole)).agg(F.min(F.when(enough, F.col("length"))).alias("length"))
-        parts.append(at.select(F.lit(float(share)).alias("share"), "length"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+        enough = F.col("documents_up_to") >= F.ceil(F.lit(float(share)) * F.lit(documents).cast("double"))
+        least.append(F.struct(F.lit(float(share)).alias("share"), F.min(F.when(enough, F.col("length"))).alias("length")))
+    return histogram.agg(F.array(*least).alias("rows")).select(F.inline("rows"))
