@@ -126,9 +126,8 @@ def resolve_revisits(records: DataFrame, carry: tuple[str, ...] = (), buckets: i
     found = latest_responses(events, buckets)
     visits = known.filter(revisit).select("record_id", "key", F.col("headers").alias("update"))
     stored = known.filter(full).select(F.col("record_id").alias("response_id"), F.col("headers").alias("stored"), *carry)
-    joined = (
-        visits.join(found, visits["record_id"] == found["revisit_id"], "left").drop("revisit_id").join(stored, "response_id", "left")
-    )
+    answers = found.join(stored, "response_id")  # inner: revisits without a response would all meet as one null key
+    joined = visits.join(answers, visits["record_id"] == answers["revisit_id"], "left")
     agree = validators_agree(F.col("stored"), F.col("update"))
     state = (
         F.when(F.col("response_id").isNull(), "missing")
