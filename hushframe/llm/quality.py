@@ -135,12 +135,11 @@ class QualityModel:
 
 
 def fit(
-    bags: np.ndarray, mask: np.ndarray, y: np.ndarray, steps: int = 300, rate: float = 0.02, seed: int = 7
+    features: np.ndarray, sizes: np.ndarray, y: np.ndarray, steps: int = 300, rate: float = 0.02, seed: int = 7
 ) -> QualityModel:
-    """Adam on the log loss of whole bags; bags is documents x passages x features, mask tells real passages."""
-    real = bags[mask]
-    mean = real.mean(axis=0) if len(real) else np.zeros(WIDTH)
-    deviation = np.maximum(real.std(axis=0), 0.02) if len(real) else np.ones(WIDTH)
+    """Adam on the log loss of whole bags; features lists all bags' passages, sizes says how many each bag has."""
+    mean = features.mean(axis=0) if len(features) else np.zeros(WIDTH)
+    deviation = np.maximum(features.std(axis=0), 0.02) if len(features) else np.ones(WIDTH)
     draw = np.random.default_rng(seed)
     w = {
         "W": draw.normal(0, 0.3, (WIDTH, HIDDEN)), "w": np.zeros(HIDDEN),
@@ -153,28 +152,29 @@ def fit(
     if not 0 < y.sum() < len(y):
         w["c"] = np.zeros(HIDDEN)
         return model
-    x = (bags - mean) / deviation
+    x = (features - mean) / deviation
+    first = np.cumsum(sizes) - sizes
+    bag = np.repeat(np.arange(len(sizes)), sizes)
     moment = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in w.items()}
     for step in range(1, steps + 1):
         h = np.tanh(x @ w["W"] + w["w"])
         t, s = np.tanh(h @ w["V"]), _sigmoid(h @ w["U"])
-        logit = np.where(mask, (t * s) @ w["a"], -np.inf)
-        share = np.exp(logit - logit.max(axis=1, keepdims=True))
-        share /= share.sum(axis=1, keepdims=True)
-        z = (share[:, :, None] * h).sum(axis=1)
+        logit = (t * s) @ w["a"]
+        share = np.exp(logit - np.maximum.reduceat(logit, first)[bag])
+        share /= np.add.reduceat(share, first)[bag]
+        z = np.add.reduceat(share[:, None] * h, first)
         error = (_sigmoid(z @ w["c"] + w["b"]) - y) / len(y)
-        dz = error[:, None] * w["c"]
-        dh = share[:, :, None] * dz[:, None, :]
-        dot = (h * dz[:, None, :]).sum(axis=2)
-        dlogit = share * (dot - (share * dot).sum(axis=1, keepdims=True))
-        dgate = dlogit[:, :, None] * w["a"]
+        dz = (error[:, None] * w["c"])[bag]
+        dh = share[:, None] * dz
+        dot = (h * dz).sum(axis=1)
+        dlogit = share * (dot - np.add.reduceat(share * dot, first)[bag])
+        dgate = dlogit[:, None] * w["a"]
         dt, ds = dgate * s * (1 - t * t), dgate * t * s * (1 - s)
         dh += dt @ w["V"].T + ds @ w["U"].T
         du = dh * (1 - h * h)
-        flat = lambda m: m.reshape(-1, m.shape[-1])
         slope = {
-            "W": flat(x).T @ flat(du), "w": flat(du).sum(axis=0), "V": flat(h).T @ flat(dt), "U": flat(h).T @ flat(ds),
-            "a": (dlogit[:, :, None] * t * s).sum(axis=(0, 1)), "c": z.T @ error, "b": error.sum(),
+            "W": x.T @ du, "w": du.sum(axis=0), "V": h.T @ dt, "U": h.T @ ds,
+            "a": dlogit @ (t * s), "c": z.T @ error, "b": error.sum(),
         }
         for k in w:
             g = slope[k] + 1e-4 * w[k] * (k not in "wb")
@@ -206,13 +206,9 @@ def learn_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bag:
                 )
 
     rows = known.select("label", "text").mapInArrow(run, "label double, features array<double>").toPandas()
-    bags = np.zeros((len(rows), bag, WIDTH))
-    mask = np.zeros((len(rows), bag), bool)
-    for i, features in enumerate(rows["features"]):
-        count = len(features) // WIDTH
-        bags[i, :count] = np.asarray(features).reshape(count, WIDTH)
-        mask[i, :count] = True
-    return fit(bags, mask, (rows["label"].to_numpy(float) > 0).astype(float))
+    sizes = np.array([len(f) // WIDTH for f in rows["features"]], np.int64)
+    features = np.concatenate([np.zeros(0), *rows["features"]]).reshape(-1, WIDTH)
+    return fit(features, sizes, (rows["label"].to_numpy(float) > 0).astype(float))
 
 
 def quality_of(docs: DataFrame, model: QualityModel, text: str = "text") -> Column:
