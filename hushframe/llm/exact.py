@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hushframe.llm.common import unused
 from hushframe.plans.materialise import materialise
 
 #: Bytes of the first round, and how much longer each stretch is than the one before.
@@ -141,11 +142,9 @@ def drop_exact_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     if both.isEmpty():
         return left
     plain = left.join(both, left[doc_id].eqNullSafe(both["gone_id"]), "left_anti")
-    kept = classes.filter("kept").select(F.col(doc_id).alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
-    twice = left.join(both, left[doc_id].eqNullSafe(both["gone_id"]), "left_semi").withColumn(
-        "exact_sha", F.sha2(squeezed(F.col(text)).cast("binary"), 256)
-    )
-    twice = twice.join(
-        kept.distinct(), twice[doc_id].eqNullSafe(F.col("kept_id")) & (F.col("exact_sha") == F.col("kept_sha")), "left_semi"
-    )
-    return plain.unionByName(twice.dropDuplicates([doc_id, "exact_sha"]).drop("exact_sha"))
+    kept = classes.filter("kept").select(F.col(doc_id).alias("kept_id"), F.col("text_sha256").alias("kept_sha")).distinct()
+    sha = unused(docs, "exact_sha")
+    twice = left.join(both, left[doc_id].eqNullSafe(both["gone_id"]), "left_semi")
+    twice = twice.withColumn(sha, F.sha2(squeezed(F.col(text)).cast("binary"), 256))
+    same = twice[doc_id].eqNullSafe(kept["kept_id"]) & (twice[sha] == kept["kept_sha"])
+    return plain.unionByName(twice.join(kept, same, "left_semi").dropDuplicates([doc_id, sha]).drop(sha))

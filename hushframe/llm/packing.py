@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hushframe.llm.common import importable
+from hushframe.llm.common import importable, unused
 from hushframe.plans.materialise import materialise
 
 CONTEXT = 2048
@@ -194,10 +194,9 @@ def pack(
     pieces = materialise(pieces, "pieces")
     total = pieces.count()
     shards = max(1, -(-total // shard))
-    key = "pack_shard"
+    key = unused(pieces, "pack_shard")
     dealt = pieces.withColumn(key, F.pmod(F.xxhash64(doc_id, "piece"), F.lit(shards)))
-    out = pieces.schema.simpleString()[len("struct<") : -1]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) if out else ""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", doc_id, "piece"], ascending=[False, True, True], kind="stable")

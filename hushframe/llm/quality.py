@@ -201,11 +201,13 @@ def learn_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bag:
                 features = np.concatenate(found) if found else np.zeros((1, WIDTH))
                 at = np.unique(np.linspace(0, len(features) - 1, min(bag, len(features))).astype(int))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([batch.column(0)[row].as_py()], pa.float64()),
-                     pa.array([features[at].ravel().tolist()], pa.list_(pa.float64()))], ["label", "features"],
+                    [batch.column(0).slice(row, 1), batch.column(2).slice(row, 1),
+                     pa.array([features[at].ravel().tolist()], pa.list_(pa.float64()))], ["id", "label", "features"],
                 )
 
-    rows = known.select("label", "text").mapInArrow(run, "label double, features array<double>").toPandas()
+    kind = known.schema["id"].dataType.simpleString()
+    rows = known.select("id", "text", "label").mapInArrow(run, f"id {kind}, label double, features array<double>").toPandas()
+    rows = rows.sort_values("id")  # sums in the same order on every run
     sizes = np.array([len(f) // WIDTH for f in rows["features"]], np.int64)
     features = np.concatenate([np.zeros(0), *rows["features"]]).reshape(-1, WIDTH)
     return fit(features, sizes, (rows["label"].to_numpy(float) > 0).astype(float))

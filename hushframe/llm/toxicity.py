@@ -48,10 +48,10 @@ CLAUSE = re.compile(r"[^.!?;:\n|,]+")
 def _classes() -> dict[str, tuple[int, float]]:
     """Class and weight of each fixed word; insults come last, as they count most."""
     known = {}
-    for kind, words in ((T.REPORT, REPORTS), (T.NEGATION, NEGATIONS), (T.TARGET, TARGETS)):
+    for kind, words in ((T.REPORT, REPORTS), (T.NEGATION, NEGATIONS)):
         known.update((word, (kind, 0.0)) for word in words)
-    known.update((word, (T.THREAT, KNOWN_WEIGHT)) for word in THREATS)
-    known.update((word, (T.INSULT, KNOWN_WEIGHT)) for word in INSULTS)
+    for kind, words in ((T.TARGET, TARGETS), (T.THREAT, THREATS), (T.INSULT, INSULTS)):
+        known.update((word, (kind, KNOWN_WEIGHT)) for word in words)  # a target's counts where it completes a threat
     return known
 
 
@@ -118,15 +118,17 @@ def inputs(total: np.ndarray, matched: np.ndarray, words: np.ndarray) -> np.ndar
     return np.stack([np.ones_like(total), np.log1p(total), np.log1p(matched), np.log1p(100 * rate)], axis=1)
 
 
+#: The curve before any label: a matched clause of two known insults is toxic.
+PRIOR = np.array([-4.0, 1.0, 1.0, 0.5])
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Coefficients by Newton's method, the constant not shrunk."""
-    w = np.zeros(x.shape[1])
-    shrink = np.full(x.shape[1], ridge)
-    shrink[0] = 1e-3
+    """Coefficients by Newton's method, drawn towards the prior, so that few labels change little."""
+    w = PRIOR.copy()
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (p - y) + shrink * w
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + np.diag(shrink)
+        gradient = x.T @ (p - y) + ridge * (w - PRIOR)
+        hessian = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
         step = np.linalg.solve(hessian, gradient)
         w -= np.clip(step, -4, 4)
         if np.abs(step).max() < 1e-8:
@@ -146,10 +148,6 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-at))
 
 
-#: The curve where no labels of both kinds are known: a matched clause of two known insults is toxic.
-DEFAULT = np.array([-4.0, 1.0, 1.0, 0.5])
-
-
 def learn_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityModel:
     """Learn insults from two thirds of a bounded labelled sample and the curve from the rest.
 
@@ -161,7 +159,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     spark = docs.sparkSession
     importable(spark)
     known = labelled_sample(docs, labels, "toxic", sample)
-    known = known.withColumn("text", F.lower("text")).dropDuplicates(["text"])
+    known = known.groupBy(F.lower("text").alias("text")).agg(F.min("id").alias("id"), F.max("label").alias("label"))
     known = materialise(known.withColumn("part", F.crc32(F.col("id").cast("string").cast("binary")) % 4), "toxic-sample")
     first, second = known.filter("part <> 3"), known.filter("part = 3")
 
@@ -180,11 +178,11 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
         for r in strong.orderBy(F.desc("weight"), "word").limit(LEXICON).collect():
             grammar.words[r["word"]] = (T.INSULT, r["weight"])
 
-    found = second.select("label", _features(second, grammar).alias("f")).select("label", "f.*").toPandas()
+    found = second.select("id", "label", _features(second, grammar).alias("f")).select("id", "label", "f.*").toPandas()
+    found = found.sort_values("id")  # sums in the same order on every run
     y = (found["label"].to_numpy(float) > 0).astype(float)
-    coefficients = DEFAULT
-    if 0 < y.sum() < len(y):
-        coefficients = fit_logistic(inputs(*(found[c].to_numpy(float) for c in ("total", "matched", "words"))), y)
+    x = inputs(*(found[c].to_numpy(float) for c in ("total", "matched", "words")))
+    coefficients = fit_logistic(x, y)
     return ToxicityModel(grammar, coefficients)
 
 
