@@ -17,7 +17,7 @@ from hushframe.operators.private import (
 )
 from hushframe.plans.adaptive import two_phase_count
 from hushframe.plans.evaluation import run_trials, summarise_trials
-from hushframe.plans.session import BudgetExceeded, PrivacySession, Query
+from hushframe.plans.session import BudgetExceeded, PrivacySession, Query, UnsafeStep
 
 __all__ = [
     "ROW",
@@ -28,6 +28,7 @@ __all__ = [
     "Query",
     "SecureNoise",
     "SeededNoise",
+    "UnsafeStep",
     "dp_aggregate",
     "dp_count",
     "dp_count_nonzero",

@@ -103,8 +103,10 @@ class SeededNoise:
     unsafe_seed: str | int
     algorithm: str = "xxhash64"
 
-    def add(self, df: DataFrame, draws: Sequence[Draw], keys: Sequence[str] = ()) -> DataFrame:
-        """Replace each drawn column by its noisy value."""
+    def add(
+        self, df: DataFrame, draws: Sequence[Draw], keys: Sequence[str] = (), keep: Column | None = None
+    ) -> DataFrame:
+        """Replace each drawn column by its noisy value; only rows that satisfy ``keep`` are released."""
         noisy = {}
         for draw in draws:
             value = F.col(draw.column) + self.noise(
@@ -115,7 +117,8 @@ class SeededNoise:
             elif draw.whole:
                 value = value.cast("bigint")
             noisy[draw.column] = value
-        return df.withColumns(noisy)
+        df = df.withColumns(noisy)
+        return df if keep is None else df.filter(keep)
 
     def noise(self, mechanism: str, label: str, scale: Column, keys: Sequence[str | Column]) -> Column:
         """The noise alone, as a Column."""
@@ -144,8 +147,13 @@ class SeededNoise:
 class SecureNoise:
     """Operating-system randomness, drawn once: the noisy table is written before it is read."""
 
-    def add(self, df: DataFrame, draws: Sequence[Draw], keys: Sequence[str] = ()) -> DataFrame:
-        """Replace each drawn column by its noisy value, in a written table."""
+    def add(
+        self, df: DataFrame, draws: Sequence[Draw], keys: Sequence[str] = (), keep: Column | None = None
+    ) -> DataFrame:
+        """Replace each drawn column by its noisy value, in a written table.
+
+        Rows that do not satisfy ``keep`` are dropped in the same job and never written.
+        """
         scaled = df.withColumns({f"_scale_{d.column}": d.scale_column() for d in draws})
         types = {d.column: T.LongType() if d.whole and not d.grid else T.DoubleType() for d in draws}
         schema = T.StructType([
@@ -161,7 +169,8 @@ class SecureNoise:
                     batch[column] = [noisy_value(mechanism, v, s, grid) for v, s in pairs]
                 yield batch[names]
 
-        return materialise(scaled.mapInPandas(draw_rows, schema))
+        drawn = scaled.mapInPandas(draw_rows, schema)
+        return materialise(drawn if keep is None else drawn.filter(keep))
 
     def uniform(self, label: str, keys: Sequence[str | Column], stream: int = 1) -> Column:
         return secure.os_uniform(F.concat_ws("|", *keys))

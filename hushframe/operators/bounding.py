@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from hushframe.functions.uniform import hash52
 from hushframe.operators.matching import null_safe_semi_join
@@ -46,8 +48,10 @@ ROW = PrivacyUnit()
 
 
 def _order(df: DataFrame, unit: PrivacyUnit) -> list[Column]:
+    """By the hash of the row key, then the key; rows that share a key by their other columns."""
     key = list(unit.row_key) or df.columns
-    return [hash52(unit.seed, *key, algorithm=unit.algorithm), *[F.col(c) for c in key]]
+    rest = [f.name for f in df.schema if f.name not in key and not isinstance(f.dataType, (MapType, VariantType))]
+    return [hash52(unit.seed, *key, algorithm=unit.algorithm), *[F.col(c) for c in (*key, *rest)]]
 
 
 def _keep_ranked(
@@ -121,9 +125,11 @@ def one_value_each(
 ) -> DataFrame:
     """``bound_contributions`` for one row per pair, when only ``value`` is needed of it.
 
-    The row with the smallest hash is found by a hash aggregate, without sorting the table.
+    The row with the smallest hash is found by a hash aggregate, without sorting the table. Of rows that share a
+    row key, which have one hash, the value decides by its own hash, so the order of the file never does.
     """
-    first = _order(df, unit)[0]
+    tie = F.xxhash64(value).cast("decimal(20,0)") + F.lit(Decimal(2**63))
+    first = _order(df, unit)[0].cast("decimal(16,0)") * F.lit(Decimal(2**64)) + tie
     kept = df.groupBy(unit.column, *by).agg(F.min_by(value, first).alias(value))
     return _bound_pairs(kept.withColumn(RANK, F.lit(1)), unit, by, keyset)
 

@@ -59,7 +59,10 @@ def hamming(a: DataFrame, b: DataFrame, row_key: Sequence[str]) -> DataFrame:
 
 
 def aligned_gaps(a: DataFrame, b: DataFrame, row_key: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Per row key the absolute difference of each column; a key must be unique and on both sides."""
+    """Per row key the absolute difference of each column; a key must be unique and on both sides.
+
+    A value that is NULL on both sides has not changed; one that is NULL on one side only has no distance: that raises.
+    """
     wanted = [*row_key, *columns]
     left = a.select(*wanted, F.lit(1).alias("_a"), F.lit(0).alias("_b"))
     right = b.select(*wanted, F.lit(0).alias("_a"), F.lit(1).alias("_b"))
@@ -67,7 +70,13 @@ def aligned_gaps(a: DataFrame, b: DataFrame, row_key: Sequence[str], columns: Se
     def side(c: str, mark: str) -> Column:
         return F.max(F.when(F.col(mark) == 1, F.col(c)))
 
-    gaps = [F.abs(side(c, "_a") - side(c, "_b")).alias(c) for c in columns]
+    def gap(c: str) -> Column:
+        a, b = side(c, "_a"), side(c, "_b")
+        one_sided = F.raise_error(F.lit(f"{c} is NULL on one side only"))
+        known = F.when(a.isNull() & b.isNull(), F.lit(0)).when(a.isNotNull() & b.isNotNull(), F.abs(a - b))
+        return F.when(a.isNull() != b.isNull(), one_sided).otherwise(known).alias(c)
+
+    gaps = [gap(c) for c in columns]
     paired = (F.sum("_a") == 1) & (F.sum("_b") == 1)
     checked = F.when(paired, F.lit(True)).otherwise(
         F.raise_error(F.lit("row key is not unique or missing on one side")).cast("boolean")

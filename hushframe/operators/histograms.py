@@ -13,10 +13,12 @@ from hushframe.functions.calibration import scale_for
 from hushframe.functions.noise import Draw, Noise
 from hushframe.functions.scalars import check_bounds
 from hushframe.operators.bounding import ROW, PrivacyUnit, bound_contributions, bound_rows
-from hushframe.operators.keysets import aggregate_on_keyset, private_rows
+from hushframe.operators.keysets import aggregate_on_keyset, keyset_product, private_rows
+from hushframe.operators.matching import null_safe_join
 from hushframe.operators.private import select_partitions
 
-MAX_CELLS = 10_000_000
+#: Bins that share a block of the running sums.
+BLOCK = 4096
 
 
 @dataclass(frozen=True)
@@ -53,8 +55,8 @@ def cells_of(df: DataFrame, axes: Sequence[Axis], by: Sequence[str] = ()) -> Dat
 def full_grid(df: DataFrame, axes: Sequence[Axis]) -> DataFrame:
     """Every cell, read off a running number, so that no two axes are ever joined."""
     cells = math.prod(a.bins for a in axes)
-    if cells > MAX_CELLS:
-        raise ValueError(f"{cells} cells do not fit a dense grid; use dp_sparse_histogram")
+    if cells >= 1 << 63:
+        raise ValueError(f"{cells} cells cannot be numbered; use dp_sparse_histogram")
     columns, stride = [], cells
     for i, axis in enumerate(axes):
         stride //= axis.bins
@@ -112,8 +114,8 @@ def dp_quantiles(
 ) -> DataFrame:
     """Private quantiles by the exponential mechanism over a public bin grid.
 
-    Only bin counts are ordered, never rows: the cumulative sum runs over the grid of one group. A bin
-    scores by how far the rank at its middle is from the wanted rank; the value is drawn inside the
+    Only bin counts are ordered, never rows: running sums are taken inside blocks of bins and over the
+    sums of the blocks, so a fine grid is spread over many tasks. A bin scores by how far the rank at its middle is from the wanted rank; the value is drawn inside the
     chosen bin. Empty bins take part, as leaving them out would reveal where the data lies.
     """
     for q in quantiles:
@@ -127,14 +129,18 @@ def dp_quantiles(
         influence *= unit.partitions if by else 1
     grid = full_grid(df, [axis])
     if by:
-        grid = keyset.select(*by).withColumn("bin_0", F.explode(F.sequence(F.lit(0), F.lit(axis.bins - 1))))
-        grid = grid.withColumn("bin_0", F.col("bin_0").cast("bigint"))
+        grid = keyset_product(keyset.select(*by), grid)
     cells = cells_of(df, [axis], by)
     counts = aggregate_on_keyset(cells, grid, [*by, "bin_0"], {"count": private_rows()})
+    counts = counts.withColumn("_block", F.floor(F.col("bin_0") / F.lit(BLOCK)))
+    sums = counts.groupBy(*by, "_block").agg(F.sum("count").alias("_sum"))
     group = Window.partitionBy(*by)
-    upto = F.sum("count").over(group.orderBy("bin_0"))
-    total = F.sum("count").over(group)
-    ranked = counts.select(*by, "bin_0", (upto - F.col("count") / 2.0).alias("rank"), total.alias("n"))
+    earlier = F.sum("_sum").over(group.orderBy("_block")) - F.col("_sum")
+    sums = sums.select(*by, "_block", earlier.alias("_earlier"), F.sum("_sum").over(group).alias("n"))
+    inside = F.sum("count").over(Window.partitionBy(*by, "_block").orderBy("bin_0"))
+    upto = F.col("_earlier") + F.col("_inside")
+    ranked = null_safe_join(counts.withColumn("_inside", inside), sums, [*by, "_block"])
+    ranked = ranked.select(*by, "bin_0", (upto - F.col("count") / 2.0).alias("rank"), "n")
     asked = F.explode(F.array(*[F.lit(float(q)) for q in quantiles]))
     scored = ranked.withColumn("quantile", asked)
     share = epsilon / (len(quantiles) * influence)

@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 from hushframe.operators.bounding import truncate_rows
 from hushframe.operators.matching import null_safe_semi_join
 
-MAX_LITERAL_KEYS = 4096
+#: Longer declared domains become a table of their own.
+LITERALS = 256
+#: Parts that a product deals the second key set into, at most.
+PARTS = 4096
 MARKER = "_listed"
 
 
@@ -78,26 +81,25 @@ def declared_keys(spark: SparkSession, domains: Mapping[str, Sequence[object]])
 
 
 def with_domains(df: DataFrame, domains: Mapping[str, Sequence[object]]) -> DataFrame:
-    """Attach every combination of the declared domains to the keys of ``df``."""
+    """Attach every combination of the declared domains, of any length, to the keys of ``df``."""
     for name, values in domains.items():
-        if len(values) > MAX_LITERAL_KEYS:
-            raise ValueError(f"declared domain {name} has more than {MAX_LITERAL_KEYS} values")
-        df = df.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
+        if len(values) > LITERALS:
+            schema = df.sparkSession.range(1).select(F.lit(values[0]).alias(name)).schema
+            schema[name].nullable = True
+            df = keyset_product(df, df.sparkSession.createDataFrame([(v,) for v in values], schema))
+        else:
+            df = df.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
     return df
 
 
 def keyset_product(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Every combination of two public key sets.
+    """Every combination of two public key sets of any size.
 
-    The second set is written into the plan as a literal list, so each task expands its own part of
-    the first one. A second set that is too long for that is refused, never cut: pass the shorter set
-    second, or release found keys with ``select_partitions``.
+    The second set is dealt by hash into parts, the first one is unfolded over the numbers of the parts, and
+    both meet by that number: an equi join without a hot key. Only the size of the second set, which sets
+    the number of parts, reaches the driver.
     """
-    rows = b.limit(MAX_LITERAL_KEYS + 1).collect()
-    if len(rows) > MAX_LITERAL_KEYS:
-        raise ValueError(f"the second key set has more than {MAX_LITERAL_KEYS} keys")
-    fields = b.schema.fields
-    keys = [F.struct(*[F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in fields]) for r in rows]
-    empty = F.from_json(F.lit("[]"), "array<" + b.schema.simpleString() + ">")
-    exploded = a.withColumn("_key", F.explode(F.array(*keys) if keys else empty))
-    return exploded.select(*a.columns, *[F.col("_key")[f.name].alias(f.name) for f in fields])
+    parts = max(1, min(b.count(), PARTS))
+    every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    mine = F.pmod(F.xxhash64(*[F.col(c) for c in b.columns]), F.lit(parts)).cast("int")
+    return a.withColumn("_part", every).join(b.withColumn("_part", mine), "_part").drop("_part")

@@ -75,6 +75,8 @@ def dp_aggregate(
     if "privacy_id_count" in metrics and unit.column is None:
         raise ValueError("privacy_id_count needs a privacy unit column")
     bounded_metrics = [m for m in metrics if m not in ("count", "privacy_id_count")]
+    if count_mechanism not in ("geometric", "laplace"):
+        raise ValueError(f"counts are calibrated for geometric and laplace noise, not for {count_mechanism}")
     if bounded_metrics:
         if value is None or low is None or high is None:
             raise ValueError(f"{bounded_metrics} need value, low and high")
@@ -87,9 +89,8 @@ def dp_aggregate(
     if found_keys:
         partitions = unit.partitions if unit.column else 1
         draws.append(Draw("selected_ids", "laplace", scale_for(float(partitions), selection[0])))
-    noisy = noise.add(exact, draws, by)
-    if found_keys:
-        noisy = noisy.filter(F.col("selected_ids") >= F.lit(selection_threshold(*selection, partitions)))
+    keep = F.col("selected_ids") >= F.lit(selection_threshold(*selection, partitions)) if found_keys else None
+    noisy = noise.add(exact, draws, by, keep)
     return noisy.select(*by, *[_answer(m, low, high, ddof).alias(m) for m in metrics])
 
 
@@ -192,10 +193,10 @@ def dp_filtered_count(df: DataFrame, predicate: str, epsilon: float, noise: Nois
 def dp_count_nonzero(
     df: DataFrame, what: Column | str, epsilon: float, noise: Noise, *, n: int | None = None, **options
 ) -> DataFrame:
-    """Private count of non-zero values (or true predicates), as a share if the public n is given."""
+    """Private count of non-zero values (or true predicates; NULL and NaN are neither), as a share if the public n is given."""
     c = F.col(what) if isinstance(what, str) else what
     hit = c.cast("double")
-    counted = dp_count(df.filter(hit.isNotNull() & (hit != 0)), epsilon, noise, **options)
+    counted = dp_count(df.filter(hit.isNotNull() & ~F.isnan(hit) & (hit != 0)), epsilon, noise, **options)
     return counted.withColumn("share", F.col("count") / F.lit(float(n))) if n else counted
 
 
@@ -242,7 +243,7 @@ def select_partitions(
     exact = pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("noisy_ids"))
     draw = Draw("noisy_ids", "laplace", scale_for(float(unit.partitions), epsilon))
     threshold = selection_threshold(epsilon, delta, unit.partitions)
-    return noise.add(exact, [draw], by).filter(F.col("noisy_ids") >= F.lit(threshold))
+    return noise.add(exact, [draw], by, F.col("noisy_ids") >= F.lit(threshold))
 
 
 def dp_sum(

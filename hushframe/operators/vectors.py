@@ -11,6 +11,17 @@ from hushframe.operators.bounding import ROW, PrivacyUnit, bound_rows
 from hushframe.operators.keysets import aggregate_on_keyset
 
 
+def usable(c: Column | str, dim: int) -> Column:
+    """The first ``dim`` elements as doubles; NULL, NaN and infinite ones count as zero."""
+    v = F.col(c) if isinstance(c, str) else c
+
+    def finite(x: Column) -> Column:
+        x = x.cast("double")
+        return F.coalesce(F.when(F.abs(x) < F.lit(float("inf")), x), F.lit(0.0))
+
+    return F.transform(F.slice(v, 1, dim), finite)
+
+
 def vector_norm(c: Column | str, norm: str) -> Column:
     """L1 or L2 length of an array of numbers."""
     v = F.col(c) if isinstance(c, str) else c
@@ -23,16 +34,22 @@ def vector_norm(c: Column | str, norm: str) -> Column:
 
 
 def clip_factor(c: Column | str, norm: str, clip: float) -> Column:
-    """What to multiply a vector by so that its length is at most ``clip``."""
-    return F.least(F.lit(1.0), F.coalesce(F.try_divide(F.lit(float(clip)), vector_norm(c, norm)), F.lit(1.0)))
+    """What to multiply a vector of usable elements by so that its length is at most ``clip``.
+
+    A length that overflows is infinite, and its vector counts as zero.
+    """
+    length = vector_norm(c, norm)
+    return F.when(length > F.lit(float(clip)), F.lit(float(clip)) / length).otherwise(F.lit(1.0))
 
 
 def vector_sum(df: DataFrame, c: str, dim: int, clip: float, norm: str = "l2") -> DataFrame:
     """Exact sum of the clipped vectors, one row per coordinate ``pos`` in 0..dim-1.
 
-    The partial sums of a task are ``dim`` rows, whatever the number of vectors.
+    Vectors are cut to ``dim`` elements before their length is taken; missing and infinite elements count as
+    zero. The partial sums of a task are ``dim`` rows, whatever the number of vectors.
     """
-    scaled = df.select(F.col(c).alias("_v"), clip_factor(c, norm, clip).alias("_factor"))
+    vectors = df.select(usable(c, dim).alias("_v"))
+    scaled = vectors.select("_v", clip_factor("_v", norm, clip).alias("_factor"))
     parts = scaled.select("_factor", F.posexplode("_v").alias("pos", "_x"))
     parts = parts.select("pos", (F.col("_x").cast("double") * F.col("_factor")).alias("_x"))
     grid = df.sparkSession.range(dim).select(F.col("id").cast("int").alias("pos"))

@@ -1,8 +1,12 @@
 """Privacy accounting over a table of spends.
 
 A spend is a row (session, partition, query, mechanism, epsilon, delta, rho, ts). Everything is grouped
-by session, so an audit of many sessions is one aggregation. Epsilons are added as whole numbers: whether a
+by session, so an audit of many sessions is one aggregation. Losses are added as decimals: whether a
 limit is exceeded must not depend on the order in which tasks finish.
+
+An audit is in one measure. In ``epsilon`` every spend needs an epsilon, and deltas are added beside; in
+``zcdp`` a spend counts its rho, or half the square of its epsilon if it has no delta. A spend that the measure
+cannot express is refused, never left out: convert the ledger first (``convert_spends``).
 """
 
 from __future__ import annotations
@@ -20,57 +24,87 @@ SPENDS = (
     "session string, partition string, query string, mechanism string, "
     "epsilon double, delta double, rho double, ts timestamp"
 )
-UNIT = 1e12
+MEASURES = ("epsilon", "zcdp")
 
 
 def _units(c: Column | str | float) -> Column:
-    """An epsilon as a whole number of 10^-12, whose sums are exact and do not overflow."""
-    value = F.col(c) if isinstance(c, str) else F.lit(c)
-    return F.floor(value * F.lit(UNIT) + F.lit(0.5)).cast("decimal(18,0)")
+    """A loss with twelve decimals, whose sums are exact."""
+    return _units_of(F.col(c) if isinstance(c, str) else F.lit(c))
 
 
 def _amount(units: Column) -> Column:
-    return units.cast("double") / F.lit(UNIT)
+    return units.cast("double")
+
+
+def _refuse(why: str) -> Column:
+    return F.raise_error(F.lit(why)).cast("double")
+
+
+def _epsilon() -> Column:
+    return F.coalesce(F.col("epsilon"), _refuse("a spend without an epsilon: convert the ledger or audit it in zcdp"))
+
+
+def loss(measure: str) -> Column:
+    """What a spend costs in the measure of the audit."""
+    if measure == "epsilon":
+        return _epsilon()
+    if measure == "zcdp":
+        pure = F.when(F.coalesce("delta", F.lit(0.0)) == 0, pure_to_zcdp("epsilon"))
+        return F.coalesce(F.col("rho"), pure, _refuse("a spend that has no rho"))
+    raise ValueError(f"unknown measure: {measure}, choose from {MEASURES}")
+
 
+def _beyond(spent: Column, limit: float) -> Column:
+    return F.lit(False) if math.isinf(limit) else spent > _units(float(limit))
 
-def totals(spends: DataFrame, limit: float) -> DataFrame:
-    """Spent and remaining epsilon, total delta, total rho and number of spends per session."""
-    spent = F.coalesce(F.sum(_units("epsilon")), F.lit(0))
+
+def totals(spends: DataFrame, limit: float, measure: str = "epsilon") -> DataFrame:
+    """Spent epsilon, delta and rho, number of spends, and what remains of the limit, per session.
+
+    The limit, which may be infinite, is an epsilon or a rho, as the measure says. In zcdp the rho of pure
+    spends is part of the total rho.
+    """
+    spent = F.sum(_units_of(loss(measure)))
+    left = F.lit(math.inf) if math.isinf(limit) else _amount(_units(float(limit)) - spent)
+    rho = spent if measure == "zcdp" else F.coalesce(F.sum(_units("rho")), F.lit(0))
+    epsilon = spent if measure == "epsilon" else F.coalesce(F.sum(_units("epsilon")), F.lit(0))
     return spends.groupBy("session").agg(
-        _amount(spent).alias("epsilon"),
+        _amount(epsilon).alias("epsilon"),
         F.sum("delta").alias("delta"),
-        _amount(F.coalesce(F.sum(_units("rho")), F.lit(0))).alias("rho"),
+        _amount(rho).alias("rho"),
         F.count(F.lit(1)).alias("spends"),
-        _amount(_units(limit) - spent).alias("remaining"),
-        (spent > _units(limit)).alias("over_limit"),
+        left.alias("remaining"),
+        _beyond(spent, limit).alias("over_limit"),
     )
 
 
-def first_overrun(spends: DataFrame, limit: float) -> DataFrame:
+def _units_of(value: Column) -> Column:
+    return value.cast("double").cast("decimal(28,12)")
+
+
+def first_overrun(spends: DataFrame, limit: float, measure: str = "epsilon") -> DataFrame:
     """Per session the moment at which its running total first exceeds the limit.
 
     Running totals are taken per day, then per second of the day found, then per instant of the second
     found. Spends are added up before each window, so that a window orders calendar units and never the
-    raw spends of a busy session. Sessions whose whole total is within the limit drop out first and have
-    no row; what lies on the days found is written.
+    raw spends of a busy session. Sessions within the limit have no row, and with an infinite limit none has.
+    The ledger is read twice: for the days, and for what lies on the days found, which is written.
     """
-    scope = spends.select("session", "ts", _units("epsilon").alias("_spent"), F.lit(0).alias("_before"))
-    whole = scope.groupBy("session").agg(F.sum("_spent").alias("_whole"))
-    over = whole.filter(F.col("_whole") > _units(limit)).select("session")
-    scope = null_safe_semi_join(scope, materialise(over, "overrun"), ["session"])
+    scope = spends.select("session", "ts", _units_of(loss(measure)).alias("_spent"), F.lit(0).alias("_before"))
     for bucket in _calendar(spends):
         found = _first_crossing(scope, bucket, limit)
         opening = found.select(
             "session",
             F.col("_at").alias("_open"),
-            (F.col("_upto") - F.col("_spent")).cast("decimal(38,0)").alias("_before"),
+            (F.col("_upto") - F.col("_spent")).cast("decimal(38,12)").alias("_before"),
         )
         inside = scope.drop("_before").withColumn("_open", bucket)
         inside = null_safe_join(inside, opening, ["session", "_open"])
         scope = inside.groupBy("session", "_before", "ts").agg(F.sum("_spent").alias("_spent"))
         scope = materialise(scope, "overrun")
     found = _first_crossing(scope, F.col("ts"), limit)
-    return found.select("session", F.col("_at").alias("ts"), _amount(F.col("_upto")).alias("epsilon"))
+    name = "epsilon" if measure == "epsilon" else "rho"
+    return found.select("session", F.col("_at").alias("ts"), _amount(F.col("_upto")).alias(name))
 
 
 def _calendar(spends: DataFrame) -> tuple[Column, Column]:
@@ -85,7 +119,7 @@ def _first_crossing(scope: DataFrame, at: Column, limit: float) -> DataFrame:
     """Per session the first bucket ``_at`` in which the total reaches beyond the limit."""
     buckets = scope.groupBy("session", "_before", at.alias("_at")).agg(F.sum("_spent").alias("_spent"))
     upto = F.sum("_spent").over(Window.partitionBy("session").orderBy("_at"))
-    over = buckets.withColumn("_upto", F.col("_before") + upto).filter(F.col("_upto") > _units(limit))
+    over = buckets.withColumn("_upto", F.col("_before") + upto).filter(_beyond(F.col("_upto"), limit))
     first = Window.partitionBy("session").orderBy("_at")
     return over.withColumn("_rank", F.row_number().over(first)).filter(F.col("_rank") == 1).drop("_rank")
 
@@ -95,7 +129,7 @@ def compose_advanced(spends: DataFrame, slack: float) -> DataFrame:
 
     The smallest of the linear total and the two bounds of Kairouz, Oh and Viswanath (2015).
     """
-    e = F.col("epsilon")
+    e = _epsilon()
     sums = spends.groupBy("session").agg(
         F.sum(e).alias("_linear"),
         F.sum(e * e).alias("_squares"),
@@ -116,30 +150,37 @@ def compose_advanced(spends: DataFrame, slack: float) -> DataFrame:
     return sums.select("session", total.alias("epsilon"), delta.alias("delta"), "spends")
 
 
-def parallel_compose(spends: DataFrame) -> DataFrame:
-    """Spends on disjoint partitions count once: the largest partition total per session."""
-    per_partition = spends.groupBy("session", "partition").agg(F.sum(_units("epsilon")).alias("_spent"))
+def parallel_compose(spends: DataFrame, measure: str = "epsilon") -> DataFrame:
+    """Spends on disjoint partitions count once: the largest partition total per session, as epsilon or rho."""
+    per_partition = spends.groupBy("session", "partition").agg(F.sum(_units_of(loss(measure))).alias("_spent"))
     return per_partition.groupBy("session").agg(
-        _amount(F.max("_spent")).alias("epsilon"), F.count(F.lit(1)).alias("partitions")
+        _amount(F.max("_spent")).alias("epsilon" if measure == "epsilon" else "rho"),
+        F.count(F.lit(1)).alias("partitions"),
     )
 
 
 def convert_spends(spends: DataFrame, delta: float) -> DataFrame:
-    """Each spend in all three notions: a rho of its own is kept, otherwise it follows from epsilon."""
-    rho = F.coalesce(F.col("rho"), pure_to_zcdp("epsilon"))
-    approx = F.when(F.col("rho").isNotNull(), zcdp_to_epsilon("rho", delta)).otherwise(F.col("epsilon"))
-    spare = F.when(F.col("rho").isNotNull(), F.lit(float(delta))).otherwise(F.lit(0.0))
+    """Each spend in all three notions: a rho of its own is kept, otherwise it follows from a pure epsilon.
+
+    ``approx_delta`` is the spend's own delta, and ``delta`` more if its epsilon was bought from a rho. A spend with
+    a delta of its own satisfies no zCDP: its ``zcdp_rho`` is NULL.
+    """
+    own = F.coalesce("delta", F.lit(0.0)) if "delta" in spends.columns else F.lit(0.0)
+    bought = F.col("rho").isNotNull()
+    rho = F.when(own == 0, F.coalesce(F.col("rho"), pure_to_zcdp("epsilon")))
+    approx = F.when(bought, zcdp_to_epsilon("rho", delta)).otherwise(F.col("epsilon"))
+    spare = own + F.when(bought, F.lit(float(delta))).otherwise(F.lit(0.0))
     return spends.withColumns(
         {"zcdp_rho": rho, "approx_epsilon": approx, "approx_delta": spare}
     )
 
 
 def split_budget(plan: DataFrame, total: float, weight: str = "weight") -> DataFrame:
-    """Share a total epsilon over the queries of each session in proportion to their weights.
+    """Share a total epsilon over the queries of each session in proportion to their weights, of any size.
 
     The weights are summed by aggregation and joined back, not by a window over the session's rows.
     """
-    sums = plan.groupBy("session").agg(_amount(F.sum(_units(weight))).alias("_weights"))
+    sums = plan.groupBy("session").agg(F.sum(F.col(weight).cast("double")).alias("_weights"))
     share = F.lit(float(total)) * F.col(weight) / F.col("_weights")
     return null_safe_join(plan, sums, ["session"]).withColumn("epsilon", share).drop("_weights")
 

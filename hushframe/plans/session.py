@@ -21,38 +21,91 @@ class BudgetExceeded(Exception):
     """The query would spend more than what is left."""
 
 
+class UnsafeStep(ValueError):
+    """A step of a query could let one row change many rows."""
+
+
+#: Copies of the privacy unit and the row key travel under names that steps cannot touch.
+HIDDEN = "__private_"
+
+#: A step takes the rows and the hidden columns, and returns rows that have them still.
+Step = Callable[[DataFrame, Sequence[str]], DataFrame]
+
+
+def _per_row(before: DataFrame, after: DataFrame) -> DataFrame:
+    """``after`` if it only filters rows of ``before`` and computes columns from one row each.
+
+    Whatever else a step's expressions need, windows, aggregates, generators or subqueries, shows up in the
+    analysed plan as another operator.
+    """
+    base, node = before._jdf.queryExecution().analyzed(), after._jdf.queryExecution().analyzed()
+    while not node.equals(base):
+        kind = node.getClass().getSimpleName()
+        if kind not in ("Project", "Filter") or not node.subqueries().isEmpty():
+            raise UnsafeStep(f"a step may only look at one row at a time, not run {kind} or a subquery")
+        node = node.child()
+    return after
+
+
 @dataclass(frozen=True)
 class Query:
     """A private query on a named view: row steps, then one statistic.
 
-    ``influence`` is how many rows one row of the view can become in the steps.
+    Steps filter rows or compute columns from one row. What makes several rows out of one has a step
+    of its own that declares the factor, and the influence of a row is multiplied by it. The privacy unit and
+    the row key are those of the view, whatever steps select, rename or replace.
     """
 
     view: str
-    steps: tuple[Callable[[DataFrame], DataFrame], ...] = ()
-    influence: int = 1
+    steps: tuple[Step, ...] = ()
+    factors: tuple[Callable[[], int], ...] = ()
     keyset: DataFrame | None = None
     metric: str | None = None
     options: Mapping[str, object] = field(default_factory=dict)
 
-    def _then(self, step: Callable[[DataFrame], DataFrame], factor: int = 1) -> Query:
-        return replace(self, steps=(*self.steps, step), influence=self.influence * factor)
+    def _then(self, step: Step, *factors: Callable[[], int]) -> Query:
+        return replace(self, steps=(*self.steps, step), factors=(*self.factors, *factors))
 
     def filter(self, predicate: str) -> Query:
-        return self._then(lambda df: df.filter(predicate))
+        return self._then(lambda df, hidden: _per_row(df, df.filter(predicate)))
 
     def select(self, *columns: str) -> Query:
-        return self._then(lambda df: df.select(*columns))
+        return self._then(lambda df, hidden: df.select(*columns, *hidden))
 
     def rename(self, names: Mapping[str, str]) -> Query:
-        return self._then(lambda df: df.withColumnsRenamed(dict(names)))
+        return self._then(lambda df, hidden: df.withColumnsRenamed(dict(names)))
 
     def with_column(self, name: str, expression: str) -> Query:
-        return self._then(lambda df: df.selectExpr("*", f"{expression} AS `{name}`"))
+        return self._then(lambda df, hidden: _per_row(df, df.withColumn(name, F.expr(expression))))
+
+    def drop_missing(self, *columns: str) -> Query:
+        """Rows without NULL (or NaN) in these columns."""
+        return self._then(lambda df, hidden: df.dropna(subset=list(columns)))
+
+    def fill_missing(self, values: Mapping[str, object]) -> Query:
+        """A value instead of NULL (or NaN) in each of these columns."""
+        return self._then(lambda df, hidden: df.fillna(dict(values)))
+
+    def explode(self, name: str, expression: str, at_most: int) -> Query:
+        """One row per element of an array, of which the first ``at_most`` count."""
+        if at_most < 1:
+            raise ValueError("a row must be able to become at least one row")
+
+        def step(df: DataFrame, hidden: Sequence[str]) -> DataFrame:
+            array = _per_row(df, df.withColumn(name, F.expr(expression)))
+            return array.withColumn(name, F.explode(F.slice(name, 1, at_most)))
+
+        return self._then(step, lambda: at_most)
 
     def join_public(self, public: DataFrame, on: Sequence[str]) -> Query:
-        factor = max(public_multiplicity(public, on), 1)
-        return self._then(lambda df: join_public(df, public, on), factor)
+        """Join with a public table. How often a key occurs there is counted once the query has been paid for."""
+
+        def step(df: DataFrame, hidden: Sequence[str]) -> DataFrame:
+            if any(c.startswith(HIDDEN) for c in public.columns):
+                raise UnsafeStep(f"a public table has a column whose name begins with {HIDDEN}")
+            return join_public(df, public, on)
+
+        return self._then(step, lambda: max(public_multiplicity(public, on), 1))
 
     def group_by(self, keyset: DataFrame) -> Query:
         return replace(self, keyset=keyset)
@@ -78,11 +131,19 @@ class Query:
     def _metric(self, name: str, **options: object) -> Query:
         return replace(self, metric=name, options=options)
 
-    def rows(self, df: DataFrame) -> DataFrame:
+    def rows(self, df: DataFrame, hidden: Sequence[str] = ()) -> DataFrame:
+        """The view's rows after all steps."""
         for step in self.steps:
-            df = step(df)
+            df = step(df, hidden)
+            if [c for c in df.columns if c.startswith(HIDDEN)] != list(hidden):
+                raise UnsafeStep(f"a step uses a name that begins with {HIDDEN}")
         return df
 
+    @property
+    def influence(self) -> int:
+        """How many rows one row of the view can become in the steps; counts public tables."""
+        return math.prod(factor() for factor in self.factors)
+
 
 class PrivacySession:
     """Named private views and what may still be spent on them.
@@ -116,11 +177,30 @@ class PrivacySession:
         self.unit = unit
         self.noise = noise or SecureNoise()
         self.ledger_path = ledger_path
-        self._views = dict(views)
+        self._views = {view: self._marked(df) for view, df in views.items()}
         self._influence = {view: 1 for view in views}
         self._spends: list[tuple] = []
         self._amounts: list[float] = []
 
+    def _marked(self, df: DataFrame) -> DataFrame:
+        """The view with its hidden columns; a derived view has them already."""
+        given = [c for c in (self.unit.column, *self.unit.row_key) if c is not None]
+        names = [f"{HIDDEN}{i}" for i in range(len(given))]
+        if set(names) <= set(df.columns):
+            return df
+        return df.withColumns({name: F.col(c) for name, c in zip(names, given)}) if given else df
+
+    @property
+    def _hidden(self) -> list[str]:
+        return [f"{HIDDEN}{i}" for i in range((self.unit.column is not None) + len(self.unit.row_key))]
+
+    @property
+    def _hidden_unit(self) -> PrivacyUnit:
+        """The unit by its hidden columns."""
+        if self.unit.column is None:
+            return replace(self.unit, row_key=tuple(self._hidden))
+        return replace(self.unit, column=self._hidden[0], row_key=tuple(self._hidden[1:]))
+
     @classmethod
     def from_dataframe(cls, df: DataFrame, source: str, budget: float, **options) -> PrivacySession:
         return cls(df.sparkSession, {source: df}, budget, **options)
@@ -158,12 +238,14 @@ class PrivacySession:
             one.coalesce(1).write.mode("append").parquet(self.ledger_path)
 
     def create_view(self, query: Query, name: str) -> None:
-        """A derived private view; it remembers how many rows one source row can become."""
+        """A derived private view; it remembers how many rows one source row can become.
+
+        Only this session knows the view: private rows are not published under a name of the catalog.
+        """
         if name in self._views:
             raise ValueError(f"there already is a view {name}")
         self._influence[name] = self._influence[query.view] * query.influence
-        self._views[name] = query.rows(self._views[query.view])
-        self._views[name].createOrReplaceTempView(name)
+        self._views[name] = query.rows(self._views[query.view], self._hidden)
 
     def evaluate(self, query: Query, budget: float) -> DataFrame:
         """Charge, then answer. Secure answers are computed now and written once."""
@@ -185,10 +267,10 @@ class PrivacySession:
         return {name: self._run(query, shares[name]) for name, query in queries.items()}
 
     def _run(self, query: Query, budget: float) -> DataFrame:
-        unit = self.unit
+        unit = self._hidden_unit
         if unit.column is None:
             unit = replace(unit, rows=unit.rows * self._influence[query.view] * query.influence)
-        df = query.rows(self._views[query.view])
+        df = query.rows(self._views[query.view], self._hidden)
         keys = query.keyset.columns if query.keyset is not None else []
         if self.measure == "zcdp" and query.metric == "count":
             return private.dp_group_count(df, query.keyset, keys, budget, self.noise, measure="zcdp", unit=unit)
@@ -208,7 +290,7 @@ class PrivacySession:
         """
         if len(set(splits.values())) != len(splits):
             raise ValueError("splits must name different values")
-        df, unit = self._views[view], self.unit
+        df, unit = self._views[view], self._hidden_unit
         if unit.column is None:
             factor = min(unit.rows * self._influence[view], len(splits))
         else:
@@ -219,7 +301,7 @@ class PrivacySession:
         for name, value in splits.items():
             part = df.filter(F.col(attribute) == F.lit(value))
             child = PrivacySession(
-                self.spark, {view: part}, budget, measure=self.measure, unit=unit, noise=self.noise,
+                self.spark, {view: part}, budget, measure=self.measure, unit=self.unit, noise=self.noise,
                 name=f"{self.name}/{name}", ledger_path=self.ledger_path,
             )
             child._influence[view] = self._influence[view]

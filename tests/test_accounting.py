@@ -12,7 +12,7 @@ from hushframe.functions import calibration as C
 from hushframe.functions.noise import SeededNoise
 from hushframe.operators.bounding import PrivacyUnit
 from hushframe.plans import ledger as L
-from hushframe.plans.session import BudgetExceeded, PrivacySession, Query
+from hushframe.plans.session import BudgetExceeded, PrivacySession, Query, UnsafeStep
 
 QUIET = SeededNoise(3)
 
@@ -223,7 +223,7 @@ def test_two_phases_in_sessions(spark, people):
     assert fine.count() == 60 and abs(fine.agg(F.sum("count")).first()[0] - 90) < 30
     rows = session.spends().collect()
     assert [r["rho"] for r in rows] == [4.0, 36.0] and all(r["epsilon"] is None for r in rows)
-    assert L.totals(session.spends(), 1.0).first()["rho"] == 40.0
+    assert L.totals(session.spends(), 1.0, "zcdp").first()["rho"] == 40.0
 
 
 def test_other_statistics_under_zcdp(people):
@@ -252,3 +252,95 @@ def test_query_needs_a_statistic(people):
     with pytest.raises(ValueError):
         session.evaluate(Query("people").count(), 0.0)
     assert len(session) == 0
+
+
+def _ledger(spark, rows):
+    """Rows of session, partition, epsilon, delta, rho; one second apart."""
+    at = datetime(2024, 1, 1)
+    full = [(s, p, "q", "m", e, dl, r, at + timedelta(seconds=i)) for i, (s, p, e, dl, r) in enumerate(rows)]
+    return spark.createDataFrame(full, L.SPENDS)
+
+
+def test_audits_in_zcdp(spark):
+    spends = _ledger(spark, [("a", "x", None, 0.0, 5.0), ("a", "y", 2.0, 0.0, None), ("b", "x", 0.1, 0.0, None)])
+    rows = {r["session"]: r for r in L.totals(spends, 1.0, "zcdp").collect()}
+    assert (rows["a"]["rho"], rows["a"]["remaining"], rows["a"]["over_limit"]) == (7.0, -6.0, True)
+    assert rows["b"]["rho"] == pytest.approx(0.005) and not rows["b"]["over_limit"]
+    assert [(r["session"], r["rho"]) for r in L.first_overrun(spends, 6.0, "zcdp").collect()] == [("a", 7.0)]
+    assert {r["session"]: r["rho"] for r in L.parallel_compose(spends, "zcdp").collect()}["a"] == 5.0
+
+
+def test_spends_that_a_measure_cannot_express_are_refused(spark):
+    zcdp = _ledger(spark, [("a", "x", None, 0.0, 5.0)])
+    approx = _ledger(spark, [("a", "x", 1.0, 1e-3, None)])
+    for job in (lambda: L.totals(zcdp, 1.0), lambda: L.first_overrun(zcdp, 1.0), lambda: L.compose_advanced(zcdp, 0.1),
+                lambda: L.parallel_compose(zcdp), lambda: L.totals(approx, 1.0, "zcdp")):
+        with pytest.raises(Exception, match="spend"):
+            job().collect()
+    with pytest.raises(ValueError):
+        L.totals(zcdp, 1.0, "bits")
+
+
+def test_conversion_keeps_delta(spark):
+    r = L.convert_spends(_ledger(spark, [("a", "x", 1.0, 1e-3, None)]), 1e-6).first()
+    assert (r["approx_epsilon"], r["approx_delta"], r["zcdp_rho"]) == (1.0, 1e-3, None)
+
+
+def test_limits_and_weights_of_any_size(spark):
+    spends = _ledger(spark, [("a", "x", 3e6, 0.0, None), ("a", "x", 4e6, 0.0, None)])
+    row = L.totals(spends, float("inf")).first()
+    assert (row["epsilon"], row["remaining"], row["over_limit"]) == (7e6, float("inf"), False)
+    assert L.totals(spends, 6e6).first()["over_limit"] and L.first_overrun(spends, 5e6).first()["epsilon"] == 7e6
+    assert L.first_overrun(spends, float("inf")).count() == 0
+    plan = spark.createDataFrame([("a", 2e6), ("a", 6e18)], "session string, weight double")
+    assert sorted(r["epsilon"] for r in L.split_budget(plan, 1.0).collect()) == [pytest.approx(1 / 3e12), pytest.approx(1.0)]
+
+
+def _people(spark):
+    return spark.range(300).select((F.col("id") % 3).alias("user_id"), F.col("id").alias("event_id"), F.lit(1.0).alias("v"))
+
+
+def test_steps_cannot_replace_the_unit(spark):
+    unit = PrivacyUnit("user_id", rows=1, row_key=("event_id",))
+    session = PrivacySession.from_dataframe(_people(spark), "people", 1e12, unit=unit, noise=QUIET)
+    for query in (
+        Query("people").rename({"user_id": "old", "event_id": "user_id"}),
+        Query("people").select("v"),
+        Query("people").with_column("user_id", "event_id"),
+    ):
+        assert session.evaluate(query.count(), 1e9).first()["count"] == 3
+    session.create_view(Query("people").rename({"user_id": "old", "event_id": "user_id"}), "derived")
+    assert session.evaluate(Query("derived").count(), 1e9).first()["count"] == 3
+    assert not spark.catalog.tableExists("derived")
+
+
+def test_steps_that_look_beyond_one_row_are_refused(spark):
+    session = PrivacySession.from_dataframe(_people(spark), "people", 1e12, noise=QUIET)
+    for query in (
+        Query("people").with_column("x", "explode(sequence(1, 100))"),
+        Query("people").with_column("x", "sum(v) over (partition by user_id)"),
+        Query("people").filter("v > (select 0)"),
+        Query("people").with_column("__private_0", "1"),
+    ):
+        with pytest.raises(UnsafeStep):
+            session.evaluate(query.count(), 1.0)
+    some = Query("people").filter("v > 0").with_column("w", "v + 1").drop_missing("w").fill_missing({"w": 0.0})
+    assert session.evaluate(some.count(), 1e9).first()["count"] == 300
+
+
+def test_rows_that_multiply_declare_it(spark):
+    session = PrivacySession.from_dataframe(_people(spark), "people", 1e12, noise=QUIET)
+    query = Query("people").explode("x", "sequence(1, 100)", 4)
+    assert query.influence == 4
+    assert session.evaluate(query.count(), 1e9).first()["count"] == 1200
+
+
+def test_refused_queries_start_no_job(spark):
+    class Failing:
+        def groupBy(self, *columns):
+            raise AssertionError("a job was started")
+
+    session = PrivacySession.from_dataframe(_people(spark), "people", 1.0, noise=QUIET)
+    query = Query("people").join_public(Failing(), ["user_id"]).count()
+    with pytest.raises(BudgetExceeded):
+        session.evaluate(query, 2.0)

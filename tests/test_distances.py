@@ -86,3 +86,12 @@ def test_grouped(spark, tables):
     assert value(D.if_grouped_by(*tables, "b", "root_sum_squares")) == pytest.approx(math.sqrt(1 + 4 + 1))
     with pytest.raises(ValueError):
         D.if_grouped_by(*tables, "b", "max")
+
+
+def test_a_value_that_is_missing_on_one_side(spark):
+    a = spark.createDataFrame([(1, 5.0), (2, None)], "k int, v double")
+    b = spark.createDataFrame([(1, 3.0), (2, None)], "k int, v double")
+    assert D.on_columns(a, b, ["k"], {"v": "sum"}).first()["v"] == 2.0
+    c = spark.createDataFrame([(1, None), (2, None)], "k int, v double")
+    with pytest.raises(Exception, match="one side"):
+        D.on_columns(a, c, ["k"], {"v": "sum"}).collect()

@@ -102,3 +102,9 @@ def test_inverse_normal(spark):
     df = spark.createDataFrame([(p,) for p in points], "p double").withColumn("z", inverse_normal(F.col("p")))
     for row in df.collect():
         assert row["z"] == pytest.approx(NormalDist().inv_cdf(row["p"]), rel=1e-8, abs=1e-8)
+
+
+def test_missing_and_separated_keys_have_noise_of_their_own(spark):
+    df = spark.createDataFrame([(None, "x"), ("x", None), (None, None), ("a|", "b"), ("a", "|b"), ("a\\", "b")], "a string, b string")
+    for algorithm in ("xxhash64", "md5"):
+        assert df.select(hash52(1, "a", "b", algorithm=algorithm).alias("h")).distinct().count() == 6

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import math
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from hushframe.functions.noise import SecureNoise, SeededNoise
+from hushframe.operators import bounding as B
 from hushframe.operators import histograms as H
 from hushframe.operators import private as P
 from hushframe.operators.bounding import ROW, PrivacyUnit, bound_contributions
+from hushframe.operators import vectors as V
 from hushframe.operators.vectors import dp_vector_sum, vector_sum
 from hushframe.plans.adaptive import two_phase_count
 
@@ -134,10 +137,77 @@ def test_histogram_edges(spark):
     assert [r["count"] for r in sorted(rows, key=lambda r: r["bin_0"])] == [1, 1, 0, 0, 2]
 
 
-def test_dense_grid_is_refused(table):
-    axis = H.Axis("v", 0, 1, 100_000)
+def test_fine_grids(spark):
+    df = spark.createDataFrame([(0.0,), (0.5,), (1.0,)], "v double")
+    fine = H.dp_histogram(df, "v", 0, 1, 10_000_001, HUGE, SeededNoise(1))
+    row = fine.agg(F.count("*").alias("cells"), F.sum("count").alias("n")).first()
+    assert (row["cells"], row["n"]) == (10_000_001, 3)
+    huge = H.Axis("v", 0, 1, 1 << 40)
     with pytest.raises(ValueError):
-        H.dp_histogramdd(table, [axis, axis], 1.0, QUIET)
+        H.full_grid(df, [huge, huge])
+    assert H.full_grid(df, [huge]).limit(1).count() == 1
+
+
+def test_quantiles_of_several_blocks(spark):
+    df = spark.range(50_000).select((F.col("id") % 1000 / 10.0).alias("v"), (F.col("id") % 2).alias("k"))
+    keys = spark.createDataFrame([(0,), (1,), (None,)], "k long")
+    axis = H.Axis("v", 0, 100, 3 * H.BLOCK + 5)
+    got = {r["quantile"]: r["value"] for r in H.dp_quantiles(df, axis, [0.2, 0.7], 8.0, QUIET).collect()}
+    assert all(abs(got[q] - 100 * q) < 1 for q in got)
+    rows = H.dp_quantiles(df, axis, [0.5], 8.0, QUIET, by=["k"], keyset=keys).collect()
+    assert {r["k"] for r in rows} == {0, 1, None} and all(abs(r["value"] - 50) < 1 for r in rows if r["k"] is not None)
+
+
+def test_vector_elements_that_are_no_numbers(spark):
+    """By brute force: leaving out any one vector moves the sum by the clip at most."""
+    nan, inf = float("nan"), float("inf")
+    rows = [[1e9, None], [nan, 1e9], [inf, 1.0], [1e200, 1e200], [0.3, 0.4, 1e9], [2.0], [], None, [0.0, 0.0], [-inf, nan]]
+    for norm in ("l1", "l2"):
+        def total(vectors):
+            df = spark.createDataFrame([(v,) for v in vectors], "v array<double>")
+            return {r["pos"]: r["value"] for r in V.vector_sum(df, "v", 2, 1.0, norm).collect()}
+
+        whole = total(rows)
+        assert set(whole) == {0, 1} and all(abs(x) < 100 for x in whole.values())
+        for i in range(len(rows)):
+            less = total(rows[:i] + rows[i + 1 :])
+            gaps = [abs(whole[p] - less[p]) for p in whole]
+            length = sum(gaps) if norm == "l1" else sum(g * g for g in gaps) ** 0.5
+            assert length <= 1 + 1e-9
+    assert total([[0.3, 0.4, 1e9]]) == {0: 0.3, 1: 0.4}
+
+
+def test_counts_take_calibrated_noise_only(table):
+    with pytest.raises(ValueError):
+        P.dp_count(table, 1.0, QUIET, count_mechanism="discrete_gaussian")
+    assert P.dp_count(table, 1.0, QUIET, count_mechanism="laplace").count() == 1
+
+
+def test_secure_release_writes_released_keys_only(spark):
+    """Twelve keys are found, two are frequent enough: no other key reaches the disk."""
+    rows = [(f"rare{i}", i) for i in range(10)] + [(k, 1000 + j) for k in ("often", "also") for j in range(500)]
+    df = spark.createDataFrame(rows, "k string, id long")
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    before = set(folder.iterdir())
+    unit = PrivacyUnit("id")
+    found = P.select_partitions(df, unit, ["k"], 5.0, 1e-5, SecureNoise()).collect()
+    P.dp_aggregate(df, ["count"], 5.0, SecureNoise(), by=["k"], selection=(5.0, 1e-5), unit=unit).collect()
+    assert {r["k"] for r in found} == {"often", "also"}
+    written = [spark.read.parquet(str(p)) for p in set(folder.iterdir()) - before]
+    assert len(written) == 2 and all({r["k"] for r in w.select("k").collect()} == {"often", "also"} for w in written)
+
+
+def test_same_row_kept_in_any_order(spark):
+    """Rows that share a row key: the file's order never decides which one stays."""
+    rows = [(u, 1, float(v)) for u in range(20) for v in (0, 3, 7, 11)]
+    unit = PrivacyUnit("u", row_key=("k",))
+    sums = set()
+    for turn in range(4):
+        df = spark.createDataFrame(rows[turn * 7 :] + rows[: turn * 7], "u int, k int, v double").repartition(turn + 1)
+        kept = B.one_value_each(df, "v", unit).agg(F.sum("v")).first()[0]
+        listed = B.bound_contributions(df, unit).agg(F.sum("v")).first()[0]
+        sums.add((kept, listed))
+    assert len(sums) == 1
 
 
 def test_quantiles_near_the_truth(spark):

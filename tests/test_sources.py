@@ -79,8 +79,9 @@ def test_keysets(spark):
     assert K.keyset_product(a, b).count() == 4
     assert K.keyset_product(a, b.limit(0)).count() == 0
     assert K.declared_keys(spark, {"p": ["u", "v"], "q": [1, 2, 3]}).count() == 6
-    with pytest.raises(ValueError):
-        K.keyset_product(a, spark.range(K.MAX_LITERAL_KEYS + 1))
+    many = K.keyset_product(a, spark.range(9001))
+    assert many.count() == 18002 and many.distinct().count() == 18002
+    assert K.declared_keys(spark, {"p": list(range(6000)), "q": ["u", "v"]}).distinct().count() == 12000
     assert K.public_multiplicity(spark.createDataFrame([(1,), (1,), (2,)], "k int"), ["k"]) == 2
     assert K.public_multiplicity(a.limit(0), ["a"]) == 0
 

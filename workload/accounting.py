@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from hushframe.functions import calibration as C
 from hushframe.functions.scalars import label
+from hushframe.operators.bounding import PrivacyUnit
 from hushframe.operators.keysets import declared_keys
 from hushframe.plans import ledger as L
 from hushframe.plans.session import PrivacySession, Query
 from workload.aggregates import SEGMENTS, discrete_gaussian_sql
 from workload.registry import register, table
-from workload.sql import NOISE, clamp, d, gaussian, geometric, laplace
+from workload.sql import NOISE, clamp, d, gaussian, geometric, h52, laplace
 
 _PER_CUSTOMER = "select o_custkey, count(*) as n from orders group by 1"
 
@@ -121,6 +122,54 @@ def first_overrun(spark, folder):
     return L.first_overrun(spends(spark, folder), 2.0)
 
 
+def without_delta(spark, folder):
+    """The same spends without a delta, so that zCDP can express all of them."""
+    return spends(spark, folder).withColumn("delta", F.lit(0.0))
+
+
+# Rho of each spend: its own, or half the square of its epsilon.
+RHO = "coalesce(rho, epsilon * epsilon / 2)::decimal(28, 12)"
+
+
+@register(f"""
+with {SPENDS}
+select session, sum(epsilon::decimal(28, 12))::double as epsilon, 0::double as delta, count(*) as spends,
+       sum({RHO})::double as rho, (2 - sum({RHO}))::double as remaining, sum({RHO}) > 2 as over_limit
+from spends group by 1
+""")
+def zcdp_ledger_totals(spark, folder):
+    return L.totals(without_delta(spark, folder), 2.0, "zcdp")
+
+
+@register(f"""
+with {SPENDS},
+r as (select session, ts, sum({RHO}) over (partition by session order by ts) as upto from spends),
+f as (select session, min(ts) as ts from r where upto > 1 group by 1)
+select distinct session, ts, upto::double as rho from r join f using (session, ts)
+""")
+def zcdp_first_overrun(spark, folder):
+    return L.first_overrun(without_delta(spark, folder), 1.0, "zcdp")
+
+
+@register(f"""
+with {SPENDS}, p as (select session, "partition", sum({RHO}) as r from spends group by 1, 2)
+select session, max(r)::double as rho, count(*) as partitions from p group by 1
+""")
+def mixed_ledger_parallel(spark, folder):
+    """Pure and zCDP spends in one ledger, on disjoint partitions."""
+    return L.parallel_compose(without_delta(spark, folder), "zcdp")
+
+
+@register(f"""
+with {SPENDS}
+select session, sum(epsilon::decimal(28, 12))::double as epsilon, round(sum(delta), 12) as delta, count(*) as spends,
+       coalesce(sum(rho::decimal(28, 12)), 0)::double as rho, 'infinity'::double as remaining, false as over_limit
+from spends group by 1
+""")
+def unlimited_ledger_totals(spark, folder):
+    return L.totals(spends(spark, folder), float("inf")).withColumn("delta", F.round("delta", 12))
+
+
 @register(f"""
 with {SPENDS},
 s as (select session, sum(epsilon) as e, sum(epsilon * epsilon) as q, count(*) as spends, sum(ln(1 - delta)) as safe,
@@ -144,10 +193,11 @@ def parallel_compose(spark, folder):
 
 @register("""
 with s as (select event_id, round(value / 1000, 5) as epsilon,
+             case when event_type = 'purchase' then 1e-7::double else 0::double end as delta,
              case when event_type = 'click' then round(value / 5000, 5) end as rho from events)
-select event_id, round(coalesce(rho, epsilon * epsilon / 2), 9) as zcdp_rho,
+select event_id, case when delta = 0 then round(coalesce(rho, epsilon * epsilon / 2), 9) end as zcdp_rho,
        round(case when rho is not null then rho + 2 * sqrt(rho * ln(1 / 1e-6)) else epsilon end, 9) as approx_epsilon,
-       case when rho is not null then 1e-6 else 0 end::double as approx_delta from s
+       (case when rho is not null then 1e-6 else 0 end + delta)::double as approx_delta from s
 """)
 def convert_spends(spark, folder):
     converted = L.convert_spends(spends(spark, folder), 1e-6)
@@ -266,3 +316,27 @@ def session_partition(spark, folder):
         for name, child in children.items()
     ]
     return parts[0].unionAll(parts[1])
+
+
+@register(f"""
+with x as (select user_id, value, row_number() over (partition by user_id order by {h52('0', 'event_id')}, event_id) as r
+           from events where value > 5)
+select count(*) + {geometric('count_rows', d(1 / 0.5 * 3))} as "count" from x where r <= 3
+""")
+def session_select_rename(spark, folder):
+    """Steps that drop, rename and replace the columns of the privacy unit: the bound still counts people."""
+    unit = PrivacyUnit("user_id", rows=3, row_key=("event_id",), algorithm="md5")
+    session = PrivacySession.from_dataframe(table(spark, folder, "events"), "events", 1.0, unit=unit, noise=NOISE)
+    query = Query("events").filter("value > 5").rename({"user_id": "old", "event_id": "user_id"})
+    return session.evaluate(query.select("user_id", "value").with_column("event_id", "value * 2").count(), 0.5)
+
+
+@register(f"""
+select count(*) + {geometric('count_rows', d(3 / 0.5))} as "count" from lineitem
+where l_quantity >= 1
+""")
+def session_explode(spark, folder):
+    """One row may become three, so the noise is three times as wide; here each becomes one."""
+    session = PrivacySession.from_dataframe(table(spark, folder, "lineitem"), "lines", 1.0, noise=NOISE)
+    query = Query("lines").explode("copy", "sequence(1, cast(least(l_quantity, 1) as int))", 3)
+    return session.evaluate(query.count(), 0.5)

@@ -363,6 +363,24 @@ def dp_vector_sum_l1(spark, folder):
     return _rounded(answer, 5, "value")
 
 
+@register(f"""
+with v as (select vec_id, unnest(range(64))::int as pos, unnest(embedding)::double as x from embeddings),
+c as (select vec_id, pos, case when pos = vec_id % 64 and vec_id % 5 < 3 then 0 else x end as x from v),
+n as (select vec_id, sqrt(sum(x * x)) as n from c group by 1),
+s as (select pos, sum(x * least({d(1)}, coalesce({d(0.8)} / nullif(n, 0), 1))) as s from c join n using (vec_id) group by 1)
+select pos, round(s + {gaussian('value', d(0.8**2 / (2 * 0.5)), 'pos')}, 5) as value from s
+""")
+def dp_vector_sum_missing(spark, folder):
+    """One element of most vectors is NULL, NaN or infinite, and some vectors are too long."""
+    odd = F.when(F.col("vec_id") % 5 == 1, float("nan")).when(F.col("vec_id") % 5 == 2, float("inf"))
+    broken = F.transform(
+        "embedding", lambda x, i: F.when((i == F.col("vec_id") % 64) & (F.col("vec_id") % 5 < 3), odd).otherwise(x.cast("double"))
+    )
+    longer = F.when(F.col("vec_id") % 7 == 0, F.concat(broken, F.array(F.lit(1e9)))).otherwise(broken)
+    vectors = table(spark, folder, "embeddings").select("vec_id", longer.alias("embedding"))
+    return _rounded(dp_vector_sum(vectors, "embedding", 64, 0.8, 0.5, NOISE), 5, "value")
+
+
 def discrete_gaussian_sql(source: str, columns: str, exact: str, label: str, sigma_sq: float, *keys: str) -> str:
     """``columns`` and noisy ``exact``: the first support point whose distribution function reaches u."""
     reach = int(-(-10.0 * sigma_sq**0.5 // 1))
