@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+HASH_BITS = 52
 TWO_52 = 4503599627370496.0
 
 

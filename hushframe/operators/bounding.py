@@ -15,11 +15,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, VariantType
 
-from hushframe.functions.uniform import hash52
-from hushframe.operators.matching import null_safe_semi_join
+from hushframe.functions.uniform import HASH_BITS, hash52
+from hushframe.operators.matching import null_safe_join, null_safe_semi_join
 
 RANK = "_rank"
-SLICES = 4096
+#: Leading bits of the hash that cut the rows of a key into slices.
+SLICE_BITS = 12
 
 
 @dataclass(frozen=True)
@@ -29,7 +30,8 @@ class PrivacyUnit:
     ``column`` names the id of the unit; ``None`` protects single rows, of which one person
     influences at most ``rows`` (nothing is dropped then). With an id, rows beyond ``rows`` per
     partition and partitions beyond ``partitions`` are dropped before aggregating. ``row_key``
-    names columns that identify a row; without it all columns decide.
+    names columns that identify a row; without it all columns decide. Rows whose id is NULL belong to
+    nobody in particular: ``missing`` says whether they are dropped or the job is refused.
     """
 
     column: str | None = None
@@ -38,8 +40,11 @@ class PrivacyUnit:
     row_key: tuple[str, ...] = ()
     seed: str | int = 0
     algorithm: str = "xxhash64"
+    missing: str = "drop"
 
     def __post_init__(self) -> None:
+        if self.missing not in ("drop", "refuse"):
+            raise ValueError(f"rows without an id are dropped or refused, not {self.missing}")
         if self.partitions < 1 or self.rows < 1:
             raise ValueError("contribution bounds must be at least 1")
 
@@ -54,30 +59,50 @@ def _order(df: DataFrame, unit: PrivacyUnit) -> list[Column]:
     return [hash52(unit.seed, *key, algorithm=unit.algorithm), *[F.col(c) for c in (*key, *rest)]]
 
 
+def known_units(df: DataFrame, unit: PrivacyUnit) -> DataFrame:
+    """Rows that have an id, as the unit's ``missing`` says."""
+    if unit.column is None:
+        return df
+    known = F.col(unit.column).isNotNull()
+    if unit.missing == "refuse":
+        known = known | F.raise_error(F.lit(f"a row has no {unit.column}")).cast("boolean")
+    return df.filter(known)
+
+
 def _keep_ranked(
-    df: DataFrame, rank: Column, name: str, keys: Sequence[str], k: int, order: Sequence[Column]
+    df: DataFrame, distinct: bool, name: str, keys: Sequence[str], k: int, order: Sequence[Column]
 ) -> DataFrame:
-    """Rows whose rank among the rows of their key is at most k.
+    """Rows whose rank (dense, if ``distinct``) among the rows of their key is at most k.
 
-    Spark filters by rank inside the tasks only up to a certain k. For a larger k the rows of a key are
-    first ranked within slices of it, cut by their hash: the first k of the key are among the first k of
-    the slices, and a busy key is spread over many tasks.
+    Spark filters by rank inside the tasks only up to a certain k. For a larger k the rows of a key are counted
+    in slices by the leading bits of their hash, by which they are ordered. Slices that begin beyond k are
+    dropped, and the others are ranked each for itself, behind the count of the slices before: no task ever
+    sees more of a busy key than one slice.
     """
-    if k > int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
-        slices = Window.partitionBy(*keys, F.pmod(order[0], F.lit(SLICES))).orderBy(*order)
-        df = df.withColumn(name, rank.over(slices)).filter(F.col(name) <= F.lit(k)).drop(name)
-    whole = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(name, rank.over(whole)).filter(F.col(name) <= F.lit(k))
+    rank = F.dense_rank() if distinct else F.row_number()
+    if k <= int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
+        whole = Window.partitionBy(*keys).orderBy(*order)
+        return df.withColumn(name, rank.over(whole)).filter(F.col(name) <= F.lit(k))
+    slice_of = F.shiftright(order[0], HASH_BITS - SLICE_BITS).cast("int")
+    df = df.withColumn("_slice", slice_of)
+    ranked = df.select(*keys, "_slice", *[c.alias(f"_o{i}") for i, c in enumerate(order)]) if distinct else df
+    sizes = (ranked.distinct() if distinct else ranked).groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_size"))
+    upto = F.sum("_size").over(Window.partitionBy(*keys).orderBy("_slice"))
+    opened = sizes.withColumn("_before", upto - F.col("_size")).filter(F.col("_before") < F.lit(k)).drop("_size")
+    inside = rank.over(Window.partitionBy(*keys, "_slice").orderBy(*order))
+    kept = null_safe_join(df, opened, [*keys, "_slice"])
+    kept = kept.withColumn(name, (F.col("_before") + inside).cast("int")).filter(F.col(name) <= F.lit(k))
+    return kept.drop("_slice", "_before")
 
 
 def first_rows(df: DataFrame, keys: Sequence[str], k: int, order: Sequence[Column]) -> DataFrame:
     """At most k rows per key, first in the given order (a hash, then ties); ``_rank`` keeps the position."""
-    return _keep_ranked(df, F.row_number(), RANK, keys, k, order)
+    return _keep_ranked(df, False, RANK, keys, k, order)
 
 
 def bound_rows(df: DataFrame, unit: PrivacyUnit, by: Sequence[str] = ()) -> DataFrame:
     """At most ``unit.rows`` rows per privacy unit and partition."""
-    kept = first_rows(df, [unit.column, *by], unit.rows, _order(df, unit))
+    kept = first_rows(known_units(df, unit), [unit.column, *by], unit.rows, _order(df, unit))
     return kept.drop(RANK)
 
 
@@ -88,7 +113,7 @@ def contributed_partitions(
 
     Pairs are made distinct inside each task first, so copies of a hot pair never travel.
     """
-    pairs = df.select(unit.column, *by).distinct()
+    pairs = known_units(df, unit).select(unit.column, *by).distinct()
     if keyset is not None:
         pairs = null_safe_semi_join(pairs, keyset, by)
     return first_rows(pairs, [unit.column], unit.partitions, _pair_order(unit, by)).drop(RANK)
@@ -116,7 +141,7 @@ def bound_contributions(
     Rows are bounded first, so that the key set and the partition ranking see at most ``rows`` rows per
     pair. Neither changes which rows of a pair are kept.
     """
-    kept = first_rows(df, [unit.column, *by], unit.rows, _order(df, unit))
+    kept = first_rows(known_units(df, unit), [unit.column, *by], unit.rows, _order(df, unit))
     return _bound_pairs(kept, unit, by, keyset)
 
 
@@ -130,7 +155,7 @@ def one_value_each(
     """
     tie = F.xxhash64(value).cast("decimal(20,0)") + F.lit(Decimal(2**63))
     first = _order(df, unit)[0].cast("decimal(16,0)") * F.lit(Decimal(2**64)) + tie
-    kept = df.groupBy(unit.column, *by).agg(F.min_by(value, first).alias(value))
+    kept = known_units(df, unit).groupBy(unit.column, *by).agg(F.min_by(value, first).alias(value))
     return _bound_pairs(kept.withColumn(RANK, F.lit(1)), unit, by, keyset)
 
 
@@ -139,7 +164,7 @@ def _bound_pairs(kept: DataFrame, unit: PrivacyUnit, by: Sequence[str], keyset:
         return kept
     if keyset is not None:
         kept = null_safe_semi_join(kept, keyset, by)
-    pairs = _keep_ranked(kept, F.dense_rank(), "_pair", [unit.column], unit.partitions, _pair_order(unit, by))
+    pairs = _keep_ranked(kept, True, "_pair", [unit.column], unit.partitions, _pair_order(unit, by))
     return pairs.drop("_pair")
 
 

@@ -23,6 +23,7 @@ from hushframe.operators.bounding import (
     PrivacyUnit,
     bound_contributions,
     contributed_partitions,
+    known_units,
     one_value_each,
 )
 from hushframe.operators.keysets import aggregate_on_keyset, private_rows
@@ -227,7 +228,7 @@ def dp_privacy_id_count(
         pairs = contributed_partitions(df, unit, by, keyset).select(*by)
         exact = aggregate_on_keyset(pairs, keyset, by, {"privacy_id_count": private_rows()})
     else:
-        exact = df.select(unit.column).distinct().agg(F.count(F.lit(1)).alias("privacy_id_count"))
+        exact = known_units(df, unit).select(unit.column).distinct().agg(F.count(F.lit(1)).alias("privacy_id_count"))
     partitions = unit.partitions if by else 1
     draw = Draw("privacy_id_count", "geometric", scale_for(float(partitions), epsilon))
     return noise.add(exact, [draw], by)

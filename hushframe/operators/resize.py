@@ -8,34 +8,68 @@ from pyspark.sql import functions as F
 from hushframe.functions.calibration import scale_for
 from hushframe.functions.noise import Draw, Noise
 from hushframe.functions.scalars import check_bounds, clamp
-from hushframe.functions.uniform import hash52
+from hushframe.functions.uniform import HASH_BITS, hash52
 from hushframe.plans.materialise import materialise
 
-HASH_BITS = 52
 LEVEL_BITS = 16
 
 
 def hash_sample(df: DataFrame, n: int, seed: str | int = 0, algorithm: str = "xxhash64") -> DataFrame:
     """Exactly the first n rows in hash order of all columns, or the whole table if it is shorter.
 
-    No global sort. Counts per leading hash bits find the bucket in which the n-th row lies. The distinct
-    hashes of that one bucket are ordered if they are few; otherwise they are written, and finer bits find
-    the position among them. The sample is then a filter on the hash. Each round brings one row to the driver. Equal rows share a
-    hash: of such a group, part is cut as a number, not as rows.
+    No global sort. Counts per leading hash bits find the bucket in which the n-th row lies. The hashes of that
+    one bucket are written with their counts, and finer bits find the position among them. The sample is then
+    a filter on the hash. Each round brings one row to the driver. Equal rows share a hash: of such a group,
+    part is cut as a number, and the copies are spread over tasks.
     """
     kept, _ = _cut(df, n, seed, algorithm)
     return kept
 
 
+#: Copies of a row that one task writes.
+COPIES = 100_000
+
+
 def _crossing(counts: DataFrame, n: int, before: int) -> Row:
-    """Total of the buckets, and the first bucket with which ``n`` rows are reached.
+    """The first bucket with which ``n`` rows are reached, and the total and sums of the buckets below the cut.
 
     ``counts`` holds at most 2^16 buckets, one row each, so they may be ordered in one place.
     """
     upto = F.sum("_rows").over(Window.orderBy("_bucket")) + F.lit(before)
-    running = counts.select("_bucket", "_rows", upto.alias("_upto"))
-    at = F.min(F.when(F.col("_upto") >= n, F.struct("_bucket", "_upto", "_rows")))
-    return running.agg(F.max("_upto").alias("total"), at.alias("at")).first()
+    sums = [c for c in counts.columns if c not in ("_bucket", "_rows")]
+    running = counts.select("_bucket", "_rows", *sums, upto.alias("_upto"))
+    at = F.min(F.when(F.col("_upto") >= n, F.struct("_bucket", "_upto", "_rows", *sums)))
+    whole = [F.coalesce(F.sum(F.when(F.col("_upto") <= n, F.col(c))), F.lit(0.0)).alias(c) for c in sums]
+    return running.agg(F.max("_upto").alias("total"), at.alias("at"), *whole).first()
+
+
+def _levels(hashed: DataFrame, n: int):
+    """Narrow down where the n-th row in hash order lies.
+
+    ``hashed`` has ``_hash``, of which the whole table is read once for its leading bits and once for the bucket
+    found, and columns to add up. Yields one row of ``_crossing`` per level with the lowest hash and the width of
+    the bucket found; the last bucket is cut by no row, or is a single hash.
+    """
+    sums = [c for c in hashed.columns if c != "_hash"]
+    added = [F.sum(c).alias(c) for c in sums]
+    width, low, before = HASH_BITS - LEVEL_BITS, 0, 0
+    top = hashed.groupBy(F.shiftright("_hash", width).alias("_bucket"))
+    found = _crossing(top.agg(F.count(F.lit(1)).alias("_rows"), *added), n, 0)
+    hashes = None
+    while True:
+        if found["at"] is not None:
+            low += found["at"]["_bucket"] << width
+            before = found["at"]["_upto"] - found["at"]["_rows"]
+        yield found, low, width
+        if found["at"] is None or found["at"]["_upto"] == n or width == 0:
+            return
+        inside = (F.col("_hash") >= F.lit(low)) & (F.col("_hash") < F.lit(low + (1 << width)))
+        if hashes is None:
+            inner = hashed.filter(inside).groupBy("_hash").agg(F.count(F.lit(1)).alias("_rows"), *added)
+            hashes = materialise(inner, "hashes")
+        width = max(width - LEVEL_BITS, 0)
+        finer = hashes.filter(inside).groupBy(F.shiftright(F.col("_hash") - F.lit(low), width).alias("_bucket"))
+        found = _crossing(finer.agg(F.sum("_rows").alias("_rows"), *added), n, before)
 
 
 def _cut(df: DataFrame, n: int, seed: str | int, algorithm: str) -> tuple[DataFrame, int]:
@@ -43,44 +77,24 @@ def _cut(df: DataFrame, n: int, seed: str | int, algorithm: str) -> tuple[DataFr
     if n < 1:
         raise ValueError(f"declared size must be at least 1, got {n}")
     order = hash52(seed, *df.columns, algorithm=algorithm)
-    hashed = df.select(order.alias("_hash"))
-    width = HASH_BITS - LEVEL_BITS
-    buckets = hashed.groupBy(F.shiftright("_hash", width).alias("_bucket"))
-    found = _crossing(buckets.agg(F.count(F.lit(1)).alias("_rows")), n, 0)
-    if found["at"] is None:
+    for found, low, width in _levels(df.select(order.alias("_hash")), n):
+        at = found["at"]
+    if at is None:
         return df, found["total"] or 0
-    low = found["at"]["_bucket"] << width
-    before = found["at"]["_upto"] - found["at"]["_rows"]
-    if found["at"]["_upto"] == n:
+    if at["_upto"] == n:
         return df.filter(order < F.lit(low + (1 << width))), n
 
-    inside = (F.col("_hash") >= F.lit(low)) & (F.col("_hash") < F.lit(low + (1 << width)))
-    hashes = hashed.filter(inside).groupBy("_hash").agg(F.count(F.lit(1)).alias("_rows"))
-    many = found["at"]["_rows"] > 1 << LEVEL_BITS
-    if many:
-        hashes = materialise(hashes, "hashes")
-    while width > 0:
-        inside = (F.col("_hash") >= F.lit(low)) & (F.col("_hash") < F.lit(low + (1 << width)))
-        width = max(width - LEVEL_BITS, 0) if many else 0
-        bucket = F.shiftright(F.col("_hash") - F.lit(low), width)
-        finer = hashes.filter(inside).groupBy(bucket.alias("_bucket"))
-        at = _crossing(finer.agg(F.sum("_rows").alias("_rows")), n, before)["at"]
-        low += at["_bucket"] << width
-        before = at["_upto"] - at["_rows"]
-        if at["_upto"] == n:
-            return df.filter(order < F.lit(low + (1 << width))), n
-
     # Rows with the hash ``low`` are copies of one row, or a rare collision of a few different ones.
-    kept = df.filter(order < F.lit(low))
+    missing = n - (at["_upto"] - at["_rows"])
     ties = df.filter(order == F.lit(low)).groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_copies"))
-    missing = n - before
-    for row in ties.orderBy(*df.columns).collect():
-        take = min(row["_copies"], missing)
-        missing -= take
-        if take:
-            copy = [F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in df.schema.fields]
-            kept = kept.unionAll(df.sparkSession.range(take).select(*copy))
-    return kept, n
+    earlier = F.sum("_copies").over(Window.orderBy(*df.columns)) - F.col("_copies")
+    take = F.least(F.col("_copies"), F.lit(missing) - earlier)
+    taken = ties.withColumn("_take", take).filter("_take > 0")
+    chunk = F.explode(F.sequence(F.lit(0), ((F.col("_take") - 1) / COPIES).cast("long")))
+    spread = taken.withColumn("_chunk", chunk).repartition("_chunk")
+    here = F.least(F.col("_take") - F.col("_chunk") * COPIES, F.lit(COPIES))
+    copies = spread.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), here.cast("long"))))
+    return df.filter(order < F.lit(low)).unionAll(copies.select(*df.columns)), n
 
 
 def resize(
@@ -106,18 +120,30 @@ def resize(
 
 
 def _sized_moments(df, c, low, high, n, constant, seed, algorithm) -> DataFrame:
-    """Moments of the resized column; the padding is added as numbers, not as rows."""
+    """Moments of the resized column in two reads of the table; padding and cut copies are added as numbers.
+
+    The sums travel with the counts per hash bucket: buckets below the cut are finished by the first read, and
+    only the bucket of the cut is read again. Of rows that share the hash of the cut, each counts as their mean.
+    """
     check_bounds(low, high)
     if not low <= constant <= high:
         raise ValueError(f"padding constant {constant} lies outside [{low}, {high}]")
-    kept, size = _cut(df, n, seed, algorithm)
+    if n < 1:
+        raise ValueError(f"declared size must be at least 1, got {n}")
     middle = (low + high) / 2.0
-    x = F.coalesce(clamp(c, low, high), F.lit(float(constant)))
-    y, pad, missing = x - F.lit(middle), constant - middle, max(n - size, 0)
-    sums = kept.agg(F.sum(y).alias("s1"), F.sum(y * y).alias("s2"))
-    first = F.coalesce(F.col("s1"), F.lit(0.0)) + F.lit(missing * pad)
-    second = F.coalesce(F.col("s2"), F.lit(0.0)) + F.lit(missing * pad * pad)
-    return sums.select(first.alias("m1"), second.alias("m2"))
+    y = F.coalesce(clamp(c, low, high), F.lit(float(constant))) - F.lit(middle)
+    order = hash52(seed, *df.columns, algorithm=algorithm)
+    hashed = df.select(order.alias("_hash"), y.alias("_y")).withColumn("_yy", F.col("_y") * F.col("_y"))
+    first = second = 0.0
+    for found, _, _ in _levels(hashed, n):
+        first, second, at = first + found["_y"], second + found["_yy"], found["at"]
+    if at is None:
+        missing, pad = n - (found["total"] or 0), constant - middle
+        first, second = first + missing * pad, second + missing * pad * pad
+    elif at["_upto"] > n:
+        share = (n - (at["_upto"] - at["_rows"])) / at["_rows"]
+        first, second = first + share * at["_y"], second + share * at["_yy"]
+    return df.sparkSession.range(1).select(F.lit(float(first)).alias("m1"), F.lit(float(second)).alias("m2"))
 
 
 def dp_sum_sized(

@@ -51,7 +51,7 @@ def ids(df):
 
 @pytest.fixture(params=[1000, 1], ids=["ranked in task", "sliced"])
 def threshold(request, spark, monkeypatch):
-    monkeypatch.setattr(B, "SLICES", 4)
+    monkeypatch.setattr(B, "SLICE_BITS", 2)
     spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", request.param)
     yield
     spark.conf.unset("spark.sql.optimizer.windowGroupLimitThreshold")

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from hushframe.functions.uniform import hash52
 from hushframe.operators import bounding as B
+from hushframe.operators.bounding import PrivacyUnit, bound_contributions, bound_rows
 from hushframe.operators import distances as D
 from hushframe.operators import keysets as K
 from hushframe.plans import ledger as L
@@ -75,3 +78,31 @@ def test_budget_split(rows):
     assert split_and_count(shares) == ROWS
     off = shares.groupBy("session").agg(F.abs(F.sum("epsilon") - 1).alias("off"))
     assert off.agg(F.max("off")).first()[0] < 1e-9
+
+
+def test_a_busy_unit_above_the_limit_of_spark(spark):
+    """k = 2000: the rows kept of a unit that holds most rows lie in many tasks, and are those of one window."""
+    df = spark.range(60_000).select(F.when(F.col("id") % 10 < 8, 0).otherwise(F.col("id")).alias("u"), "id")
+    unit = PrivacyUnit("u", rows=2000, row_key=("id",))
+    kept = bound_rows(df, unit)
+    hot = kept.filter("u = 0")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else tiny partitions are put together
+    try:
+        tasks = [r["count"] for r in hot.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(tasks) == 2000 and max(tasks) < 1000
+    order = Window.partitionBy("u").orderBy(hash52(unit.seed, "id"), "id")
+    plain = df.withColumn("r", F.row_number().over(order)).filter("r <= 2000").select("u", "id")
+    assert kept.exceptAll(plain).isEmpty() and kept.count() == plain.count()
+    many = PrivacyUnit("u", partitions=1500, rows=2, row_key=("id",))
+    grouped = df.withColumn("g", F.col("id") % 4000)
+    both = bound_contributions(grouped, many, ["g"]).filter("u = 0")
+    assert both.select("g").distinct().count() == 1500
+
+
+def test_rows_without_an_id(spark):
+    df = spark.createDataFrame([(None, 1), (None, 2), (5, 3)], "u int, v int")
+    assert [r["u"] for r in bound_rows(df, PrivacyUnit("u")).collect()] == [5]
+    with pytest.raises(Exception, match="has no u"):
+        bound_rows(df, PrivacyUnit("u", missing="refuse")).collect()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from hushframe.functions.calibration import selection_threshold
 from hushframe.operators import histograms as H
 from hushframe.operators.bounding import PrivacyUnit
+from hushframe.operators.keysets import declared_keys
 from workload.registry import register, table
 from workload.sql import NOISE, SEED, d, geometric, h52, laplace, u
 
@@ -72,23 +73,24 @@ def dp_histogramdd(spark, folder):
 
 DAY = H.Axis("o_day", 0, 4000, 40)
 BUYER = PrivacyUnit("o_custkey", partitions=4, rows=1, row_key=("o_orderkey",), seed=SEED, algorithm="md5")
-_COARSE = H.Axis("o_totalprice", 0, 500000, 50)
+_COARSE = H.Axis("o_totalprice", 0, 500000, 5)
+_YEARS = H.Axis("o_day", DAY.low, DAY.high, 7)
 
 
 @register(f"""
-with o as (select o_custkey, {bin_of(_COARSE)} as bin_0, {bin_of(DAY)} as bin_1
+with o as (select o_custkey, {bin_of(_COARSE)} as bin_0, {bin_of(_YEARS)} as bin_1
            from (select *, date_diff('day', date '1992-01-01', o_orderdate::date) as o_day from orders)),
 p as (select o_custkey, bin_0, bin_1, row_number() over (partition by o_custkey
         order by {h52(SEED, 'o_custkey', 'bin_0', 'bin_1')}, bin_0, bin_1) as pn
       from (select distinct o_custkey, bin_0, bin_1 from o where bin_0 is not null and bin_1 is not null)),
 c as (select bin_0, bin_1, count(*) as n from p where pn <= 4 group by 1, 2),
 x as (select bin_0, bin_1, n + {laplace('noisy_ids', d(2.0), 'bin_0', 'bin_1')} as noisy_ids from c)
-select bin_0, bin_1, round(noisy_ids, 6) as noisy_ids from x where noisy_ids >= {d(selection_threshold(2.0, 0.2, 4))}
+select bin_0, bin_1, round(noisy_ids, 6) as noisy_ids from x where noisy_ids >= {d(selection_threshold(2.0, 1e-5, 4))}
 """)
 def dp_sparse_histogram(spark, folder):
     day = F.datediff(F.to_date("o_orderdate"), F.lit("1992-01-01").cast("date"))
     orders = table(spark, folder, "orders").select("o_custkey", "o_totalprice", day.alias("o_day"))
-    counts = H.dp_sparse_histogram(orders, [_COARSE, DAY], BUYER, 2.0, 0.2, NOISE)
+    counts = H.dp_sparse_histogram(orders, [_COARSE, _YEARS], BUYER, 2.0, 1e-5, NOISE)
     return counts.withColumn("noisy_ids", F.round("noisy_ids", 6))
 
 
@@ -119,12 +121,13 @@ def dp_quantiles(spark, folder):
 
 
 _MEDIAN = H.Axis("o_totalprice", 0, 500000, 200)
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
 
-@register(_quantile_sql(_MEDIAN, "orders", [0.5], 1.0, "o_orderpriority", "select distinct o_orderpriority from orders"))
+@register(_quantile_sql(_MEDIAN, "orders", [0.5], 1.0, "o_orderpriority", f"select unnest({PRIORITIES}) as o_orderpriority"))
 def dp_median_by_group(spark, folder):
     orders = table(spark, folder, "orders")
-    keys = orders.select("o_orderpriority").distinct()
+    keys = declared_keys(spark, {"o_orderpriority": PRIORITIES})
     answer = H.dp_median(orders, _MEDIAN, 1.0, NOISE, by=["o_orderpriority"], keyset=keys)
     return answer.withColumn("value", F.round("value", 6))
 
