@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -74,6 +75,29 @@ def zcdp_to_epsilon(rho: Column | str, delta: Column | str | float) -> Column:
     return rho + F.lit(2.0) * F.sqrt(rho * F.log(F.lit(1.0) / delta))
 
 
+def approx_to_zcdp(epsilon: float, delta: float) -> float:
+    """The largest rho that satisfies (epsilon, delta): the inverse of ``zcdp_to_epsilon``."""
+    if not 0 < delta < 1:
+        raise ValueError(f"delta must lie between 0 and 1, got {delta}")
+    reach = math.log(1.0 / delta)
+    return (math.sqrt(reach + epsilon) - math.sqrt(reach)) ** 2
+
+
+def advanced_epsilon(epsilons: Sequence[float], slack: float) -> float:
+    """Total epsilon of the queries of one session when ``slack`` of delta is given up.
+
+    The smallest of the sum and the two bounds of Kairouz, Oh and Viswanath (2015).
+    """
+    linear = math.fsum(epsilons)
+    if slack <= 0 or not 0 < linear < math.inf:
+        return linear
+    squares = math.fsum(e * e for e in epsilons)
+    drift = math.fsum(e * math.tanh(e / 2.0) for e in epsilons)
+    first = drift + math.sqrt(2.0 * squares * math.log(1.0 / slack))
+    second = drift + math.sqrt(2.0 * squares * math.log(math.e + math.sqrt(squares) / slack))
+    return min(linear, first, second)
+
+
 def selection_threshold(epsilon: float, delta: float, partitions: int = 1) -> float:
     """Noisy id count from which a key found in private data may be released."""
     if not 0 < delta < 1:

@@ -10,10 +10,36 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: What a table is called that a user asked for; all others are intermediate.
+RELEASE = "release"
+
+_notes: ContextVar[list[str] | None] = ContextVar("intermediate paths", default=None)
+
+
+@contextmanager
+def noting_intermediates(paths: list[str]) -> Iterator[None]:
+    """Add the path of each intermediate table that is written inside to ``paths``."""
+    token = _notes.set(paths)
+    try:
+        yield
+    finally:
+        _notes.reset(token)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a written table, wherever the shared folder lies."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 @functools.cache
 def _local_folder() -> str:
     return tempfile.mkdtemp(prefix="hushframe-")
@@ -31,10 +57,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing has used yet."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    notes = _notes.get()
+    if notes is not None and name != RELEASE:
+        notes.append(path)
+    return path
 
 
-def materialise(df: DataFrame, name: str = "release") -> DataFrame:
+def materialise(df: DataFrame, name: str = RELEASE) -> DataFrame:
     """Write the table once and return the written copy."""
     spark = df.sparkSession
     path = new_path(spark, name)

@@ -7,14 +7,19 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from datetime import datetime, timezone
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hushframe.functions.calibration import advanced_epsilon, approx_to_zcdp
 from hushframe.functions.noise import Noise, SecureNoise
-from hushframe.operators import private
+from hushframe.operators import histograms, private, resize
 from hushframe.operators.bounding import ROW, PrivacyUnit, bound_partitions
 from hushframe.operators.keysets import join_public, public_multiplicity
+from hushframe.operators.vectors import dp_vector_sum
+from hushframe.plans.adaptive import two_phase_count
 from hushframe.plans.ledger import SPENDS, split_total
+from hushframe.plans.materialise import noting_intermediates, remove
 
 
 class BudgetExceeded(Exception):
@@ -32,6 +37,16 @@ HIDDEN = "__private_"
 Step = Callable[[DataFrame, Sequence[str]], DataFrame]
 
 
+#: Statistics of a whole view, which take no groups.
+UNGROUPED = ("histogram", "sparse_histogram", "vector_sum", "sum_sized", "mean_sized", "variance_sized", "two_phase_count")
+SIZED = {
+    "sum_sized": resize.dp_sum_sized,
+    "mean_sized": resize.dp_mean_sized,
+    "variance_sized": resize.dp_variance_sized,
+}
+MEASURES = ("pure", "zcdp", "approx")
+
+
 def _per_row(before: DataFrame, after: DataFrame) -> DataFrame:
     """``after`` if it only filters rows of ``before`` and computes columns from one row each.
 
@@ -53,13 +68,16 @@ class Query:
 
     Steps filter rows or compute columns from one row. What makes several rows out of one has a step
     of its own that declares the factor, and the influence of a row is multiplied by it. The privacy unit and
-    the row key are those of the view, whatever steps select, rename or replace.
+    the row key are those of the view, whatever steps select, rename or replace. ``delta`` is what the
+    query costs beside its epsilon, in an (epsilon, delta) session.
     """
 
     view: str
     steps: tuple[Step, ...] = ()
     factors: tuple[Callable[[], int], ...] = ()
     keyset: DataFrame | None = None
+    found: tuple[str, ...] = ()
+    delta: float = 0.0
     metric: str | None = None
     options: Mapping[str, object] = field(default_factory=dict)
 
@@ -108,7 +126,15 @@ class Query:
         return self._then(step, lambda: max(public_multiplicity(public, on), 1))
 
     def group_by(self, keyset: DataFrame) -> Query:
-        return replace(self, keyset=keyset)
+        return replace(self, keyset=keyset, found=())
+
+    def group_by_found(self, columns: Sequence[str], delta: float) -> Query:
+        """Groups whose keys are found in the private rows; ``delta`` and half of the epsilon pay for showing them."""
+        return replace(self, keyset=None, found=tuple(columns), delta=_spare(delta))
+
+    def found_keys(self) -> Query:
+        """Only the keys, with the noisy number of units that have them; takes the whole epsilon."""
+        return self._metric("found_keys")
 
     def count(self) -> Query:
         return self._metric("count")
@@ -128,6 +154,50 @@ class Query:
     def stdev(self, column: str, low: float, high: float) -> Query:
         return self._metric("std", value=column, low=low, high=high)
 
+    def count_nonzero(self, column: str) -> Query:
+        return self._metric("count_nonzero", what=column)
+
+    def aggregate(
+        self, metrics: Sequence[str], column: str | None = None, low: float | None = None, high: float | None = None,
+        weights: Mapping[str, float] | None = None,
+    ) -> Query:
+        """Several statistics from one pass over the rows; the epsilon is shared among them by weight."""
+        return self._metric("aggregate", metrics=list(metrics), value=column, low=low, high=high, weights=weights)
+
+    def histogram(self, *axes: histograms.Axis) -> Query:
+        """Counts of all cells of a public grid."""
+        return self._metric("histogram", axes=axes)
+
+    def sparse_histogram(self, *axes: histograms.Axis, delta: float) -> Query:
+        """Counts of the cells that enough units have, of a grid too large to list."""
+        return replace(self._metric("sparse_histogram", axes=axes), delta=_spare(delta))
+
+    def quantiles(self, axis: histograms.Axis, quantiles: Sequence[float]) -> Query:
+        return self._metric("quantiles", axis=axis, quantiles=list(quantiles))
+
+    def vector_sum(self, column: str, dim: int, clip: float, norm: str = "l1", delta: float | None = None) -> Query:
+        """Sum of clipped vectors; an L2 clip takes Gaussian noise, so a rho or a ``delta``."""
+        asked = self._metric("vector_sum", c=column, dim=dim, clip=clip, norm=norm)
+        return asked if delta is None else replace(asked, delta=_spare(delta))
+
+    def sum_sized(self, column: str, low: float, high: float, n: int) -> Query:
+        return self._metric("sum_sized", c=column, low=low, high=high, n=n)
+
+    def mean_sized(self, column: str, low: float, high: float, n: int) -> Query:
+        return self._metric("mean_sized", c=column, low=low, high=high, n=n)
+
+    def variance_sized(self, column: str, low: float, high: float, n: int, ddof: int = 0) -> Query:
+        return self._metric("variance_sized", c=column, low=low, high=high, n=n, ddof=ddof)
+
+    def two_phase_count(
+        self, coarse_keyset: DataFrame, fine_keyset: DataFrame, threshold: float, coarse_share: float = 0.1
+    ) -> Query:
+        """Coarse counts first, fine ones of the large groups after them; the fine keys hold the coarse ones."""
+        return self._metric(
+            "two_phase_count", coarse_keyset=coarse_keyset, coarse=coarse_keyset.columns,
+            fine_keyset=fine_keyset, fine=fine_keyset.columns, threshold=threshold, coarse_share=coarse_share,
+        )
+
     def _metric(self, name: str, **options: object) -> Query:
         return replace(self, metric=name, options=options)
 
@@ -145,13 +215,26 @@ class Query:
         return math.prod(factor() for factor in self.factors)
 
 
+def _spare(delta: float) -> float:
+    if not 0 < delta < 1:
+        raise ValueError(f"delta must lie between 0 and 1, got {delta}")
+    return float(delta)
+
+
 class PrivacySession:
     """Named private views and what may still be spent on them.
 
-    The budget is an epsilon, or a rho with ``measure="zcdp"``; it may be infinite. A query that does not
-    fit raises before Spark is asked for anything. The spend is recorded before the job runs, so that a
-    failed job is not free. With ``ledger_path`` it is also appended to a table there, for audits over many
-    sessions.
+    The budget is an epsilon, or a rho with ``measure="zcdp"``; it may be infinite. With ``measure="approx"``
+    it is an epsilon and a ``delta``, which pays for the deltas of queries and for ``slack``: the part given up so that
+    many small epsilons compose to less than their sum. The amounts of such queries must not depend on answers.
+
+    A query that does not fit raises before Spark is asked for anything. The spend is recorded before the job
+    runs, so that a failed job is not free. With ``ledger_path`` it is also appended to a table there, and a
+    session of the same name that starts later begins with what has been spent. Only one session of a name may be
+    open at a time.
+
+    ``close`` removes the intermediate tables of a session, which hold exact private sums. Secure answers are
+    tables of their own and stay; seeded answers are lazy and must have been read before.
     """
 
     def __init__(
@@ -165,12 +248,21 @@ class PrivacySession:
         noise: Noise | None = None,
         name: str = "session",
         ledger_path: str | None = None,
+        delta: float = 0.0,
+        slack: float = 0.0,
+        resume: bool = True,
     ) -> None:
         if not budget > 0:
             raise ValueError(f"privacy budget must be positive, got {budget}")
-        if measure not in ("pure", "zcdp"):
+        if measure not in MEASURES:
             raise ValueError(f"unknown privacy measure: {measure}")
+        if measure != "approx" and (delta or slack):
+            raise ValueError(f"a {measure} session has neither delta nor slack")
+        if not 0 <= slack <= delta < 1:
+            raise ValueError(f"delta must lie in [0, 1) and hold the slack, got {delta} and {slack}")
         self.spark = spark
+        self.delta = float(delta)
+        self.slack = float(slack)
         self.name = name
         self.budget = budget
         self.measure = measure
@@ -181,6 +273,28 @@ class PrivacySession:
         self._influence = {view: 1 for view in views}
         self._spends: list[tuple] = []
         self._amounts: list[float] = []
+        self._deltas: list[float] = []
+        self._intermediate: list[str] = []
+        if ledger_path and resume:
+            self._read_back()
+
+    def _read_back(self) -> None:
+        """Begin with the spends that the ledger holds under this session's name."""
+        try:
+            ledger = self.spark.read.schema(SPENDS).parquet(self.ledger_path)
+        except AnalysisException as absent:
+            if absent.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return
+        for row in ledger.filter(F.col("session") == self.name).orderBy("ts", "query").collect():
+            delta, amount = row["delta"] or 0.0, row["epsilon"]
+            if self.measure == "zcdp":
+                amount = row["rho"] if row["rho"] is not None else None if amount is None else amount * amount / 2.0
+            if amount is None or (delta and self.measure != "approx"):
+                raise ValueError(f"the ledger has a spend of {self.name} that a {self.measure} session cannot count: {row}")
+            self._spends.append(tuple(row))
+            self._amounts.append(amount)
+            self._deltas.append(delta)
 
     def _marked(self, df: DataFrame) -> DataFrame:
         """The view with its hidden columns; a derived view has them already."""
@@ -205,9 +319,24 @@ class PrivacySession:
     def from_dataframe(cls, df: DataFrame, source: str, budget: float, **options) -> PrivacySession:
         return cls(df.sparkSession, {source: df}, budget, **options)
 
+    def _total(self, amounts: Sequence[float]) -> float:
+        return advanced_epsilon(amounts, self.slack)
+
+    def _total_delta(self, deltas: Sequence[float]) -> float:
+        return -math.expm1(math.log1p(-self.slack) + math.fsum(math.log1p(-d) for d in deltas))
+
     @property
     def spent(self) -> float:
-        return math.fsum(self._amounts)
+        return self._total(self._amounts)
+
+    @property
+    def spent_delta(self) -> float:
+        """Deltas of the queries and the slack, which is spent from the start."""
+        return self._total_delta(self._deltas)
+
+    @property
+    def remaining_delta(self) -> float:
+        return max(self.delta - self.spent_delta, 0.0)
 
     @property
     def remaining(self) -> float:
@@ -220,23 +349,54 @@ class PrivacySession:
         """This session's spends as a table."""
         return self.spark.createDataFrame(self._spends, SPENDS)
 
-    def _require(self, amount: float, what: str) -> None:
-        if not amount > 0:
-            raise ValueError(f"privacy budget must be positive, got {amount}")
-        if math.fsum([*self._amounts, amount]) > self.budget * (1 + 1e-12):
-            raise BudgetExceeded(f"{what} needs {amount}, but only {self.remaining} is left")
-
-    def _charge(self, amount: float, query: str, mechanism: str, partition: str = "all") -> None:
-        self._require(amount, query)
+    def _require(self, amounts: Sequence[float], deltas: Sequence[float], what: str) -> None:
+        for amount in amounts:
+            if not amount > 0:
+                raise ValueError(f"privacy budget must be positive, got {amount}")
+        if self._total([*self._amounts, *amounts]) > self.budget * (1 + 1e-12):
+            raise BudgetExceeded(f"{what} needs {math.fsum(amounts)}, but only {self.remaining} is left")
+        if self._total_delta([*self._deltas, *deltas]) > self.delta * (1 + 1e-9):
+            raise BudgetExceeded(f"{what} needs a delta of {math.fsum(deltas)}, but only {self.remaining_delta} is left")
+
+    def _charge(
+        self, amount: float, query: str, mechanism: str, partition: str = "all", delta: float = 0.0
+    ) -> None:
+        self._require([amount], [delta], query)
         now = datetime.now(timezone.utc)
-        epsilon, rho = (float(amount), None) if self.measure == "pure" else (None, float(amount))
-        row = (self.name, partition, query, mechanism, epsilon, 0.0, rho, now)
+        epsilon, rho = (None, float(amount)) if self.measure == "zcdp" else (float(amount), None)
+        row = (self.name, partition, query, mechanism, epsilon, float(delta), rho, now)
         self._spends.append(row)
         self._amounts.append(float(amount))
+        self._deltas.append(float(delta))
         if self.ledger_path:
             one = self.spark.createDataFrame([row], SPENDS)
             one.coalesce(1).write.mode("append").parquet(self.ledger_path)
 
+    def _check(self, name: str, query: Query) -> None:
+        """Refuse what could not be answered, before it is paid for."""
+        if query.metric is None:
+            raise ValueError(f"query {name} has no statistic")
+        if query.view not in self._views:
+            raise ValueError(f"there is no view {query.view}")
+        if query.delta and self.measure != "approx":
+            raise ValueError(f"query {name} costs a delta, which a {self.measure} session does not have")
+        by_unit = bool(query.found) or query.metric in ("found_keys", "sparse_histogram", "privacy_id_count")
+        if by_unit and self.unit.column is None:
+            raise ValueError(f"query {name} needs a privacy unit column")
+        if query.metric == "found_keys" and not query.found:
+            raise ValueError(f"query {name} does not say whose keys it wants")
+        if query.metric in UNGROUPED and (query.found or query.keyset is not None):
+            raise ValueError(f"{query.metric} takes no groups")
+        if query.metric == "quantiles" and query.found:
+            raise ValueError("quantiles need public groups")
+        if query.metric in SIZED and self.unit.column is not None:
+            raise ValueError("sized statistics protect rows, not units with an id")
+        gaussian = query.metric == "two_phase_count" or (
+            query.metric == "vector_sum" and query.options["norm"] == "l2" and not query.delta
+        )
+        if gaussian and self.measure != "zcdp":
+            raise ValueError(f"query {name} takes Gaussian noise, which an epsilon alone does not pay")
+
     def create_view(self, query: Query, name: str) -> None:
         """A derived private view; it remembers how many rows one source row can become.
 
@@ -256,35 +416,73 @@ class PrivacySession:
     ) -> dict[str, DataFrame]:
         """Declare several queries first, share one budget among them by weight, then run them."""
         for name, query in queries.items():
-            if query.metric is None:
-                raise ValueError(f"query {name} has no statistic")
-            if query.view not in self._views:
-                raise ValueError(f"there is no view {query.view}")
-        self._require(budget, ", ".join(queries))
+            self._check(name, query)
         shares = split_total(budget, {name: (weights or {}).get(name, 1.0) for name in queries})
+        self._require(list(shares.values()), [q.delta for q in queries.values()], ", ".join(queries))
         for name, query in queries.items():
-            self._charge(shares[name], f"{query.metric}({query.view})", query.metric)
-        return {name: self._run(query, shares[name]) for name, query in queries.items()}
+            self._charge(shares[name], f"{query.metric}({query.view})", query.metric, delta=query.delta)
+        with noting_intermediates(self._intermediate):
+            return {name: self._run(query, shares[name]) for name, query in queries.items()}
 
     def _run(self, query: Query, budget: float) -> DataFrame:
         unit = self._hidden_unit
         if unit.column is None:
             unit = replace(unit, rows=unit.rows * self._influence[query.view] * query.influence)
         df = query.rows(self._views[query.view], self._hidden)
-        keys = query.keyset.columns if query.keyset is not None else []
-        if self.measure == "zcdp" and query.metric == "count":
-            return private.dp_group_count(df, query.keyset, keys, budget, self.noise, measure="zcdp", unit=unit)
+        options, noise, zcdp = query.options, self.noise, self.measure == "zcdp"
         # a pure epsilon costs rho = epsilon^2 / 2
-        epsilon = budget if self.measure == "pure" else math.sqrt(2.0 * budget)
-        return private.dp_aggregate(
-            df, [query.metric], epsilon, self.noise, by=keys, keyset=query.keyset, unit=unit, **query.options
-        )
+        epsilon = math.sqrt(2.0 * budget) if zcdp else budget
+        groups = {"by": query.keyset.columns, "keyset": query.keyset} if query.keyset is not None else {}
+
+        if query.metric == "two_phase_count":
+            return two_phase_count(df, total_rho=budget, noise=noise, unit=unit, **options)
+        if query.metric == "vector_sum":
+            rho = budget if zcdp else approx_to_zcdp(budget, query.delta) if query.delta else None
+            amount = epsilon if options["norm"] == "l1" else rho
+            return dp_vector_sum(df, budget=amount, noise=noise, unit=unit, **options)
+        if query.metric == "histogram":
+            return histograms.dp_histogramdd(df, options["axes"], epsilon, noise, unit=unit)
+        if query.metric == "sparse_histogram":
+            return histograms.dp_sparse_histogram(df, options["axes"], unit, epsilon, query.delta, noise)
+        if query.metric == "quantiles":
+            return histograms.dp_quantiles(df, epsilon=epsilon, noise=noise, unit=unit, **groups, **options)
+        if query.metric in SIZED:
+            # a group of rows is protected by as many shares of the epsilon
+            return SIZED[query.metric](df, epsilon=epsilon / unit.rows, noise=noise, **options)
+        if query.metric == "found_keys":
+            return private.select_partitions(df, unit, query.found, epsilon, query.delta, noise)
+        if query.metric == "count" and zcdp:
+            return private.dp_group_count(
+                df, query.keyset, groups.get("by", []), budget, noise, measure="zcdp", unit=unit
+            )
+        if query.found:
+            groups = {"by": query.found, "selection": (epsilon / 2.0, query.delta)}
+            epsilon = epsilon / 2.0
+        if query.metric == "count_nonzero":
+            return private.dp_count_nonzero(df, options["what"], epsilon, noise, unit=unit, **groups)
+        if query.metric == "aggregate":
+            return private.dp_aggregate(df, epsilon=epsilon, noise=noise, unit=unit, **groups, **options)
+        return private.dp_aggregate(df, [query.metric], epsilon, noise, unit=unit, **groups, **options)
+
+    def close(self) -> None:
+        """Remove the intermediate tables that this session has written."""
+        while self._intermediate:
+            remove(self.spark, self._intermediate[-1])
+            self._intermediate.pop()
+
+    def __enter__(self) -> PrivacySession:
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        self.close()
 
     def partition_and_spend(
-        self, view: str, attribute: str, splits: Mapping[str, object], budget: float
+        self, view: str, attribute: str, splits: Mapping[str, object], budget: float, delta: float = 0.0
     ) -> dict[str, PrivacySession]:
         """Disjoint child sessions by the value of one column; all of them together cost ``budget`` once.
 
+        Children are paid for here, so they start anew and never with what an earlier child has spent.
+
         To answer the same question for every part, group one session by ``attribute`` instead: that is
         one job rather than one per child.
         """
@@ -296,14 +494,17 @@ class PrivacySession:
         else:
             factor = min(unit.partitions, len(splits))
             df = bound_partitions(df.filter(df[attribute].isin(list(splits.values()))), unit, [attribute])
-        self._charge(budget * factor, f"partition({view})", "parallel", attribute)
+        if delta and self.measure != "approx":
+            raise ValueError(f"a {self.measure} session has no delta")
+        self._charge(budget * factor, f"partition({view})", "parallel", attribute, delta * factor)
         children = {}
         for name, value in splits.items():
             part = df.filter(F.col(attribute) == F.lit(value))
             child = PrivacySession(
                 self.spark, {view: part}, budget, measure=self.measure, unit=self.unit, noise=self.noise,
-                name=f"{self.name}/{name}", ledger_path=self.ledger_path,
+                name=f"{self.name}/{name}", ledger_path=self.ledger_path, delta=delta, resume=False,
             )
+            child._intermediate = self._intermediate
             child._influence[view] = self._influence[view]
             children[name] = child
         return children

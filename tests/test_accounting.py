@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import math
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from hushframe.functions import calibration as C
-from hushframe.functions.noise import SeededNoise
+from hushframe.functions.noise import SecureNoise, SeededNoise
 from hushframe.operators.bounding import PrivacyUnit
+from hushframe.operators.histograms import Axis
 from hushframe.plans import ledger as L
 from hushframe.plans.session import BudgetExceeded, PrivacySession, Query, UnsafeStep
 
@@ -344,3 +346,143 @@ def test_refused_queries_start_no_job(spark):
     query = Query("people").join_public(Failing(), ["user_id"]).count()
     with pytest.raises(BudgetExceeded):
         session.evaluate(query, 2.0)
+
+
+VISITS = [(i % 40, i, float(i % 100), "often" if i % 40 < 39 else "rare") for i in range(400)]
+VISITOR = PrivacyUnit("person", partitions=2, rows=20, row_key=("visit",))
+
+
+@pytest.fixture()
+def visits(spark):
+    return spark.createDataFrame(VISITS, "person int, visit int, hours double, place string")
+
+
+def test_small_epsilons_compose_with_slack(people):
+    """Sixty-four spends of 0.02 add up to 1.28; with a slack of 1e-6 they compose to less."""
+    session = PrivacySession.from_dataframe(people, "people", 1.0, measure="approx", delta=1e-6, slack=1e-6, noise=QUIET)
+    for _ in range(64):
+        session._charge(0.02, "count", "count")
+    drift = 64 * 0.02 * (math.exp(0.02) - 1) / (math.exp(0.02) + 1)
+    squares = 64 * 0.02**2
+    assert session.spent == pytest.approx(drift + math.sqrt(2 * squares * math.log(math.e + math.sqrt(squares) / 1e-6)))
+    assert session.remaining_delta == pytest.approx(0.0, abs=1e-15)
+    with pytest.raises(BudgetExceeded):
+        session.evaluate(Query("people").count(), 0.5)
+    exact = PrivacySession.from_dataframe(people, "people", 1.0, measure="approx", noise=QUIET)
+    with pytest.raises(BudgetExceeded):
+        exact.evaluate(Query("people").count(), 1.28)
+
+
+def test_slack_agrees_with_the_audit(spark, people):
+    session = PrivacySession.from_dataframe(people, "people", 9.0, measure="approx", delta=1e-4, slack=1e-5, noise=QUIET)
+    for epsilon, delta in [(0.1, 0.0), (0.3, 1e-6), (0.02, 0.0), (0.7, 2e-5)]:
+        session._charge(epsilon, "q", "m", delta=delta)
+    audit = L.compose_advanced(session.spends(), 1e-5).first()
+    assert session.spent == pytest.approx(audit["epsilon"])
+    assert session.spent_delta == pytest.approx(audit["delta"])
+
+
+def test_delta_is_paid_for(visits):
+    session = PrivacySession.from_dataframe(visits, "visits", 100.0, measure="approx", delta=1e-5, unit=VISITOR, noise=QUIET)
+    asked = Query("visits").group_by_found(["place"], 6e-6)
+    found = session.evaluate(asked.found_keys(), 50.0).collect()
+    assert [r["place"] for r in found] == ["often"]
+    assert session.spent_delta == pytest.approx(6e-6)
+    with pytest.raises(BudgetExceeded, match="delta"):
+        session.evaluate(asked.count(), 1.0)
+    assert len(session) == 1
+    with pytest.raises(ValueError, match="delta"):
+        PrivacySession.from_dataframe(visits, "visits", 1.0, unit=VISITOR, noise=QUIET).evaluate(asked.count(), 1.0)
+
+
+def test_every_statistic_in_a_session(spark, visits):
+    """With a huge epsilon each answer is the plain one; each is charged."""
+    session = PrivacySession.from_dataframe(visits, "visits", 1e13, noise=QUIET)
+    hours, huge = Axis("hours", 0, 100, 10), 1e12
+
+    def ask(query):
+        return session.evaluate(query, huge).collect()
+
+    assert ask(Query("visits").count_nonzero("hours"))[0]["count"] == sum(h != 0 for _, _, h, _ in VISITS)
+    assert [r["count"] for r in sorted(ask(Query("visits").histogram(hours)))] == [40] * 10
+    assert 40 <= ask(Query("visits").quantiles(hours, [0.5]))[0]["value"] <= 60
+    assert ask(Query("visits").mean_sized("hours", 0, 100, 400))[0]["mean"] == pytest.approx(49.5, abs=1e-3)
+    assert ask(Query("visits").sum_sized("hours", 0, 100, 400))[0]["sum"] == pytest.approx(19800, abs=1e-3)
+    assert ask(Query("visits").variance_sized("hours", 0, 100, 400))[0]["variance"] == pytest.approx(833.25, abs=1e-3)
+    vectors = Query("visits").with_column("v", "array(hours / 100, 1.0)").vector_sum("v", 2, 2.0)
+    assert [r["value"] for r in sorted(ask(vectors))] == pytest.approx([198.0, 400.0], abs=1e-3)
+    both = ask(Query("visits").aggregate(["count", "mean"], "hours", 0, 100))[0]
+    assert both["count"] == 400 and both["mean"] == pytest.approx(49.5, abs=1e-3)
+    assert len(session) == 8 and session.spent == 8e12
+
+
+def test_sized_statistics_of_rows_that_multiply(spark, visits):
+    """A row that may count four times gets four times the noise, from the same draw."""
+    def noise_of(copies):
+        session = PrivacySession.from_dataframe(visits, "visits", 1.0, noise=QUIET)
+        query = Query("visits").explode("copy", "array(1)", copies).drop_missing("copy")
+        return session.evaluate(query.sum_sized("hours", 0, 100, 400), 1.0).first()["sum"] - 19800
+
+    assert noise_of(4) == pytest.approx(4 * noise_of(1))
+
+
+def test_gaussian_answers_need_a_rho_or_a_delta(spark, visits):
+    vectors = Query("visits").with_column("v", "array(hours / 100, 1.0)")
+    pure = PrivacySession.from_dataframe(visits, "visits", 1e9, noise=QUIET)
+    with pytest.raises(ValueError, match="Gaussian"):
+        pure.evaluate(vectors.vector_sum("v", 2, 2.0, "l2"), 1.0)
+    assert len(pure) == 0
+    approx = PrivacySession.from_dataframe(visits, "visits", 1e13, measure="approx", delta=1e-5, noise=QUIET)
+    answer = approx.evaluate(vectors.vector_sum("v", 2, 2.0, "l2", 1e-6), 1e12).collect()
+    assert [r["value"] for r in sorted(answer)] == pytest.approx([198.0, 400.0], abs=1e-2)
+    rho = C.approx_to_zcdp(2.0, 1e-6)
+    back = spark.range(1).select(C.zcdp_to_epsilon(F.lit(rho), 1e-6)).first()[0]
+    assert back == pytest.approx(2.0)
+
+
+def test_unanswerable_queries_cost_nothing(visits):
+    rows = PrivacySession.from_dataframe(visits, "visits", 1.0, measure="approx", delta=0.1, noise=QUIET)
+    people = PrivacySession.from_dataframe(visits, "visits", 1.0, measure="approx", delta=0.1, unit=VISITOR, noise=QUIET)
+    q, axis = Query("visits"), Axis("hours", 0, 100, 10)
+    for session, query in [
+        (rows, q.group_by_found(["place"], 0.01).count()), (rows, q.privacy_id_count()), (people, q.found_keys()),
+        (people, q.mean_sized("hours", 0, 100, 400)), (people, q.group_by_found(["place"], 0.01).histogram(axis)),
+        (people, q.group_by_found(["place"], 0.01).quantiles(axis, [0.5])),
+    ]:
+        with pytest.raises(ValueError):
+            session.evaluate(query, 0.5)
+    assert len(rows) == 0 and len(people) == 0
+    for options in ({"delta": 0.1}, {"measure": "approx", "slack": 0.1}, {"measure": "approx", "delta": 1.0}):
+        with pytest.raises(ValueError):
+            PrivacySession.from_dataframe(visits, "visits", 1.0, noise=QUIET, **options)
+
+
+def test_a_session_resumes_from_its_ledger(people, tmp_path):
+    path = str(tmp_path / "ledger")
+    options = {"noise": QUIET, "name": "study", "ledger_path": path}
+    first = PrivacySession.from_dataframe(people, "people", 1.0, **options)
+    first.evaluate(Query("people").count(), 0.75)
+    first.partition_and_spend("people", "disease", {"m": "Mumps", "r": "Rubella"}, 0.125)["m"].evaluate(Query("people").count(), 0.125)
+    again = PrivacySession.from_dataframe(people, "people", 1.0, **options)
+    assert again.remaining == 0.125 and len(again) == 2
+    with pytest.raises(BudgetExceeded):
+        again.evaluate(Query("people").count(), 0.25)
+    other = PrivacySession.from_dataframe(people, "people", 1.0, **{**options, "name": "other"})
+    assert other.remaining == 1.0
+    rho = PrivacySession.from_dataframe(people, "people", 1.0, measure="zcdp", **options)
+    assert rho.spent == 0.75**2 / 2 + 0.125**2 / 2
+
+
+def test_close_removes_exact_tables(spark, people):
+    """The cells of a two-phase count go, its release stays."""
+    diseases = spark.createDataFrame([("Mumps",), ("Rubella",)], "disease string")
+    fine = spark.createDataFrame([(d, a) for d in ("Mumps", "Rubella") for a in range(19, 79)], "disease string, age int")
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    before = set(folder.iterdir())
+    with PrivacySession.from_dataframe(people, "people", 1e9, measure="zcdp", noise=SecureNoise()) as session:
+        answer = session.evaluate(Query("people").two_phase_count(diseases, fine, 50.0), 1e9)
+        held = {p.name.split("-")[0] for p in set(folder.iterdir()) - before}
+        assert "cells" in held
+    left = {p.name.split("-")[0] for p in set(folder.iterdir()) - before}
+    assert left == {"release"}
+    assert sum(r["count"] for r in answer.collect()) == 100

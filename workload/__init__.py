@@ -12,6 +12,7 @@ from workload import (  # noqa: E402,F401  (importing a module registers its que
     grids,
     joins,
     scalars,
+    sessions,
     sources,
     trials,
 )

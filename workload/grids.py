@@ -94,7 +94,7 @@ def dp_sparse_histogram(spark, folder):
     return counts.withColumn("noisy_ids", F.round("noisy_ids", 6))
 
 
-def _quantile_sql(axis: H.Axis, source: str, quantiles: list[float], epsilon: float, group: str | None, keys: str | None) -> str:
+def quantile_sql(axis: H.Axis, source: str, quantiles: list[float], epsilon: float, group: str | None, keys: str | None) -> str:
     by = f"{group}, " if group else ""
     key = [group] if group else []
     qs = "[" + ", ".join(d(q) for q in quantiles) + "]"
@@ -114,7 +114,7 @@ best as (select {by} q, arg_max(bin_0, utility) as bin_0 from s group by {by} q)
 select {by} q as quantile, round({d(axis.low)} + (bin_0 + {inside}) * {d(axis.width)}, 6) as value from best"""
 
 
-@register(_quantile_sql(VALUES, "events", [0.1, 0.5, 0.9], 3.0, None, None))
+@register(quantile_sql(VALUES, "events", [0.1, 0.5, 0.9], 3.0, None, None))
 def dp_quantiles(spark, folder):
     answer = H.dp_quantiles(table(spark, folder, "events"), VALUES, [0.1, 0.5, 0.9], 3.0, NOISE)
     return answer.withColumn("value", F.round("value", 6))
@@ -124,7 +124,7 @@ _MEDIAN = H.Axis("o_totalprice", 0, 500000, 200)
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
 
-@register(_quantile_sql(_MEDIAN, "orders", [0.5], 1.0, "o_orderpriority", f"select unnest({PRIORITIES}) as o_orderpriority"))
+@register(quantile_sql(_MEDIAN, "orders", [0.5], 1.0, "o_orderpriority", f"select unnest({PRIORITIES}) as o_orderpriority"))
 def dp_median_by_group(spark, folder):
     orders = table(spark, folder, "orders")
     keys = declared_keys(spark, {"o_orderpriority": PRIORITIES})
@@ -132,7 +132,7 @@ def dp_median_by_group(spark, folder):
     return answer.withColumn("value", F.round("value", 6))
 
 
-@register(_quantile_sql(H.Axis("c_acctbal", -1000, 10000, 110), "customer", [0.25, 0.75], 1.0, None, None))
+@register(quantile_sql(H.Axis("c_acctbal", -1000, 10000, 110), "customer", [0.25, 0.75], 1.0, None, None))
 def dp_percentiles(spark, folder):
     axis = H.Axis("c_acctbal", -1000, 10000, 110)
     answer = H.dp_percentiles(table(spark, folder, "customer"), axis, [25, 75], 1.0, NOISE)
