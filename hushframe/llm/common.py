@@ -45,6 +45,11 @@ def share_of(key: Column, share: Column | float) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(PARTS)) < F.lit(share) * PARTS
 
 
+def dealt_evenly(parts: int) -> Column:
+    """A part for each row of a written table, by its place there: rows that share an id or a null are spread, too."""
+    return F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)).cast("int")
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> DataFrame:
     """id, text and label (0 or 1) of about `bound` training rows, `bound` labels at most.
 

@@ -1,7 +1,7 @@
 """Packing tokenised documents into sequences by the sum-of-squares rule.
 
 Every document becomes token ids and an end id; only longer ones are cut into pieces of a whole
-sequence. Pieces are dealt by hash to shards of a bounded number of pieces, whatever the input,
+sequence. Pieces are dealt by their place to shards of a bounded number of pieces, whatever the input,
 and each shard is packed on its own: pieces in falling order of length, each into the open sequence
 for which the sum of the squared counts of open sequences per residual gap becomes smallest. A
 sequence is opened when a piece fits in none. Lengths are small whole numbers, so a count per gap
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hushframe.llm.common import importable, unused
+from hushframe.llm.common import dealt_evenly, importable, unused
 from hushframe.plans.materialise import materialise
 
 CONTEXT = 2048
@@ -195,7 +195,7 @@ def pack(
     total = pieces.count()
     shards = max(1, -(-total // shard))
     key = unused(pieces, "pack_shard")
-    dealt = pieces.withColumn(key, F.pmod(F.xxhash64(doc_id, "piece"), F.lit(shards)))
+    dealt = pieces.withColumn(key, dealt_evenly(shards))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
