@@ -1,6 +1,6 @@
 """Nearest neighbours by cosine with a vantage-point tree per shard.
 
-Vectors are dealt by hash to shards of bounded size, and queries to blocks of bounded size; each
+Vectors are dealt by their place to shards of bounded size, and queries to blocks of bounded size; each
 shard meets each block in a task of its own, so nothing grows with the input but the number of
 tasks. A shard's vectors, scaled to length one, form a vantage-point tree: each node splits its
 vectors by their distance to one of them. The triangle inequality tells how near a vector on the
@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hushframe.llm.common import importable
+from hushframe.llm.common import dealt_evenly, importable
 from hushframe.plans.materialise import materialise
 
 #: Vectors of a shard, queries of a block, and vectors of a leaf.
@@ -163,9 +163,8 @@ def nearest(
     blocks = max(1, -(-asked.count() // block))
 
     def dealt(rows: DataFrame, own: str, parts: int, other: str, others: int) -> DataFrame:
-        mine = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias(own)
         every = F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other)
-        return rows.select("id", "v", "size", mine, every)
+        return rows.withColumn(own, dealt_evenly(parts)).select("id", "v", "size", own, every)
 
     left = dealt(held, "shard", shards, "block", blocks)
     right = dealt(asked, "block", blocks, "shard", shards)
