@@ -4,10 +4,10 @@ A revisit record says that a server answered "not modified". It is joined, by ca
 time, with the latest earlier full response; validators must agree; and headers of the revisit that
 a 304 answer may update replace those of the response.
 
-The as-of join runs in two steps: times are cut into buckets, the latest response before a
-bucket comes from one row per URL and bucket, the latest inside it from a window per URL and bucket.
-So a URL with a third of all records is spread over its buckets. Only ids, times and URLs are
-shuffled for it; bodies are not.
+The as-of join runs in two steps: the distinct times of all URLs, in order, are cut into buckets of
+about equal size, the latest response before a bucket comes from one row per URL and bucket, the latest
+inside it from a window per URL and bucket. So a URL with a third of all records is spread over many
+buckets, however its captures crowd in time. Only ids, times and URLs are shuffled for it; bodies are not.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from hushframe.plans.materialise import materialise
 
-#: Buckets that the span of all times is cut into.
-BUCKETS = 1024
+#: About how many distinct times a bucket holds.
+BUCKET = 1 << 18
 #: Headers that say how a body is laid out or belong to one connection; a 304 answer doesn't update them.
 FIXED_HEADERS = (
     "connection", "content-encoding", "content-length", "content-range", "content-type", "keep-alive",
@@ -76,32 +76,35 @@ def validators_agree(stored: Column, update: Column) -> Column:
     return F.coalesce(tags, dates)
 
 
-def latest_responses(records: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+def latest_responses(records: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """(revisit_id, response_id): the latest full response strictly before each revisit of the same URL.
 
     `records` has record_id, key (canonical URL), at (microseconds) and full. Of responses at the same
     time the larger id counts. Revisits without an earlier response, URL or time have no row.
     """
     events = materialise(records.select("record_id", "key", "at", "full").filter("key is not null and at is not null"), "captures")
-    low, high = events.agg(F.min("at"), F.max("at")).first()
-    if low is None:
-        return events.select(F.col("record_id").alias("revisit_id"), F.col("record_id").alias("response_id"))
-    width = (high - low) // buckets + 1
-    events = events.withColumn("bucket", F.floor((F.col("at") - F.lit(low)) / F.lit(width)))
-    point = F.when(F.col("full"), F.struct("at", "record_id"))
-    inside = Window.partitionBy("key", "bucket").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
+    buckets = max(1, -(-events.count() // bucket))
+    times = events.groupBy("key", "at").agg(
+        F.max(F.when(F.col("full"), F.col("record_id"))).alias("response"), F.max(~F.col("full")).alias("visited")
+    )
+    times = times.repartitionByRange(buckets, "key", "at").withColumn("bucket", F.spark_partition_id())
+    times = materialise(times, "capture-times")
+    point = F.when(F.col("response").isNotNull(), F.struct("at", "response"))
+    inside = Window.partitionBy("key", "bucket").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carried = events.groupBy("key", "bucket").agg(F.max(point).alias("top"))
+    carried = times.groupBy("key", "bucket").agg(F.max(point).alias("top"))
     carried = carried.select("key", "bucket", F.max("top").over(before).alias("carried"))
-    own = events.withColumn("own", F.max(point).over(inside)).filter(~F.col("full"))
-    return (
-        own.join(carried, ["key", "bucket"])
-        .select(F.col("record_id").alias("revisit_id"), F.coalesce("own.record_id", "carried.record_id").alias("response_id"))
+    asked = times.withColumn("own", F.max(point).over(inside)).filter("visited")
+    answers = (
+        asked.join(carried, ["key", "bucket"])
+        .select("key", "at", F.coalesce("own.response", "carried.response").alias("response_id"))
         .filter("response_id is not null")
     )
+    visits = events.filter(~F.col("full")).select(F.col("record_id").alias("revisit_id"), "key", "at")
+    return visits.join(answers, ["key", "at"]).select("revisit_id", "response_id")
 
 
-def resolve_revisits(records: DataFrame, carry: tuple[str, ...] = (), buckets: int = BUCKETS) -> DataFrame:
+def resolve_revisits(records: DataFrame, carry: tuple[str, ...] = (), bucket: int = BUCKET) -> DataFrame:
     """One row per revisit: record_id, url_key, state, response_id, headers, and `carry` of the response.
 
     `records`: record_id, record_type (response or revisit), url, captured (timestamp), status, headers
@@ -123,7 +126,7 @@ def resolve_revisits(records: DataFrame, carry: tuple[str, ...] = (), buckets: i
     full = (F.col("record_type") == "response") & (F.col("status") == 200)
     revisit = F.col("record_type") == "revisit"
     events = known.filter(full | revisit).select("record_id", "key", "at", F.coalesce(full, F.lit(False)).alias("full"))
-    found = latest_responses(events, buckets)
+    found = latest_responses(events, bucket)
     visits = known.filter(revisit).select("record_id", "key", F.col("headers").alias("update"))
     stored = known.filter(full).select(F.col("record_id").alias("response_id"), F.col("headers").alias("stored"), *carry)
     answers = found.join(stored, "response_id")  # inner: revisits without a response would all meet as one null key

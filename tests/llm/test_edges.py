@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import random
+from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -349,8 +352,8 @@ def test_revisits(spark):
     ]
     schema = "record_id long, record_type string, url string, captured string, status int, headers map<string,string>, body string"
     table = spark.createDataFrame(rows, schema).withColumns({c: F.lit(0) for c in ("key", "at", "full", "stored", "update", "bucket")})
-    for buckets in (1, 3, 1024):
-        got = {r.record_id: r for r in revisits.resolve_revisits(table, ("body",), buckets).collect()}
+    for bucket in (1, 3, 1024):
+        got = {r.record_id: r for r in revisits.resolve_revisits(table, ("body",), bucket).collect()}
         assert {i: (r.state, r.response_id, r.body) for i, r in got.items()} == {
             3: ("resolved", 1, "s1"), 4: ("missing", None, None), 5: ("missing", None, None), 6: ("missing", None, None),
             7: ("unvalidated", 11, "s11"), 8: ("mismatch", None, None), 12: ("resolved", 11, "s11"),
@@ -359,6 +362,46 @@ def test_revisits(spark):
     assert revisits.resolve_revisits(table.limit(0)).collect() == []
 
 
+def test_crowded_captures_are_split(spark):
+    """One URL has all records but one, which lies decades before: no bucket holds much more than its size."""
+    rows = [(0, "b.com", 0, True)] + [(i, "a.com", 10**15 + i // 2, i % 3 == 0) for i in range(1, 4000)]
+    table = spark.createDataFrame(rows, "record_id long, key string, at long, full boolean")
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    before = set(folder.iterdir())
+    got = dict(revisits.latest_responses(table, 100).collect())
+    want, latest, waiting = {}, None, None
+    for i, _, at, full in rows[1:]:
+        if at != (rows[i - 1][2] if i > 1 else None):
+            latest, waiting = waiting if waiting is not None else latest, None
+        if full:
+            waiting = i
+        elif latest is not None:
+            want[i] = latest
+    assert got == want
+    [times] = [p for p in set(folder.iterdir()) - before if p.name.startswith("capture-times")]
+    sizes = spark.read.parquet(str(times)).groupBy("key", "bucket").count().collect()
+    assert max(r["count"] for r in sizes) < 300
+
+
+def test_rows_that_share_an_id_are_spread(spark):
+    """Pieces without an id and vectors of one id go to many shards."""
+    cut = spark.range(2000).select(
+        F.lit(None).cast("long").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"),
+        (F.col("id") % 60 + 1).alias("length"),
+    )
+    got = packing.pack(cut, context=64, shard=100).collect()
+    shards = Counter(r.sequence_id % 20 for r in got)
+    assert len(got) == 2000 and len(shards) == 20 and max(shards.values()) < 200
+    vectors = spark.range(500).select(
+        F.lit(7).cast("long").alias("vec_id"), F.array(F.cos("id"), F.sin("id")).alias("embedding")
+    )
+    asked = spark.createDataFrame([(50, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    best = neighbours.nearest(vectors, asked, factor=1.0, shard=50).collect()
+    cosines = sorted((math.cos(i) for i in range(500)), reverse=True)[:5]
+    assert [r.vec_id for r in best] == [7] * 5
+    assert [r.score for r in sorted(best, key=lambda r: r.rank)] == pytest.approx(cosines)
+
+
 def test_blocks_hold_every_character():
     texts = [None, "", "a b c " * 50, "x" * 99, "y"]
     got = ["" for _ in texts]
