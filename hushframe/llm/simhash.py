@@ -17,12 +17,13 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hushframe.llm.common import importable
+from hushframe.llm.common import importable, unused
 from hushframe.llm.components import components
 from hushframe.plans.materialise import materialise
 
@@ -241,6 +242,19 @@ def near_links(prints: DataFrame, radius: int = 2, tile: int = TILE) -> DataFram
     return ordered.mapInArrow(_compare(radius), "a long, b long")
 
 
+def _groups(docs: DataFrame, doc_id: str, text: str, size: int, radius: int) -> DataFrame:
+    """id, print, root (a print that names the component, ids or not) and component_id of each row of `docs`."""
+    rows = materialise(fingerprints(docs, doc_id, text, size), "simhash-prints")
+    nodes = materialise(rows.groupBy("print").agg(F.min("id").alias("least")), "simhash-nodes")
+    found = components(near_links(nodes.select("print"), radius))
+    rooted = nodes.join(found, nodes["print"] == found["node"], "left").select(
+        "print", "least", F.coalesce("component", "print").alias("root")
+    )
+    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = rooted.join(smallest, "root").select("print", "root", "component_id")
+    return rows.join(named, "print").select("id", "print", "root", "component_id")
+
+
 def simhash_groups(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 3, radius: int = 2
 ) -> DataFrame:
@@ -251,15 +265,7 @@ def simhash_groups(
     others, so are repeated rows. A null id takes part, but never names a component unless all ids of
     it are null. Other columns are not read.
     """
-    rows = materialise(fingerprints(docs, doc_id, text, size), "simhash-prints")
-    nodes = materialise(rows.groupBy("print").agg(F.min("id").alias("least")), "simhash-nodes")
-    found = components(near_links(nodes.select("print"), radius))
-    rooted = nodes.join(found, nodes["print"] == found["node"], "left").select(
-        "print", "least", F.coalesce("component", "print").alias("root")
-    )
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(smallest, "root").select("print", "component_id")
-    return rows.join(named, "print").select(
+    return _groups(docs, doc_id, text, size, radius).select(
         F.col("id").alias(doc_id), as_hex(F.col("print")).alias("fingerprint"), "component_id"
     )
 
@@ -269,19 +275,37 @@ def drop_near_copies(
 ) -> DataFrame:
     """The rows of `docs` that stay, with all columns: of each component the document with the smallest id.
 
-    Repeated rows of that id are one document: one row of each text stays. A component without any
-    id keeps its first rows by text.
+    Rows are told by their id. Where an id is on several rows, or null, some of which stay, its rows are
+    told by id and fingerprint, and only those in a component that the id names stay. Repeated rows of
+    that id in its component are one document: one row of each text stays. A component without any id
+    keeps one row, the first by text.
     """
-    groups = materialise(simhash_groups(docs, doc_id, text, size, radius), "simhash-groups")
-    same = F.col(doc_id).eqNullSafe(F.col("component_id"))
-    gone = groups.filter(~same).select(F.col(doc_id).alias("gone_id")).distinct()
-    left = docs.join(gone, docs[doc_id].eqNullSafe(gone["gone_id"]), "left_anti")
-    twice = materialise(
-        groups.filter(same).groupBy(F.col(doc_id).alias("twice_id")).count().filter("count > 1").select("twice_id"),
-        "simhash-twice",
+    groups = materialise(_groups(docs, doc_id, text, size, radius), "simhash-groups")
+    same = F.col("id").eqNullSafe(F.col("component_id"))
+    by_id = materialise(
+        groups.groupBy(F.col("id").alias("gone_id"))
+        .agg(F.count_if(same).alias("stay"), F.count_if(~same).alias("go"))
+        .filter("stay = 0 or stay + go > 1"),
+        "simhash-gone",
     )
-    if twice.isEmpty():
+    gone = by_id.filter("stay = 0")
+    both = by_id.filter("stay > 0")
+    left = docs.join(gone, docs[doc_id].eqNullSafe(gone["gone_id"]), "left_anti")
+    if both.isEmpty():
         return left
-    plain = left.join(twice, left[doc_id].eqNullSafe(twice["twice_id"]), "left_anti")
-    again = left.join(twice, left[doc_id].eqNullSafe(twice["twice_id"]), "left_semi")
-    return plain.unionByName(again.dropDuplicates([doc_id, text]))
+    plain = left.join(both, left[doc_id].eqNullSafe(both["gone_id"]), "left_anti")
+    mark, root, rank = (unused(docs, name) for name in ("near_print", "near_root", "near_rank"))
+    kept = groups.filter(same).select(F.col("id").alias("kept_id"), F.col("print").alias("kept_print"), F.col("root").alias(root))
+    kept = kept.distinct()
+
+    @F.pandas_udf("long")
+    def marked(texts: pd.Series) -> pd.Series:
+        return pd.Series([fingerprint(t, size) for t in texts.tolist()], dtype="int64")
+
+    twice = left.join(both, left[doc_id].eqNullSafe(both["gone_id"]), "left_semi")
+    twice = twice.withColumn(mark, marked(F.col(text).cast("string")))
+    on = twice[doc_id].eqNullSafe(kept["kept_id"]) & (twice[mark] == kept["kept_print"])
+    twice = twice.join(kept, on).select(*[twice[c] for c in twice.columns], kept[root])
+    document = Window.partitionBy(doc_id, root, F.when(F.col(doc_id).isNotNull(), F.col(text))).orderBy(text)
+    twice = twice.withColumn(rank, F.row_number().over(document)).filter(F.col(rank) == 1)
+    return plain.unionByName(twice.select(*docs.columns))
