@@ -13,7 +13,7 @@ rows of groups that go on are read and carried further.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hushframe.llm.common import unused
@@ -127,7 +127,8 @@ def drop_exact_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     """The rows of `docs` that stay, with all their columns.
 
     Rows are told by their id. Where an id is both kept and dropped (repeated rows, or a null id), its
-    rows are compared by id and normalised text, of which one row stays.
+    rows are compared by id and normalised text, of which the row with the most code points in the
+    original text stays, then the first by text.
     """
     classes = materialise(exact_classes(docs, doc_id, text), "exact-classes")
     by_id = materialise(
@@ -143,8 +144,10 @@ def drop_exact_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         return left
     plain = left.join(both, left[doc_id].eqNullSafe(both["gone_id"]), "left_anti")
     kept = classes.filter("kept").select(F.col(doc_id).alias("kept_id"), F.col("text_sha256").alias("kept_sha")).distinct()
-    sha = unused(docs, "exact_sha")
+    sha, rank = unused(docs, "exact_sha"), unused(docs, "exact_rank")
     twice = left.join(both, left[doc_id].eqNullSafe(both["gone_id"]), "left_semi")
     twice = twice.withColumn(sha, F.sha2(squeezed(F.col(text)).cast("binary"), 256))
     same = twice[doc_id].eqNullSafe(kept["kept_id"]) & (twice[sha] == kept["kept_sha"])
-    return plain.unionByName(twice.join(kept, same, "left_semi").dropDuplicates([doc_id, sha]).drop(sha))
+    longest = Window.partitionBy(doc_id, sha).orderBy(F.desc(F.char_length(F.coalesce(text, F.lit("")))), text)
+    stays = twice.join(kept, same, "left_semi").withColumn(rank, F.row_number().over(longest)).filter(F.col(rank) == 1)
+    return plain.unionByName(stays.drop(sha, rank))
