@@ -82,6 +82,11 @@ def latest_responses(records: DataFrame, bucket: int = BUCKET) -> DataFrame:
     `records` has record_id, key (canonical URL), at (microseconds) and full. Of responses at the same
     time the larger id counts. Revisits without an earlier response, URL or time have no row.
     """
+    return _answers(records, bucket).select("revisit_id", "response_id")
+
+
+def _answers(records: DataFrame, bucket: int) -> DataFrame:
+    """revisit_id, key and at of each revisit that has a response, and response_id and response_at."""
     events = materialise(records.select("record_id", "key", "at", "full").filter("key is not null and at is not null"), "captures")
     buckets = max(1, -(-events.count() // bucket))
     times = events.groupBy("key", "at").agg(
@@ -97,11 +102,12 @@ def latest_responses(records: DataFrame, bucket: int = BUCKET) -> DataFrame:
     asked = times.withColumn("own", F.max(point).over(inside)).filter("visited")
     answers = (
         asked.join(carried, ["key", "bucket"])
-        .select("key", "at", F.coalesce("own.response", "carried.response").alias("response_id"))
+        .select("key", "at", F.coalesce("own", "carried").alias("top"))
+        .select("key", "at", F.col("top.response").alias("response_id"), F.col("top.at").alias("response_at"))
         .filter("response_id is not null")
     )
     visits = events.filter(~F.col("full")).select(F.col("record_id").alias("revisit_id"), "key", "at")
-    return visits.join(answers, ["key", "at"]).select("revisit_id", "response_id")
+    return visits.join(answers, ["key", "at"])
 
 
 def resolve_revisits(records: DataFrame, carry: tuple[str, ...] = (), bucket: int = BUCKET) -> DataFrame:
@@ -112,25 +118,39 @@ def resolve_revisits(records: DataFrame, carry: tuple[str, ...] = (), bucket: in
     type response stand for nothing. state is resolved, unvalidated (neither side has a validator that
     the other has, too), mismatch or missing (no earlier response, no URL or no time). Headers are merged
     for resolved and unvalidated revisits, and are the revisit's own otherwise; their names are in lower
-    case. Of repeated rows with one record_id one counts; rows without an id or type count nowhere.
+    case. Of rows that are equal in all columns named here one counts; rows that share a record_id only are
+    records each. Of full responses with one id, URL and time the last by headers, then by `carry`, is the
+    one that revisits stand for. Rows without an id or type count nowhere.
     """
+    entries = F.array_sort(F.map_entries(F.coalesce("headers", F.create_map().cast("map<string,string>"))))
     known = records.filter("record_id is not null").select(
         "record_id",
         "record_type",
+        F.col("url").alias("spelt"),
         canonical_url(F.col("url")).alias("key"),
         F.unix_micros(F.col("captured").cast("timestamp")).alias("at"),
         F.col("status").cast("int").alias("status"),
         lower_names(F.col("headers")).alias("headers"),
+        entries.alias("entries"),
         *carry,
-    ).dropDuplicates(["record_id"])
+    )
     full = (F.col("record_type") == "response") & (F.col("status") == 200)
     revisit = F.col("record_type") == "revisit"
     events = known.filter(full | revisit).select("record_id", "key", "at", F.coalesce(full, F.lit(False)).alias("full"))
-    found = latest_responses(events, bucket)
-    visits = known.filter(revisit).select("record_id", "key", F.col("headers").alias("update"))
-    stored = known.filter(full).select(F.col("record_id").alias("response_id"), F.col("headers").alias("stored"), *carry)
-    answers = found.join(stored, "response_id")  # inner: revisits without a response would all meet as one null key
-    joined = visits.join(answers, visits["record_id"] == answers["revisit_id"], "left")
+    found = _answers(events.distinct(), bucket)
+    visits = known.filter(revisit).dropDuplicates(["record_id", "spelt", "at", "status", "entries", *carry])
+    visits = visits.select("record_id", "key", "at", F.col("headers").alias("update"))
+    last = Window.partitionBy("record_id", "key", "at").orderBy(F.desc("lowered"), *map(F.desc, carry))
+    stored = (
+        known.filter(full)
+        .withColumn("lowered", F.array_sort(F.map_entries("headers")))
+        .withColumn("turn", F.row_number().over(last))
+        .filter("turn = 1")
+        .select(F.col("record_id").alias("response_id"), "key", F.col("at").alias("response_at"), F.col("headers").alias("stored"), *carry)
+    )
+    answers = found.join(stored, ["response_id", "key", "response_at"])  # inner: revisits without a response would all meet as one null key
+    answers = answers.select(F.col("revisit_id").alias("record_id"), "key", "at", "response_id", "stored", *carry)
+    joined = visits.join(answers, ["record_id", "key", "at"], "left")
     agree = validators_agree(F.col("stored"), F.col("update"))
     state = (
         F.when(F.col("response_id").isNull(), "missing")
