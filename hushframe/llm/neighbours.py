@@ -59,6 +59,12 @@ def build(vectors: np.ndarray, leaf: int = LEAF) -> Node:
     return grow(np.arange(len(vectors)))
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Each row divided by the power of two just above its largest component, so that no sum of squares
+    overflows or vanishes. The division is exact, so directions and cosines stay what they are."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, keepdims=True))[1])
+
+
 class Search:
     """The best rows of one tree for many queries at once."""
 
@@ -99,9 +105,10 @@ def nearest_in_shard(
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, vector, cosine) of the `count` best of one shard for each query, its own id left out.
 
-    Rows with the same vector are one point of the tree; of their ids the smallest ones that can still
-    be among the best are returned, however many there are.
+    Rows with the same vector, but for a power of two, are one point of the tree; of their ids the
+    smallest ones that can still be among the best are returned, however many there are.
     """
+    vectors, queries = scaled(vectors), scaled(queries)
     points, which = np.unique(vectors, axis=0, return_inverse=True)
     which = which.ravel()
     order = np.lexsort((vector_ids, which))
@@ -145,12 +152,12 @@ def nearest(
     Vectors that are null, zero, empty or hold a null or non-finite component, and rows with a null id,
     take no part, neither do vectors of another length than the query's. Equal scores are ordered by
     vec_id. A query's own id is no answer to it. Repeated candidate rows are answers each; repeated
-    queries (by id) are answered once. Fewer candidates: fewer rows.
+    queries (by id) are answered once, with the smallest of their vectors, compared element by element.
+    Fewer candidates: fewer rows.
     """
     importable(vectors.sparkSession)
 
     def usable(rows: DataFrame) -> DataFrame:
-        # Scaled by its largest component, so that no square of a component overflows or vanishes.
         cleaned = rows.select(
             F.col(vec_id).cast("long").alias("id"), F.transform(embedding, lambda x: x.cast("double")).alias("v")
         ).filter("id is not null and size(v) > 0")
@@ -158,7 +165,8 @@ def nearest(
         return cleaned.filter(F.coalesce(finite, F.lit(False))).filter(F.exists("v", lambda x: x != 0)).withColumn("size", F.size("v"))
 
     held = materialise(usable(vectors), "vectors")
-    asked = materialise(usable(queries).dropDuplicates(["id"]), "vector-queries")
+    first = usable(queries).groupBy("id").agg(F.min("v").alias("v"))
+    asked = materialise(first.withColumn("size", F.size("v")), "vector-queries")
     shards = max(1, -(-held.count() // shard))
     blocks = max(1, -(-asked.count() // block))
 
