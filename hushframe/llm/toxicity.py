@@ -23,8 +23,6 @@ from hushframe.plans.materialise import materialise
 
 #: Labelled documents that are read to learn from, at most.
 SAMPLE = 20000
-#: Insults that are learned, at most, strongest first.
-LEXICON = 4096
 #: Toxic documents a learned word must be in, and how strongly (a log ratio) it must speak for them.
 LEAST_DOCS, LEAST_WEIGHT = 3, 2.0
 THRESHOLD = 0.3
@@ -153,8 +151,9 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
 
     Held-out rows, rows without label and documents without a label row teach nothing; of several
     labels of a document the largest counts. Copies of a text count once, so that a group of copies
-    can't make its words look common. The lexicon's words and two sums per word reach the driver,
-    and three numbers per document of the sample.
+    can't make its words look common. Targets, threats, negations and words of saying keep their class,
+    whatever labels say. The lexicon's words with a weight each reach the driver, and three numbers per
+    document of the sample.
     """
     spark = docs.sparkSession
     importable(spark)
@@ -175,8 +174,9 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
             (F.col("n") - F.col("bad") + 0.5) / (sizes[False] + 1.0)
         )
         strong = counts.filter(F.col("bad") >= LEAST_DOCS).withColumn("weight", weight).filter(F.col("weight") >= LEAST_WEIGHT)
-        for r in strong.orderBy(F.desc("weight"), "word").limit(LEXICON).collect():
-            grammar.words[r["word"]] = (T.INSULT, r["weight"])
+        for r in strong.select("word", "weight").collect():
+            if grammar.words.get(r["word"], (T.INSULT,))[0] == T.INSULT:
+                grammar.words[r["word"]] = (T.INSULT, r["weight"])
 
     found = second.select("id", "label", _features(second, grammar).alias("f")).select("id", "label", "f.*").toPandas()
     found = found.sort_values("id")  # sums in the same order on every run
