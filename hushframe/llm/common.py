@@ -5,13 +5,15 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 import hushframe
 
 #: How finely a share of all rows can be told by hash.
 PARTS = 1 << 30
+#: Texts of one id that a sample of labelled rows holds, at most.
+TEXTS = 256
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -51,10 +53,12 @@ def dealt_evenly(parts: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> DataFrame:
-    """id, text and label (0 or 1) of about `bound` training rows, `bound` labels at most.
+    """id, text, mark (the text's hash) and label (0 or 1) of at most `bound` training rows.
 
-    Of several labels of a document the largest counts; rows without label are left out. The
-    sample is broadcast: the limit is the proof of its size, so no text is shuffled to find it.
+    Of several labels of a document the largest counts; rows without label are left out. Repeated rows
+    are one. Of an id with several texts at most `TEXTS` count, by hash, and the second text of an id
+    only where there is room after the first ones of all. The sample is broadcast: the limits are the
+    proof of its size, so only texts of the sample are shuffled.
     """
     known = (
         labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -66,7 +70,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int)
         known = known.filter(share_of(F.col("id"), 1.1 * bound / total))
     known = known.orderBy(F.xxhash64("id"), "id").limit(bound)
     texts = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.join(F.broadcast(known), "id")
+    texts = texts.withColumn("mark", F.xxhash64("text"))
+    marks = texts.join(F.broadcast(known), "id").select("id", "mark", "label").distinct()
+    turn = F.row_number().over(Window.partitionBy("id").orderBy("mark"))
+    ranked = marks.withColumn("turn", turn).filter(F.col("turn") <= TEXTS)
+    chosen = ranked.orderBy("turn", F.xxhash64("id"), "id").limit(bound).drop("turn")
+    found = texts.join(F.broadcast(chosen), ["id", "mark"]).select("id", "text", "mark", "label")
+    return found.dropDuplicates(["id", "mark"])
 
 
 def blocks(texts: list[str | None], limit: int = 1 << 18) -> Iterator[tuple[list[int], list[str]]]:
