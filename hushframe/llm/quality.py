@@ -18,11 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushframe.llm.common import blocks, importable, labelled_sample
+from hushframe.plans.materialise import materialise
 
 #: Words of a passage.
 PASSAGE = 48
-#: Labelled documents that are read to learn from, at most, and passages of each, evenly spread.
-SAMPLE, BAG = 6000, 24
+#: Labelled documents that are read to learn from, at most, and passages of all of them together.
+SAMPLE, PASSAGES = 6000, 1 << 18
+#: Passages, about, whose gradient is computed at once.
+CHUNK = 1 << 14
 HIDDEN, ATTENTION = 16, 8
 THRESHOLD = 0.7
 
@@ -134,6 +137,31 @@ class QualityModel:
         return _sigmoid(pooled / weight[:, None] @ self.weights["c"] + self.weights["b"])
 
 
+def _slope(
+    w: dict[str, np.ndarray], x: np.ndarray, first: np.ndarray, bag: np.ndarray, y: np.ndarray, total: int
+) -> dict[str, np.ndarray]:
+    """What some whole bags add to the gradient of the mean log loss of `total` bags."""
+    h = np.tanh(x @ w["W"] + w["w"])
+    t, s = np.tanh(h @ w["V"]), _sigmoid(h @ w["U"])
+    logit = (t * s) @ w["a"]
+    share = np.exp(logit - np.maximum.reduceat(logit, first)[bag])
+    share /= np.add.reduceat(share, first)[bag]
+    z = np.add.reduceat(share[:, None] * h, first)
+    error = (_sigmoid(z @ w["c"] + w["b"]) - y) / total
+    dz = (error[:, None] * w["c"])[bag]
+    dh = share[:, None] * dz
+    dot = (h * dz).sum(axis=1)
+    dlogit = share * (dot - np.add.reduceat(share * dot, first)[bag])
+    dgate = dlogit[:, None] * w["a"]
+    dt, ds = dgate * s * (1 - t * t), dgate * t * s * (1 - s)
+    dh += dt @ w["V"].T + ds @ w["U"].T
+    du = dh * (1 - h * h)
+    return {
+        "W": x.T @ du, "w": du.sum(axis=0), "V": h.T @ dt, "U": h.T @ ds,
+        "a": dlogit @ (t * s), "c": z.T @ error, "b": error.sum(),
+    }
+
+
 def fit(
     features: np.ndarray, sizes: np.ndarray, y: np.ndarray, steps: int = 300, rate: float = 0.02, seed: int = 7
 ) -> QualityModel:
@@ -152,30 +180,19 @@ def fit(
     if not 0 < y.sum() < len(y):
         w["c"] = np.zeros(HIDDEN)
         return model
-    x = (features - mean) / deviation
-    first = np.cumsum(sizes) - sizes
-    bag = np.repeat(np.arange(len(sizes)), sizes)
+    chunk = (np.cumsum(sizes) - 1) // CHUNK  # whole bags
+    starts = np.flatnonzero(np.diff(chunk, prepend=-1))
+    edges = np.r_[0, np.cumsum(sizes)]
+    parts = []
+    for low, high in zip(starts, np.r_[starts[1:], len(sizes)]):
+        x = (features[edges[low] : edges[high]] - mean) / deviation
+        parts.append((x, edges[low:high] - edges[low], np.repeat(np.arange(high - low), sizes[low:high]), y[low:high]))
     moment = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in w.items()}
     for step in range(1, steps + 1):
-        h = np.tanh(x @ w["W"] + w["w"])
-        t, s = np.tanh(h @ w["V"]), _sigmoid(h @ w["U"])
-        logit = (t * s) @ w["a"]
-        share = np.exp(logit - np.maximum.reduceat(logit, first)[bag])
-        share /= np.add.reduceat(share, first)[bag]
-        z = np.add.reduceat(share[:, None] * h, first)
-        error = (_sigmoid(z @ w["c"] + w["b"]) - y) / len(y)
-        dz = (error[:, None] * w["c"])[bag]
-        dh = share[:, None] * dz
-        dot = (h * dz).sum(axis=1)
-        dlogit = share * (dot - np.add.reduceat(share * dot, first)[bag])
-        dgate = dlogit[:, None] * w["a"]
-        dt, ds = dgate * s * (1 - t * t), dgate * t * s * (1 - s)
-        dh += dt @ w["V"].T + ds @ w["U"].T
-        du = dh * (1 - h * h)
-        slope = {
-            "W": x.T @ du, "w": du.sum(axis=0), "V": h.T @ dt, "U": h.T @ ds,
-            "a": dlogit @ (t * s), "c": z.T @ error, "b": error.sum(),
-        }
+        slope = {k: np.zeros_like(v) for k, v in w.items()}
+        for part in parts:
+            for k, g in _slope(w, *part, len(y)).items():
+                slope[k] = slope[k] + g
         for k in w:
             g = slope[k] + 1e-4 * w[k] * (k not in "wb")
             moment[k][0] = 0.9 * moment[k][0] + 0.1 * g
@@ -184,12 +201,13 @@ def fit(
     return model
 
 
-def learn_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bag: int = BAG) -> QualityModel:
-    """Fit on a bounded sample of labelled documents, of each at most `bag` passages, evenly spread.
+def learn_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, limit: int = PASSAGES) -> QualityModel:
+    """Fit on all passages of a bounded sample of labelled documents.
 
-    Held-out rows and rows without label teach nothing; of several labels the largest counts. Without
-    labels of both kinds every document scores the share of ones, or one half. Scoring reads all
-    passages of all documents.
+    Whole documents leave the sample, by the hash of their text, until it has at most `limit` passages;
+    one stays in any case. Held-out rows and rows without label teach nothing; of several labels the
+    largest counts. Without labels of both kinds every document scores the share of ones, or one half.
+    Scoring reads all passages of all documents.
     """
     importable(docs.sparkSession)
     known = labelled_sample(docs, labels, "quality", sample)
@@ -197,20 +215,29 @@ def learn_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bag:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                found = [f for _, f in passages([batch.column(1)[row].as_py()])]
+                found = [f for _, f in passages([batch.column(3)[row].as_py()])]
                 features = np.concatenate(found) if found else np.zeros((1, WIDTH))
-                at = np.unique(np.linspace(0, len(features) - 1, min(bag, len(features))).astype(int))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(row, 1), batch.column(2).slice(row, 1),
-                     pa.array([features[at].ravel().tolist()], pa.list_(pa.float64()))], ["id", "label", "features"],
+                    [*(batch.column(i).slice(row, 1) for i in range(3)), pa.array([len(features)], pa.int64()),
+                     pa.array([features.astype("<f8").tobytes()], pa.binary())],
+                    ["id", "mark", "label", "size", "features"],
                 )
 
     kind = known.schema["id"].dataType.simpleString()
-    rows = known.select("id", "text", "label").mapInArrow(run, f"id {kind}, label double, features array<double>").toPandas()
-    rows = rows.sort_values("id")  # sums in the same order on every run
-    sizes = np.array([len(f) // WIDTH for f in rows["features"]], np.int64)
-    features = np.concatenate([np.zeros(0), *rows["features"]]).reshape(-1, WIDTH)
-    return fit(features, sizes, (rows["label"].to_numpy(float) > 0).astype(float))
+    rows = materialise(
+        known.select("id", "mark", "label", "text").mapInArrow(
+            run, f"id {kind}, mark long, label double, size long, features binary"
+        ),
+        "quality-passages",
+    )
+    sizes = rows.select("mark", "id", "size").toPandas().sort_values(["mark", "id"])
+    fits = int((sizes["size"].cumsum() <= limit).sum())
+    if fits < len(sizes):
+        mark, own = (sizes[c].tolist()[max(fits, 1) - 1] for c in ("mark", "id"))
+        rows = rows.filter((F.col("mark") < mark) | (F.col("mark") == mark) & (F.col("id") <= own))
+    rows = rows.toPandas().sort_values(["id", "mark"])  # sums in the same order on every run
+    features = np.frombuffer(b"".join(rows["features"]), "<f8").reshape(-1, WIDTH)
+    return fit(features, rows["size"].to_numpy(np.int64), (rows["label"].to_numpy(float) > 0).astype(float))
 
 
 def quality_of(docs: DataFrame, model: QualityModel, text: str = "text") -> Column:
