@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushframe.llm import exact, language, lengths, neighbours, packing, pieces, quality, revisits, simhash, toxicity
+from hushframe.llm import (
+    exact, hosts, language, lengths, neighbours, packing, periods, pieces, quality, revisits, simhash, toxicity, turns,
+)
 from hushframe.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +112,55 @@ def op9_revisit_resolution(spark: SparkSession, folder: str) -> DataFrame:
 @register()
 def op10_simhash_bitsliced(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, folder, "documents"))
+
+
+@register(r"""
+with d as (
+    select doc_id, source, row_number() over () as r, coalesce(text, '') as body from documents),
+w as (
+    select *, list_filter(string_split_regex(body, '[ \t\n\x0b\f\r]+'), lambda x: x <> '') as words,
+           list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '[^ \t\n\x0b\f\r]')) as lines
+    from d),
+i as (select r, words, unnest(range(1, len(words) - 1)) as pos from w),
+g as (select r, pos, count(*) over (partition by r, words[pos], words[pos + 1], words[pos + 2]) as n from i),
+c as (select r, count(distinct p) as n_repeat_words from (select r, unnest([pos, pos + 1, pos + 2]) as p from g where n > 1) group by r),
+m as (
+    select doc_id, source, len(words) as n_words, length(regexp_replace(body, '[ \t\n\x0b\f\r]', '', 'g')) as word_chars,
+           length(body) - length(regexp_replace(body, '[#*$%&|<>]', '', 'g')) as n_symbols, len(lines) as n_lines,
+           len(lines) - len(list_distinct(lines)) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words
+    from w left join c using (r)),
+rules as (
+    select *, unnest([1, 2, 3, 4, 5]) as rule,
+           unnest([n_words < 50, 100 * n_repeat_words > 50 * n_words, 10 * n_symbols > n_words, 100 * n_dup_lines > 30 * n_lines,
+                   word_chars < 3 * n_words or word_chars > 12 * n_words]) as broken
+    from m where source is not null),
+h as (select source, rule, count(*)::double as n, count(*) filter (broken)::double as f from rules group by all),
+t as (
+    select rule, count(*) - 1 as k, sum(n) as n, sum(n * n) as squares, sum(f) / sum(n) as m, sum(f * f / n) - sum(f) * sum(f) / sum(n) as spread
+    from h group by rule),
+p as (
+    select rule, m, case when m > 0 and m < 1 and n - squares / n - k > 0
+           then (greatest(spread, 0) / (m * (1 - m)) - k) / (n - squares / n - k) else 0 end as rho from t),
+v as (
+    select source, bool_or(case when rho <= 0 then m else (f + m * greatest(1 / rho - 1, 0)) / (n + greatest(1 / rho - 1, 0)) end > 0.5) as failed
+    from h join p using (rule) group by source)
+select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols,
+       n_dup_lines::bigint as n_dup_lines, n_repeat_words::bigint as n_repeat_words,
+       n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+       not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and not coalesce(failed, false) as kept
+from m left join v using (source)
+""")
+def op11_host_rules(spark: SparkSession, folder: str) -> DataFrame:
+    judged = hosts.judge_documents(table(spark, folder, "documents"))
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return judged.select("doc_id", *counts, "base_failed", "kept")
+
+
+@register()
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return turns.repair_turns(turns.damage_turns(table(spark, folder, "conversations")))
+
+
+@register()
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periods.periodic_runs(table(spark, folder, "documents"), damage=True).drop("collapsed")
