@@ -8,7 +8,7 @@ Both touch one row per released key, never the private rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -42,30 +42,30 @@ def gaussian(u1: Column, u2: Column, sigma_sq: Column) -> Column:
     return F.sqrt(sigma_sq) * radius * F.cos(F.lit(2.0 * math.pi) * u2)
 
 
-def discrete_gaussian(u: Column, sigma_sq: Column) -> Column:
-    """Integer noise with P(k) proportional to exp(-k^2 / (2 sigma_sq)), by inverse CDF.
+#: Tries of a rejection sampler. Each succeeds with a probability of 0.4 at least.
+TRIES = 256
 
-    The support is cut at ten standard deviations, far below the resolution of ``u``. Meant for
-    the seeded mode: the work per released row grows with sigma.
-    """
-    reach = F.ceil(F.lit(10.0) * F.sqrt(sigma_sq)).cast("int")
-    support = F.sequence(-reach, reach)
 
-    def weight(k: Column) -> Column:
-        return F.exp(-(k.cast("double") * k) / (F.lit(2.0) * sigma_sq))
+def discrete_gaussian(u: Callable[[Column], Column], sigma_sq: Column) -> Column:
+    """Integer noise with P(k) proportional to exp(-k^2 / (2 sigma_sq)), by rejection from geometric noise.
 
-    mass = F.aggregate(support, F.lit(0.0), lambda acc, k: acc + weight(k))
-    start = F.struct(F.lit(0.0).alias("cum"), F.lit(0).alias("below"))
+    ``u`` gives the uniform of a stream number; try ``a`` takes the streams 3a + 1 to 3a + 3. Two tries do on
+    average, for any sigma, and tries after the first success are not evaluated. A row all of whose
+    tries fail, for which the probability is below 1e-50, raises.
+    """
+    width = F.floor(F.sqrt(sigma_sq)).cast("double") + F.lit(1.0)
 
-    def step(acc: Column, k: Column) -> Column:
-        cum = acc["cum"] + weight(k)
-        return F.struct(
-            cum.alias("cum"),
-            (acc["below"] + F.when(cum < u * mass, 1).otherwise(0)).alias("below"),
-        )
+    def attempt(a: Column) -> Column:
+        stream = a * F.lit(3)
+        k = two_sided_geometric(u(stream + F.lit(1)), u(stream + F.lit(2)), width)
+        gap = F.abs(k).cast("double") - sigma_sq / width
+        return F.when(u(stream + F.lit(3)) < F.exp(-(gap * gap) / (F.lit(2.0) * sigma_sq)), k)
 
-    below = F.aggregate(support, start, step)["below"]
-    return (below - reach).cast("bigint")
+    tries = F.sequence(F.lit(0), F.lit(TRIES - 1))
+    found = F.aggregate(
+        tries, F.lit(None).cast("bigint"), lambda acc, a: F.when(acc.isNotNull(), acc).otherwise(attempt(a))
+    )
+    return F.coalesce(found, F.raise_error(F.lit("every try of a sampler failed")).cast("bigint"))
 
 
 @dataclass(frozen=True)
@@ -122,7 +122,7 @@ class SeededNoise:
 
     def noise(self, mechanism: str, label: str, scale: Column, keys: Sequence[str | Column]) -> Column:
         """The noise alone, as a Column."""
-        def u(stream: int) -> Column:
+        def u(stream: int | Column) -> Column:
             return self.uniform(label, keys, stream)
 
         if mechanism == "laplace":
@@ -131,13 +131,16 @@ class SeededNoise:
             return two_sided_geometric(u(1), u(2), scale)
         if mechanism == "gaussian":
             return gaussian(u(1), u(2), scale)
-        return discrete_gaussian(u(1), scale)
-
+        return discrete_gaussian(u, scale)
 
-    def uniform(self, label: str, keys: Sequence[str | Column], stream: int = 1) -> Column:
+    def uniform(self, label: str, keys: Sequence[str | Column], stream: int | Column = 1) -> Column:
         parts = (F.lit(label), F.lit(stream), *keys)
         return uniform(self.unsafe_seed, *parts, algorithm=self.algorithm)
 
+    def coin(self, label: str, keys: Sequence[str | Column], chance: Column) -> Column:
+        """True with the given probability."""
+        return self.uniform(label, keys) < chance
+
     def settle(self, df: DataFrame) -> DataFrame:
         """Nothing to do: the same key gives the same noise in every action."""
         return df
@@ -159,14 +162,13 @@ class SecureNoise:
         schema = T.StructType([
             T.StructField(f.name, types.get(f.name, f.dataType), True) for f in df.schema.fields
         ])
-        names, noisy_value = df.columns, secure.noisy_value
+        names, noisy_values = df.columns, secure.noisy_values
         plan = [(d.column, d.mechanism, d.grid) for d in draws]
 
         def draw_rows(batches):
             for batch in batches:
                 for column, mechanism, grid in plan:
-                    pairs = zip(batch[column], batch[f"_scale_{column}"])
-                    batch[column] = [noisy_value(mechanism, v, s, grid) for v, s in pairs]
+                    batch[column] = noisy_values(mechanism, batch[column], batch[f"_scale_{column}"], grid)
                 yield batch[names]
 
         drawn = scaled.mapInPandas(draw_rows, schema)
@@ -175,6 +177,9 @@ class SecureNoise:
     def uniform(self, label: str, keys: Sequence[str | Column], stream: int = 1) -> Column:
         return secure.os_uniform(F.concat_ws("|", *keys))
 
+    def coin(self, label: str, keys: Sequence[str | Column], chance: Column) -> Column:
+        return secure.os_coin(chance)
+
     def settle(self, df: DataFrame) -> DataFrame:
         """The written copy of a table that draws noise in its plan."""
         return materialise(df)

@@ -1,8 +1,9 @@
 """Privacy accounting over a table of spends.
 
 A spend is a row (session, partition, query, mechanism, epsilon, delta, rho, ts). Everything is grouped
-by session, so an audit of many sessions is one aggregation. Losses are added as decimals: whether a
-limit is exceeded must not depend on the order in which tasks finish.
+by session, so an audit of many sessions is one aggregation. Losses are added as decimals, each rounded up to the
+twelfth place and limits down: whether a limit is exceeded must not depend on the order in which tasks finish, and many
+small spends must not vanish.
 
 An audit is in one measure. In ``epsilon`` every spend needs an epsilon, and deltas are added beside; in
 ``zcdp`` a spend counts its rho, or half the square of its epsilon if it has no delta. A spend that the measure
@@ -12,6 +13,7 @@ cannot express is refused, never left out: convert the ledger first (``convert_s
 from __future__ import annotations
 
 import math
+from decimal import ROUND_FLOOR, Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,9 +29,17 @@ SPENDS = (
 MEASURES = ("epsilon", "zcdp")
 
 
-def _units(c: Column | str | float) -> Column:
+#: The last place of a loss.
+PLACE = Decimal("0.000000000001")
+
+
+def _units(c: str) -> Column:
     """A loss with twelve decimals, whose sums are exact."""
-    return _units_of(F.col(c) if isinstance(c, str) else F.lit(c))
+    return _units_of(F.col(c))
+
+
+def _limit(limit: float) -> Column:
+    return F.lit(Decimal(repr(float(limit))).quantize(PLACE, ROUND_FLOOR)).cast("decimal(28,12)")
 
 
 def _amount(units: Column) -> Column:
@@ -55,7 +65,7 @@ def loss(measure: str) -> Column:
 
 
 def _beyond(spent: Column, limit: float) -> Column:
-    return F.lit(False) if math.isinf(limit) else spent > _units(float(limit))
+    return F.lit(False) if math.isinf(limit) else spent > _limit(limit)
 
 
 def totals(spends: DataFrame, limit: float, measure: str = "epsilon") -> DataFrame:
@@ -65,7 +75,7 @@ def totals(spends: DataFrame, limit: float, measure: str = "epsilon") -> DataFra
     spends is part of the total rho.
     """
     spent = F.sum(_units_of(loss(measure)))
-    left = F.lit(math.inf) if math.isinf(limit) else _amount(_units(float(limit)) - spent)
+    left = F.lit(math.inf) if math.isinf(limit) else _amount(_limit(limit) - spent)
     rho = spent if measure == "zcdp" else F.coalesce(F.sum(_units("rho")), F.lit(0))
     epsilon = spent if measure == "epsilon" else F.coalesce(F.sum(_units("epsilon")), F.lit(0))
     return spends.groupBy("session").agg(
@@ -79,7 +89,11 @@ def totals(spends: DataFrame, limit: float, measure: str = "epsilon") -> DataFra
 
 
 def _units_of(value: Column) -> Column:
-    return value.cast("double").cast("decimal(28,12)")
+    """The least decimal with twelve places that is no smaller than the double."""
+    value = value.cast("double")
+    near = value.cast("decimal(28,12)")
+    short = near.cast("double") < value
+    return F.when(short, (near + F.lit(PLACE)).cast("decimal(28,12)")).otherwise(near)
 
 
 def first_overrun(spends: DataFrame, limit: float, measure: str = "epsilon") -> DataFrame:

@@ -18,6 +18,7 @@ from hushframe.operators.bounding import ROW, PrivacyUnit, bound_partitions
 from hushframe.operators.keysets import join_public, public_multiplicity
 from hushframe.operators.vectors import dp_vector_sum
 from hushframe.plans.adaptive import two_phase_count
+from hushframe.plans.charges import Charges
 from hushframe.plans.ledger import SPENDS, split_total
 from hushframe.plans.materialise import noting_intermediates, remove
 
@@ -47,21 +48,41 @@ SIZED = {
 MEASURES = ("pure", "zcdp", "approx")
 
 
+#: Functions that come from outside Spark could carry something from row to row.
+FOREIGN = ("PythonUDF", "PythonUDAF", "PythonUDTF", "ScalaUDF", "ScalaAggregator", "HiveSimpleUDF", "HiveGenericUDF")
+
+
 def _per_row(before: DataFrame, after: DataFrame) -> DataFrame:
     """``after`` if it only filters rows of ``before`` and computes columns from one row each.
 
     Whatever else a step's expressions need, windows, aggregates, generators or subqueries, shows up in the
-    analysed plan as another operator.
+    analysed plan as another operator. An expression whose value depends on chance, on the row's place or on its
+    file is not deterministic to Spark: with it one row more could change what becomes of all others.
     """
     base, node = before._jdf.queryExecution().analyzed(), after._jdf.queryExecution().analyzed()
     while not node.equals(base):
         kind = node.getClass().getSimpleName()
         if kind not in ("Project", "Filter") or not node.subqueries().isEmpty():
             raise UnsafeStep(f"a step may only look at one row at a time, not run {kind} or a subquery")
+        expressions = node.expressions()
+        for i in range(expressions.size()):
+            _refuse_unstable(expressions.apply(i))
         node = node.child()
     return after
 
 
+def _refuse_unstable(expression) -> None:
+    if not expression.deterministic():
+        raise UnsafeStep(f"a step may not depend on chance or on where a row lies: {expression.sql()}")
+    waiting = [expression]
+    while waiting:
+        one = waiting.pop()
+        if one.getClass().getSimpleName() in FOREIGN:
+            raise UnsafeStep(f"a step may only use functions of Spark, not {one.toString()}")
+        children = one.children()
+        waiting.extend(children.apply(i) for i in range(children.size()))
+
+
 @dataclass(frozen=True)
 class Query:
     """A private query on a named view: row steps, then one statistic.
@@ -88,7 +109,7 @@ class Query:
         return self._then(lambda df, hidden: _per_row(df, df.filter(predicate)))
 
     def select(self, *columns: str) -> Query:
-        return self._then(lambda df, hidden: df.select(*columns, *hidden))
+        return self._then(lambda df, hidden: _per_row(df, df.select(*columns, *hidden)))
 
     def rename(self, names: Mapping[str, str]) -> Query:
         return self._then(lambda df, hidden: df.withColumnsRenamed(dict(names)))
@@ -229,9 +250,11 @@ class PrivacySession:
     many small epsilons compose to less than their sum. The amounts of such queries must not depend on answers.
 
     A query that does not fit raises before Spark is asked for anything. The spend is recorded before the job
-    runs, so that a failed job is not free. With ``ledger_path`` it is also appended to a table there, and a
-    session of the same name that starts later begins with what has been spent. Only one session of a name may be
-    open at a time.
+    runs, so that a failed job is not free. With ``ledger_path`` it is also written to a table there, and a
+    session of the same name begins with what has been spent. Several sessions of a name may be open at a time, in one
+    program or in many: each charge is a file with a number that only one of them can get, and who does not get it
+    reads what the others have spent and checks its own query against what is left. With ``resume=False`` the spends
+    of other sessions of the name do not count.
 
     ``close`` removes the intermediate tables of a session, which hold exact private sums. Secure answers are
     tables of their own and stay; seeded answers are lazy and must have been read before.
@@ -275,6 +298,8 @@ class PrivacySession:
         self._amounts: list[float] = []
         self._deltas: list[float] = []
         self._intermediate: list[str] = []
+        self._resume = resume
+        self._charges = Charges(spark, ledger_path, name) if ledger_path else None
         if ledger_path and resume:
             self._read_back()
 
@@ -283,18 +308,34 @@ class PrivacySession:
         try:
             ledger = self.spark.read.schema(SPENDS).parquet(self.ledger_path)
         except AnalysisException as absent:
-            if absent.getCondition() != "PATH_NOT_FOUND":
+            if absent.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 raise
             return
-        for row in ledger.filter(F.col("session") == self.name).orderBy("ts", "query").collect():
-            delta, amount = row["delta"] or 0.0, row["epsilon"]
-            if self.measure == "zcdp":
-                amount = row["rho"] if row["rho"] is not None else None if amount is None else amount * amount / 2.0
-            if amount is None or (delta and self.measure != "approx"):
-                raise ValueError(f"the ledger has a spend of {self.name} that a {self.measure} session cannot count: {row}")
-            self._spends.append(tuple(row))
-            self._amounts.append(amount)
-            self._deltas.append(delta)
+        own = ledger.filter(F.col("session") == self.name).select("*", F.col("_metadata.file_name").alias("file"))
+        for *row, file in own.orderBy("ts", "query").collect():
+            self._count(tuple(row))
+            number = self._charges.number_of(file)
+            if number is not None:
+                self._charges.next = max(self._charges.next, number + 1)
+
+    def _count(self, row: tuple) -> None:
+        """Add a spend of the ledger to what is spent."""
+        epsilon, delta, rho = row[4], row[5] or 0.0, row[6]
+        amount = epsilon
+        if self.measure == "zcdp":
+            amount = rho if rho is not None else None if epsilon is None else epsilon * epsilon / 2.0
+        if amount is None or (delta and self.measure != "approx"):
+            raise ValueError(f"the ledger has a spend of {self.name} that a {self.measure} session cannot count: {row}")
+        self._spends.append(row)
+        self._amounts.append(amount)
+        self._deltas.append(delta)
+
+    def refresh(self) -> None:
+        """Count what other sessions of this name have spent since it was last looked at."""
+        while self._charges is not None and (rows := self._charges.read_next()) is not None:
+            if self._resume:
+                for row in rows:
+                    self._count(row)
 
     def _marked(self, df: DataFrame) -> DataFrame:
         """The view with its hidden columns; a derived view has them already."""
@@ -358,24 +399,33 @@ class PrivacySession:
         if self._total_delta([*self._deltas, *deltas]) > self.delta * (1 + 1e-9):
             raise BudgetExceeded(f"{what} needs a delta of {math.fsum(deltas)}, but only {self.remaining_delta} is left")
 
-    def _charge(
-        self, amount: float, query: str, mechanism: str, partition: str = "all", delta: float = 0.0
-    ) -> None:
-        self._require([amount], [delta], query)
+    def _charge(self, spends: Sequence[tuple[float, str, str, str, float]]) -> None:
+        """Pay for several queries at once: (amount, query, mechanism, partition, delta) of each, all or none."""
         now = datetime.now(timezone.utc)
-        epsilon, rho = (None, float(amount)) if self.measure == "zcdp" else (float(amount), None)
-        row = (self.name, partition, query, mechanism, epsilon, float(delta), rho, now)
-        self._spends.append(row)
-        self._amounts.append(float(amount))
-        self._deltas.append(float(delta))
-        if self.ledger_path:
-            one = self.spark.createDataFrame([row], SPENDS)
-            one.coalesce(1).write.mode("append").parquet(self.ledger_path)
+        rows = []
+        for amount, query, mechanism, partition, delta in spends:
+            epsilon, rho = (None, float(amount)) if self.measure == "zcdp" else (float(amount), None)
+            rows.append((self.name, partition, query, mechanism, epsilon, float(delta), rho, now))
+        amounts, deltas = [float(s[0]) for s in spends], [float(s[4]) for s in spends]
+        while True:
+            self._require(amounts, deltas, ", ".join(s[1] for s in spends))
+            if self._charges is None or self._charges.write(rows):
+                break
+            self.refresh()
+        self._spends += rows
+        self._amounts += amounts
+        self._deltas += deltas
 
     def _check(self, name: str, query: Query) -> None:
         """Refuse what could not be answered, before it is paid for."""
         if query.metric is None:
             raise ValueError(f"query {name} has no statistic")
+        for option in ("value", "what", "c"):
+            if not isinstance(query.options.get(option, ""), str | None):
+                raise UnsafeStep(f"query {name} must name a column, and compute it in a step")
+        for axis in (*query.options.get("axes", ()), *filter(None, [query.options.get("axis")])):
+            if not isinstance(axis.column, str):
+                raise UnsafeStep(f"query {name} must name the columns of its axes, and compute them in a step")
         if query.view not in self._views:
             raise ValueError(f"there is no view {query.view}")
         if query.delta and self.measure != "approx":
@@ -418,9 +468,7 @@ class PrivacySession:
         for name, query in queries.items():
             self._check(name, query)
         shares = split_total(budget, {name: (weights or {}).get(name, 1.0) for name in queries})
-        self._require(list(shares.values()), [q.delta for q in queries.values()], ", ".join(queries))
-        for name, query in queries.items():
-            self._charge(shares[name], f"{query.metric}({query.view})", query.metric, delta=query.delta)
+        self._charge([(shares[name], f"{q.metric}({q.view})", q.metric, "all", q.delta) for name, q in queries.items()])
         with noting_intermediates(self._intermediate):
             return {name: self._run(query, shares[name]) for name, query in queries.items()}
 
@@ -496,7 +544,7 @@ class PrivacySession:
             df = bound_partitions(df.filter(df[attribute].isin(list(splits.values()))), unit, [attribute])
         if delta and self.measure != "approx":
             raise ValueError(f"a {self.measure} session has no delta")
-        self._charge(budget * factor, f"partition({view})", "parallel", attribute, delta * factor)
+        self._charge([(budget * factor, f"partition({view})", "parallel", attribute, delta * factor)])
         children = {}
         for name, value in splits.items():
             part = df.filter(F.col(attribute) == F.lit(value))

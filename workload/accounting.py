@@ -127,8 +127,11 @@ def without_delta(spark, folder):
     return spends(spark, folder).withColumn("delta", F.lit(0.0))
 
 
-# Rho of each spend: its own, or half the square of its epsilon.
-RHO = "coalesce(rho, epsilon * epsilon / 2)::decimal(28, 12)"
+# Rho of each spend: its own, or half the square of its epsilon, rounded up to twelve decimals.
+_RHO = "coalesce(rho, epsilon * epsilon / 2)"
+RHO = (
+    f"({_RHO}::decimal(28, 12) + case when {_RHO}::decimal(28, 12)::double < {_RHO} then 0.000000000001 else 0 end)::decimal(28, 12)"
+)
 
 
 @register(f"""

@@ -382,14 +382,23 @@ def dp_vector_sum_missing(spark, folder):
 
 
 def discrete_gaussian_sql(source: str, columns: str, exact: str, label: str, sigma_sq: float, *keys: str) -> str:
-    """``columns`` and noisy ``exact``: the first support point whose distribution function reaches u."""
-    reach = int(-(-10.0 * sigma_sq**0.5 // 1))
+    """``columns`` and noisy ``exact``: the first of many tries with geometric noise that its coin accepts."""
+    width = float(math.floor(sigma_sq**0.5) + 1)
+
+    def uniform(number: int) -> str:
+        text = f"md5(concat_ws('|', '{SEED}', '{label}', 3 * a + {number}, {', '.join(keys)}))"
+        return f"((cast(cast('0x' || substr({text}, 1, 13) as bigint) as double) + {d(0.5)}) / {d(4503599627370496.0)})"
+
+    def one_sided(number: int) -> str:
+        return f"cast(floor(ln({uniform(number)}) / ({d(-1)} / {d(width)})) as bigint)"
+
+    gap = f"(abs(k)::double - {d(sigma_sq)} / {d(width)})"
     return f"""(
-with w as (select unnest(range(-{reach}, {reach} + 1)) as k),
-c as (select k, sum(exp(-(k::double * k::double) / ({d(2)} * {d(sigma_sq)}))) over (order by k) as cum from w),
-t as (select max(cum) as mass from c),
-s as (select *, {u(label, 1, *keys)} as uu from {source})
-select {columns}, {exact} + (select count(*) from c, t where c.cum < s.uu * t.mass) - {reach} as noisy from s)"""
+with s as (select *, row_number() over () as row_of from {source}),
+t as (select *, unnest(range(64)) as a from s),
+g as (select *, {one_sided(1)} - {one_sided(2)} as k, {uniform(3)} as coin from t),
+f as (select row_of, arg_min(k, a) as k from g where coin < exp(-({gap} * {gap}) / ({d(2)} * {d(sigma_sq)})) group by 1)
+select {columns}, {exact} + k as noisy from s join f using (row_of))"""
 
 
 _RHO_SIGMA = 1.0 / (2 * 0.05)

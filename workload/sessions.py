@@ -11,7 +11,7 @@ from hushframe.operators import private as P
 from hushframe.operators.bounding import PrivacyUnit
 from hushframe.operators.keysets import declared_keys
 from hushframe.plans.materialise import new_path
-from hushframe.plans.session import PrivacySession, Query
+from hushframe.plans.session import BudgetExceeded, PrivacySession, Query
 from workload.grids import VALUES, bin_of, quantile_sql
 from workload.registry import register, table
 from workload.sql import NOISE, SEED, clamp, d, geometric, h52, laplace
@@ -96,6 +96,31 @@ def session_resumed(spark, folder):
     return answer.withColumns({"remaining": F.lit(session.remaining), "spends": F.lit(len(session))})
 
 
+@register(f"""
+with k as (select unnest(['A', 'N', 'R']) as l_returnflag),
+c as (select l_returnflag, count(l_orderkey) as n from k left join lineitem using (l_returnflag) group by 1)
+select l_returnflag, n + {geometric('count_rows', d(1 / 0.75), 'l_returnflag')} as "count",
+       0.25::double as left_to_first, 0.25::double as left_to_second, true as second_refused, 1 as spends
+from c
+""")
+def session_two_writers(spark, folder):
+    """Two open sessions of one name share a limit: what one has spent, the other cannot spend again."""
+    lines, path = table(spark, folder, "lineitem"), new_path(spark, "ledger")
+    options = {"noise": NOISE, "name": "lines", "ledger_path": path}
+    first, second = (PrivacySession.from_dataframe(lines, "lines", 1.0, **options) for _ in range(2))
+    query = Query("lines").group_by(declared_keys(spark, {"l_returnflag": ["A", "N", "R"]})).count()
+    answer = first.evaluate(query, 0.75)
+    try:
+        second.evaluate(query, 0.75)
+        refused = False
+    except BudgetExceeded:
+        refused = True
+    return answer.withColumns({
+        "left_to_first": F.lit(first.remaining), "left_to_second": F.lit(second.remaining),
+        "second_refused": F.lit(refused), "spends": F.lit(len(second)),
+    })
+
+
 #: So large that noise of whole numbers is zero and other noise vanishes in rounding.
 EXACT = 1e6
 
