@@ -42,6 +42,11 @@ def _limit(limit: float) -> Column:
     return F.lit(Decimal(repr(float(limit))).quantize(PLACE, ROUND_FLOOR)).cast("decimal(28,12)")
 
 
+def _plain(units: Column) -> Column:
+    """A total of losses, narrow enough that a sum or difference of two keeps all twelve places."""
+    return units.cast("decimal(37,12)")
+
+
 def _amount(units: Column) -> Column:
     return units.cast("double")
 
@@ -75,7 +80,7 @@ def totals(spends: DataFrame, limit: float, measure: str = "epsilon") -> DataFra
     spends is part of the total rho.
     """
     spent = F.sum(_units_of(loss(measure)))
-    left = F.lit(math.inf) if math.isinf(limit) else _amount(_limit(limit) - spent)
+    left = F.lit(math.inf) if math.isinf(limit) else _amount(_limit(limit) - _plain(spent))
     rho = spent if measure == "zcdp" else F.coalesce(F.sum(_units("rho")), F.lit(0))
     epsilon = spent if measure == "epsilon" else F.coalesce(F.sum(_units("epsilon")), F.lit(0))
     return spends.groupBy("session").agg(
@@ -110,7 +115,7 @@ def first_overrun(spends: DataFrame, limit: float, measure: str = "epsilon") ->
         opening = found.select(
             "session",
             F.col("_at").alias("_open"),
-            (F.col("_upto") - F.col("_spent")).cast("decimal(38,12)").alias("_before"),
+            (_plain(F.col("_upto")) - _plain(F.col("_spent"))).alias("_before"),
         )
         inside = scope.drop("_before").withColumn("_open", bucket)
         inside = null_safe_join(inside, opening, ["session", "_open"])
@@ -133,7 +138,7 @@ def _first_crossing(scope: DataFrame, at: Column, limit: float) -> DataFrame:
     """Per session the first bucket ``_at`` in which the total reaches beyond the limit."""
     buckets = scope.groupBy("session", "_before", at.alias("_at")).agg(F.sum("_spent").alias("_spent"))
     upto = F.sum("_spent").over(Window.partitionBy("session").orderBy("_at"))
-    over = buckets.withColumn("_upto", F.col("_before") + upto).filter(_beyond(F.col("_upto"), limit))
+    over = buckets.withColumn("_upto", _plain(F.col("_before")) + _plain(upto)).filter(_beyond(F.col("_upto"), limit))
     first = Window.partitionBy("session").orderBy("_at")
     return over.withColumn("_rank", F.row_number().over(first)).filter(F.col("_rank") == 1).drop("_rank")
 
