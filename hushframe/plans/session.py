@@ -399,7 +399,10 @@ class PrivacySession:
         if self._total_delta([*self._deltas, *deltas]) > self.delta * (1 + 1e-9):
             raise BudgetExceeded(f"{what} needs a delta of {math.fsum(deltas)}, but only {self.remaining_delta} is left")
 
-    def _charge(self, spends: Sequence[tuple[float, str, str, str, float]]) -> None:
+    def _charge(self, amount: float, query: str, mechanism: str, partition: str = "all", delta: float = 0.0) -> None:
+        self._charge_all([(amount, query, mechanism, partition, delta)])
+
+    def _charge_all(self, spends: Sequence[tuple[float, str, str, str, float]]) -> None:
         """Pay for several queries at once: (amount, query, mechanism, partition, delta) of each, all or none."""
         now = datetime.now(timezone.utc)
         rows = []
@@ -468,7 +471,7 @@ class PrivacySession:
         for name, query in queries.items():
             self._check(name, query)
         shares = split_total(budget, {name: (weights or {}).get(name, 1.0) for name in queries})
-        self._charge([(shares[name], f"{q.metric}({q.view})", q.metric, "all", q.delta) for name, q in queries.items()])
+        self._charge_all([(shares[name], f"{q.metric}({q.view})", q.metric, "all", q.delta) for name, q in queries.items()])
         with noting_intermediates(self._intermediate):
             return {name: self._run(query, shares[name]) for name, query in queries.items()}
 
@@ -544,7 +547,7 @@ class PrivacySession:
             df = bound_partitions(df.filter(df[attribute].isin(list(splits.values()))), unit, [attribute])
         if delta and self.measure != "approx":
             raise ValueError(f"a {self.measure} session has no delta")
-        self._charge([(budget * factor, f"partition({view})", "parallel", attribute, delta * factor)])
+        self._charge_all([(budget * factor, f"partition({view})", "parallel", attribute, delta * factor)])
         children = {}
         for name, value in splits.items():
             part = df.filter(F.col(attribute) == F.lit(value))

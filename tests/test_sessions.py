@@ -108,7 +108,7 @@ def test_many_sessions_at_once(spark, rows, tmp_path):
         session = PrivacySession.from_dataframe(rows, "rows", 1.0, **options(tmp_path / "l"))
         for _ in range(3):
             try:
-                session._charge([(0.0625, "q", "m", "all", 0.0)])
+                session._charge_all([(0.0625, "q", "m", "all", 0.0)])
                 paid.append(1)
             except BudgetExceeded:
                 refused.append(1)
