@@ -4,7 +4,7 @@ Rows are dealt by conversation and sorted by turn. Each conversation comes twice
 rows without text, over which a shortest-path automaton runs, then with the texts, to which the cheapest
 edits are applied. The automaton keeps four states (nothing yet, after system, after user, after assistant) with
 their costs and the order of their edit strings, so ties are decided without comparing strings; what it
-has chosen for each row and state goes into three bytes a row. These back pointers leave memory for a file of
+has chosen for each row and state goes into four bytes a row. These back pointers leave memory for a file of
 the task beyond a limit, and texts are hashed as they pass, so a conversation of any length needs little memory.
 
 Whether role and text were seen earlier is told by a grouping with partial sums, whose keys go back to the rows by an
