@@ -174,11 +174,11 @@ def _tail_sql(share: str) -> str:
     return f"{_polynomial_sql(G.TAIL_TOP, x)} / {_polynomial_sql(G.TAIL_BOTTOM, x)}"
 
 
-def _income_sql() -> str:
+def _income_sql(key: str) -> str:
     from statistics import NormalDist
 
     start, stop = NormalDist().cdf(0.6), NormalDist().cdf(3.0)
-    p = f"({d(start)} + {plain_uniform(SEED, chr(39) + 'income' + chr(39), 'c_custkey')} * {d(stop - start)})"
+    p = f"({d(start)} + {plain_uniform(SEED, chr(39) + 'income' + chr(39), key)} * {d(stop - start)})"
     centred = f"({p} - {d(0.5)})"
     square = f"({centred} * {centred})"
     centre = f"{centred} * {_polynomial_sql(G.CENTRE_TOP, square)} / {_polynomial_sql(G.CENTRE_BOTTOM, square)}"
@@ -189,10 +189,38 @@ def _income_sql() -> str:
 @register(f"""
 select c_custkey, floor({plain_uniform(SEED, "'age'", 'c_custkey')} * {d(121)})::int as age,
        round({d(50)} + {plain_uniform(SEED, "'height'", 'c_custkey')} * {d(150)}, 2) as height,
-       round({_income_sql()}, 4) as income from customer
+       round({_income_sql('c_custkey')}, 4) as income from customer
 """)
 def demographics_samples(spark, folder):
     """Age, height and income for each customer."""
     columns = [c.alias(n) for n, c in G.demographics(SEED, "c_custkey", algorithm="md5").items()]
     people = table(spark, folder, "customer").select("c_custkey", *columns)
     return people.withColumn("income", F.round("income", 4))
+
+
+_U1, _U2 = (plain_uniform(SEED, f"'{z}'", "scale", "skew", "id") for z in ("z1", "z2"))
+
+
+@register(f"""
+with s as (select unnest({[float(x) for x in G.SCALES]})::double as scale),
+t as (select unnest({[float(x) for x in G.SKEWS]})::double as skew),
+i as (select unnest(range(n)) as id, n from (select count(*) as n from orders)),
+x as (select *, skew / sqrt(1 + skew * skew) as part, sqrt({d(-2)} * ln({_U1})) as radius, {d(2 * math.pi)} * {_U2} as angle from i, s, t)
+select 'data_' || n || '_' || scale::int || '_' || skew::int || '.csv' as dataset,
+       round(scale * (part * abs(radius * cos(angle)) + sqrt(1 - part * part) * radius * sin(angle)), 2) as "values" from x
+""")
+def skew_normal_datasets(spark, folder):
+    """Every scale and skew as a dataset with as many rows as there are orders."""
+    return G.skew_normal_datasets(spark, table(spark, folder, "orders").count(), SEED, algorithm="md5")
+
+
+@register(f"""
+with i as (select unnest(range(n)) as id from (select count(*) as n from customer))
+select floor({plain_uniform(SEED, "'age'", 'id')} * {d(121)})::int as age,
+       round({d(50)} + {plain_uniform(SEED, "'height'", 'id')} * {d(150)}, 2) as height,
+       round({_income_sql('id')}, 4) as income from i
+""")
+def demographics_table(spark, folder):
+    """A table with as many people as there are customers."""
+    people = G.demographics_table(spark, table(spark, folder, "customer").count(), SEED, algorithm="md5")
+    return people.withColumn("income", F.round("income", 4))
