@@ -104,3 +104,28 @@ def selection_threshold(epsilon: float, delta: float, partitions: int = 1) -> fl
         raise ValueError(f"delta must lie between 0 and 1, got {delta}")
     per_partition = -math.expm1(math.log1p(-delta) / partitions)
     return 1.0 - (partitions / epsilon) * math.log(2.0 * per_partition)
+
+
+def release_chance(units: Column | str, epsilon: float, delta: float, partitions: int = 1) -> Column:
+    """The largest probability with which a key of so many units may be released (Desfontaines, Voss, Gipson, Mandayam 2020).
+
+    It is the solution of p(0) = 0, p(n + 1) = min(e^epsilon p(n) + delta, 1 - e^-epsilon (1 - p(n) - delta), 1): no
+    mechanism that only sees the number of units releases any key more often. A unit in several partitions shares
+    epsilon and delta among them.
+    """
+    if not 0 < delta < 1:
+        raise ValueError(f"delta must lie between 0 and 1, got {delta}")
+    if not epsilon > 0:
+        raise ValueError(f"epsilon must be positive, got {epsilon}")
+    e, d = epsilon / partitions, -math.expm1(math.log1p(-delta) / partitions)
+    growth = math.expm1(e)
+    # the first branch holds up to `turn` units, the second up to `sure`, where its chance reaches 1
+    turn = 1 + math.floor(math.log((growth + 2 * d) / (d * (growth + 2))) / e)
+    at_turn = min(math.expm1(turn * e) / growth * d, 1.0)
+    sure = turn + math.floor(math.log1p(growth / d * (1 - at_turn)) / e)
+    n = _col(units).cast("double")
+    rising = F.expm1(n * F.lit(e)) * F.lit(d / growth)
+    fade = F.exp((F.lit(float(turn)) - n) * F.lit(e))
+    falling = F.lit(1 + d / growth) * (F.lit(1.0) - fade) + fade * F.lit(at_turn)
+    chance = F.when(n <= turn, rising).when(n <= sure, falling).otherwise(F.lit(1.0))
+    return F.when(n <= 0, F.lit(0.0)).otherwise(F.least(chance, F.lit(1.0)))

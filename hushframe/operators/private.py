@@ -14,7 +14,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hushframe.functions.calibration import scale_for, selection_threshold
+from hushframe.functions.calibration import release_chance, scale_for, selection_threshold
 from hushframe.functions.noise import Draw, Noise
 from hushframe.functions.scalars import check_bounds, clamp, grid_steps
 from hushframe.operators.bounding import (
@@ -247,6 +247,21 @@ def select_partitions(
     return noise.add(exact, [draw], by, F.col("noisy_ids") >= F.lit(threshold))
 
 
+def select_partitions_optimal(
+    df: DataFrame, unit: PrivacyUnit, by: Sequence[str], epsilon: float, delta: float, noise: Noise
+) -> DataFrame:
+    """Keys found in private data, each released by a coin with the largest chance that its number of units allows.
+
+    More keys are released than by a noisy count against a threshold, but no count: only the keys. A NULL key is a key.
+    """
+    if unit.column is None:
+        raise ValueError("selecting keys needs a privacy unit column")
+    chance = release_chance("_ids", epsilon, delta, unit.partitions)
+    pairs = contributed_partitions(df, unit, by)
+    exact = pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("_ids"))
+    return noise.settle(exact.filter(noise.coin("selected", by, chance)).select(*by))
+
+
 def dp_sum(
     df: DataFrame, c: Column | str, low: float, high: float, epsilon: float, noise: Noise, **options
 ) -> DataFrame:

@@ -148,13 +148,18 @@ def compose_advanced(spends: DataFrame, slack: float) -> DataFrame:
 
     The smallest of the linear total and the two bounds of Kairouz, Oh and Viswanath (2015).
     """
-    e = _epsilon()
+    return advanced_totals(spends, slack, _epsilon()).drop("_given")
+
+
+def advanced_totals(spends: DataFrame, slack: float, e: Column) -> DataFrame:
+    """The same of the spends whose epsilon ``e`` is not NULL; ``_given`` is their number."""
     sums = spends.groupBy("session").agg(
         F.sum(e).alias("_linear"),
         F.sum(e * e).alias("_squares"),
         F.sum(e * (F.exp(e) - 1) / (F.exp(e) + 1)).alias("_drift"),
-        F.sum(F.log1p(-F.col("delta"))).alias("_log_safe"),
+        F.sum(F.log1p(-F.coalesce("delta", F.lit(0.0)))).alias("_log_safe"),
         F.count(F.lit(1)).alias("spends"),
+        F.count(e).alias("_given"),
     )
     if not 0 <= slack < 1:
         raise ValueError(f"slack must lie in [0, 1), got {slack}")
@@ -166,7 +171,7 @@ def compose_advanced(spends: DataFrame, slack: float) -> DataFrame:
         second = F.col("_drift") + F.sqrt(square * F.log(inner))
         total = F.least(total, first, second)
     delta = F.lit(1.0) - F.lit(1.0 - slack) * F.exp(F.col("_log_safe"))
-    return sums.select("session", total.alias("epsilon"), delta.alias("delta"), "spends")
+    return sums.select("session", total.alias("epsilon"), delta.alias("delta"), "spends", "_given")
 
 
 def parallel_compose(spends: DataFrame, measure: str = "epsilon") -> DataFrame:

@@ -10,6 +10,8 @@ from compare import connect, differences
 
 FOLDER = "/root/testdata/sf0.001"
 SQL = entry.oracle_sql()
+#: Queries that SQL cannot say, with tests of their own elsewhere.
+NO_SQL = {"compose_tight"}
 
 
 @pytest.fixture(scope="module")
@@ -32,4 +34,4 @@ def test_flagship(spark):
 
 
 def test_every_query_has_sql():
-    assert set(SQL) >= set(REGISTRY)
+    assert set(SQL) >= set(REGISTRY) - NO_SQL

@@ -8,6 +8,7 @@ from hushframe.functions import calibration as C
 from hushframe.functions.scalars import label
 from hushframe.operators.bounding import PrivacyUnit
 from hushframe.operators.keysets import declared_keys
+from hushframe.plans import composition as tight
 from hushframe.plans import ledger as L
 from hushframe.plans.session import PrivacySession, Query
 from workload.aggregates import SEGMENTS, discrete_gaussian_sql
@@ -186,6 +187,13 @@ def compose_advanced(spark, folder):
     return composed.withColumns({"epsilon": F.round("epsilon", 9), "delta": F.round("delta", 12)})
 
 
+@register()
+def compose_tight(spark, folder):
+    """Without SQL, which has no Fourier transform; tested against exact sums and integrals."""
+    composed = tight.compose_tight(spends(spark, folder), 1e-3)
+    return composed.withColumns({"epsilon": F.round("epsilon", 9), "delta": F.round("delta", 12)})
+
+
 @register(f"""
 with {SPENDS}, p as (select session, "partition", sum(epsilon::decimal(18, 12)) as e from spends group by 1, 2)
 select session, max(e)::double as epsilon, count(*) as partitions from p group by 1

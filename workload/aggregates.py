@@ -289,6 +289,26 @@ def select_rare_partitions(spark, folder):
     return _rounded(kept, 6, "noisy_ids")
 
 
+_E, _D = 1.0 / 3, 1 - (1 - 1e-3) ** (1 / 3)
+
+
+@register(f"""
+with recursive o as (select o_custkey, o_orderkey, cast(year(o_orderdate) * 100 + month(o_orderdate) as int) as o_month from orders),
+p as (select o_custkey, o_month, row_number() over (partition by o_custkey
+        order by {h52(SEED, 'o_custkey', 'o_month')}, o_month) as pn from (select distinct o_custkey, o_month from o)),
+c as (select o_month, count(*) as n from p where pn <= 3 group by 1),
+chance as (select 0 as n, {d(0)} as p union all
+           select n + 1, least(exp({d(_E)}) * p + {d(_D)}, 1 - exp({d(-_E)}) * (1 - p - {d(_D)}), 1)
+           from chance where n < (select max(n) from c))
+select o_month from c join chance using (n) where {u('selected', 1, 'o_month')} < p
+""")
+def select_partitions_optimal(spark, folder):
+    """The same keys, each by the largest chance of release that its customers allow; SQL runs the recurrence."""
+    month = (F.year("o_orderdate") * 100 + F.month("o_orderdate")).alias("o_month")
+    orders = table(spark, folder, "orders").select("o_custkey", "o_orderkey", month)
+    return P.select_partitions_optimal(orders, CUSTOMER, ["o_month"], 1.0, 1e-3, NOISE)
+
+
 _TYPES = "['click', 'error', 'purchase', 'signup', 'view', 'other']"
 
 
