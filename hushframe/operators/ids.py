@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,26 +15,46 @@ def with_privacy_id(df: DataFrame, name: str = "id") -> DataFrame:
 
 
 def with_line_number(df: DataFrame, name: str = "id") -> DataFrame:
-    """Numbers 1..n without gaps: rows per task are counted, then each task gets an offset.
+    """Numbers 1..n without gaps.
 
-    The task-local numbers are written once, so that a re-computed task cannot shift them. Only one
-    row per task is ordered in one place.
+    The rows of files that know their rows' places (Parquet) are numbered in the order of file names, then places:
+    rows per file are counted from the files alone, and nothing is written. Any other table is numbered in the order of its
+    tasks; its task-local numbers are written once, so that a re-computed task cannot shift them. Only one row
+    per file or task is ordered in one place.
     """
-    tagged = materialise(df.withColumn("_at", F.monotonically_increasing_id()), "line-numbers")
-    task = F.shiftright("_at", 33)
-    position = F.col("_at").bitwiseAND((1 << 33) - 1)
-    sizes = tagged.groupBy(task.alias("_task")).agg(F.count(F.lit(1)).alias("_rows"))
-    before = F.sum("_rows").over(Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select("_task", F.coalesce(before, F.lit(0)).alias("_offset"))
-    numbered = tagged.withColumn("_task", task).join(offsets, "_task")
-    return numbered.select(*df.columns, (F.col("_offset") + position + 1).alias(name))
+    if _rows_of_files(df):
+        meta = df.metadataColumn("_metadata")
+        placed = df.select("*", meta["file_path"].alias("_file"), meta["row_index"].alias("_place"))
+    else:
+        tagged = materialise(df.withColumn("_at", F.monotonically_increasing_id()), "line-numbers")
+        place = F.col("_at").bitwiseAND((1 << 33) - 1)
+        placed = tagged.withColumns({"_file": F.shiftright("_at", 33), "_place": place})
+    sizes = placed.groupBy("_file").agg(F.count(F.lit(1)).alias("_rows"))
+    before = F.sum("_rows").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("_file", F.coalesce(before, F.lit(0)).alias("_offset"))
+    numbered = placed.join(offsets, "_file")
+    return numbered.select(*df.columns, (F.col("_offset") + F.col("_place") + 1).alias(name))
+
+
+def _rows_of_files(df: DataFrame) -> bool:
+    """Whether the rows are all rows of files, each once, and have their places: a scan with columns chosen or computed."""
+    node = df._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "SubqueryAlias"):
+        node = node.child()
+    if node.nodeName() != "LogicalRelation":
+        return False
+    try:
+        df.select(df.metadataColumn("_metadata")["row_index"])
+    except AnalysisException:
+        return False
+    return True
 
 
 def with_unique_id(df: DataFrame, name: str = "id") -> DataFrame:
     """An id from the content of the row, with a copy number that tells equal rows apart.
 
-    Copies are numbered inside spread-out slices of a group and never gathered: the id is the digest,
-    the slice and the position in it, so that a row with very many copies is no hot spot.
+    The id is the digest and the number of the copy. Copies are counted, and numbered inside spread-out slices
+    of the count, so that a row with very many copies is no hot spot.
     """
     digest = F.md5(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}))
     copies = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_copies"))

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -73,6 +74,51 @@ def test_ids(spark):
     assert unique.groupBy("v").count().orderBy("v").collect() == df.groupBy("v").count().orderBy("v").collect()
 
 
+def _written(spark, folder) -> int:
+    return sum(1 for f in Path(folder).rglob("*.parquet"))
+
+
+def test_line_numbers_of_files_write_nothing(spark, tmp_path):
+    """Rows of Parquet files are numbered by file name and place, the same each time; other tables as before."""
+    path = str(tmp_path / "rows")
+    spark.range(1000, numPartitions=9).filter("id >= 30").write.parquet(path)
+    shared = spark.conf.get("spark.checkpoint.dir")
+    files, before = spark.read.parquet(path), _written(spark, shared)
+    numbered = I.with_line_number(files.withColumn("_metadata", F.lit(1)).select((F.col("id") * 2).alias("twice")), "n")
+    first = numbered.collect()
+    assert _written(spark, shared) == before
+    assert sorted(r["n"] for r in first) == list(range(1, 971))
+    assert sorted(first) == sorted(numbered.repartition(3).collect())
+    assert [r["twice"] for r in sorted(first, key=lambda r: r["n"])] == list(range(60, 2000, 2))
+    for other in (files.filter("id % 2 = 0"), files.select(F.explode(F.array("id", "id")).alias("id")), files.limit(7),
+                  files.union(files), files.orderBy("id")):
+        ids = sorted(r["line"] for r in I.with_line_number(other, "line").collect())
+        assert ids == list(range(1, other.count() + 1))
+    files.write.csv(str(tmp_path / "text"))
+    text = spark.read.schema("id bigint").csv(str(tmp_path / "text"))
+    assert sorted(r["line"] for r in I.with_line_number(text, "line").collect()) == list(range(1, 971))
+    assert I.with_line_number(spark.read.parquet(path).limit(0)).count() == 0
+
+
+def test_a_run_tried_again_replaces_its_rows(spark, tmp_path):
+    path = str(tmp_path / "results")
+    schema = "query string, mechanism string, dataset_size bigint, n bigint"
+    one = spark.createDataFrame([("A", "m", 1, 5), ("A", None, 2, 6)], schema)
+    other = spark.createDataFrame([("A", "m", 1, 5)], schema)
+    R.append_results(one, path, "night-1")
+    R.append_results(other, path, "night-2")
+    R.append_results(one, path, "night-1")
+    assert sorted(r["n"] for r in R.read_results(spark, path, schema).collect()) == [5, 5, 6]
+    R.append_results(one.filter("n = 6"), path, "night-1")
+    left = R.read_results(spark, path, schema + ", run_id string").collect()
+    assert sorted((r["run_id"], r["n"]) for r in left) == [("night-1", 6), ("night-2", 5)]
+    R.append_results(other, path)
+    R.append_results(other, path)
+    assert R.read_results(spark, path, schema).count() == 4
+    with pytest.raises(ValueError):
+        R.append_results(one, path, "../elsewhere")
+
+
 def test_keysets(spark):
     a = spark.createDataFrame([(1,), (None,)], "a int")
     b = spark.createDataFrame([("x", 1.5), (None, 2.5)], "b string, c double")
