@@ -27,6 +27,8 @@ from hushframe.plans.materialise import materialise
 CONTEXT = 2048
 #: Pieces that one task packs.
 SHARD = 16384
+#: Tasks that shards are dealt to one to one; more shards than that take turns.
+TASKS = 1 << 15
 #: Words whose ids a worker remembers.
 REMEMBERED = 1 << 19
 
@@ -196,6 +198,8 @@ def pack(
     shards = max(1, -(-total // shard))
     key = unused(pieces, "pack_shard")
     dealt = pieces.withColumn(key, dealt_evenly(shards))
+    tasks = min(shards, TASKS)
+    dealt = dealt.repartitionById(tasks, F.col(key)).sortWithinPartitions(key)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -204,4 +208,16 @@ def pack(
         sequences, offsets = sum_of_squares(rows["length"].to_numpy(np.int64), context)
         return rows.drop(columns=key).assign(sequence_id=sequences * shards + at, offset=offsets)
 
-    return dealt.groupBy(key).applyInPandas(run, schema + ", sequence_id long, offset long")
+    def run_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """One shard after the other, of which a task has several only if there are more shards than tasks."""
+        open_: list[pd.DataFrame] = []
+        for batch in batches:
+            for at, rows in batch.groupby(key, sort=True):
+                if open_ and int(open_[0][key].iloc[0]) != at:
+                    yield run(pd.concat(open_))
+                    open_ = []
+                open_.append(rows)
+        if open_:
+            yield run(pd.concat(open_))
+
+    return dealt.mapInPandas(run_all, schema + ", sequence_id long, offset long")
