@@ -21,6 +21,8 @@ from hushframe.plans.materialise import materialise
 
 #: Bytes of the first round, and how much longer each stretch is than the one before.
 FIRST, GROWTH = 64, 8
+#: Groups with more than one of so many copied rows find their keeper by broadcast: there are fewer of them than this.
+LARGE_PARTS = 1000
 
 
 def squeezed(text: Column) -> Column:
@@ -108,8 +110,8 @@ def exact_classes(
     for number, part in enumerate(ended[1:], 1):
         equal = equal.unionByName(part.withColumn("round", F.lit(number)))
     best = F.min(F.struct((-F.col("points")).alias("p"), F.col("id").isNull().alias("u"), "id", "row")).alias("best")
-    keepers = equal.groupBy("round", "next").agg(best, F.count(F.lit(1)).alias("size"))
-    shared = equal.join(keepers, ["round", "next"]).select(
+    keepers = materialise(equal.groupBy("round", "next").agg(best, F.count(F.lit(1)).alias("size")), "exact-keepers")
+    shared = _with_keepers(equal, keepers).select(
         "id", F.col("best.id").alias("keep_id"), F.col("size").alias("group_size"),
         (F.col("row") == F.col("best.row")).alias("kept"), F.col("sha").alias("text_sha256"),
     )
@@ -123,6 +125,16 @@ def exact_classes(
     return shared.unionByName(alone).withColumnRenamed("id", doc_id)
 
 
+def _with_keepers(equal: DataFrame, keepers: DataFrame) -> DataFrame:
+    """The rows with their group's keeper; rows of large groups stay where they are and meet a broadcast."""
+    key = ["round", "next"]
+    total = keepers.agg(F.sum("size")).first()[0] or 0
+    large = F.broadcast(keepers.filter(F.col("size") * LARGE_PARTS > F.lit(total)))
+    small = keepers.filter(F.col("size") * LARGE_PARTS <= F.lit(total))
+    others = equal.join(large.select(*key), key, "left_anti")
+    return equal.join(large, key).unionByName(others.join(small, key))
+
+
 def drop_exact_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `docs` that stay, with all their columns.
 

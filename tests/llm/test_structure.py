@@ -361,3 +361,45 @@ def test_run_edges(spark):
     assert whole[7].period == 977 and whole[7].collapsed == " ".join(f"w{i}" for i in range(977))
     assert whole[8].collapsed == "same word" and whole[4].collapsed == "a" and whole[5].collapsed == "a a a a a"
     assert periods.periodic_runs(docs.limit(0)).collect() == []
+
+
+def test_shards_of_pieces_have_a_task_each(spark):
+    """Five shards lie in five tasks, each about a fifth; with fewer tasks than shards they take turns."""
+    from hushframe.llm import packing
+
+    rows = spark.range(5000).select(
+        F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.lit(0).alias("piece"), (F.col("id") % 700 + 1).alias("length")
+    )
+    packed = packing.pack(rows, shard=1000)
+    per_task = [r["count"] for r in packed.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(per_task) == 5 and max(per_task) < 1200 and sum(per_task) == 5000
+    tasks = packing.TASKS
+    packing.TASKS = 2
+    try:
+        turns = packing.pack(rows, shard=1000).persist()
+        assert turns.groupBy(F.spark_partition_id()).count().count() == 2
+        shares = turns.groupBy((F.col("sequence_id") % 5).alias("shard")).count().collect()
+        assert len(shares) == 5 and sum(r["count"] for r in shares) == 5000
+        both = [turns, packed]
+    finally:
+        packing.TASKS = tasks
+    for table in both:
+        ends = F.max(F.col("offset") + F.col("length")).alias("end")
+        inside = table.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.min("offset").alias("at"), ends)
+        assert inside.filter("n > 2048 or at <> 0 or end <> n").isEmpty()
+
+
+def test_keepers_of_large_groups_without_a_shuffle_of_their_rows(spark):
+    """Half of the rows are copies of one text; the others have pairs. Every row has its group's size and keeper."""
+    from hushframe.llm.exact import exact_classes
+
+    docs = spark.range(6000).select(
+        F.col("id").alias("doc_id"),
+        F.when(F.col("id") % 2 == 0, F.lit("hot text")).otherwise(F.concat(F.lit("t"), F.floor(F.col("id") / 4))).alias("text"),
+    )
+    found = {r["doc_id"]: r for r in exact_classes(docs).collect()}
+    assert len(found) == 6000
+    for i, r in found.items():
+        wanted = (0, 3000) if i % 2 == 0 else (i - i % 4 + 1, 2)
+        assert (r["keep_id"], r["group_size"], r["kept"]) == (*wanted, i == wanted[0])
+    assert exact_classes(docs.limit(0)).count() == 0
