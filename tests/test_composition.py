@@ -14,6 +14,7 @@ from hushframe.functions.noise import SecureNoise, SeededNoise
 from hushframe.operators import private as P
 from hushframe.operators.bounding import PrivacyUnit
 from hushframe.plans import ledger as L
+from hushframe.plans import composition as tight
 from hushframe.plans.composition import compose_tight, tight_epsilon
 
 LEDGER = "session string, mechanism string, epsilon double, delta double, rho double"
@@ -85,6 +86,26 @@ def test_mixed_spends_against_integrals():
     assert two(found * 0.999) > 1e-4 >= two(found) * 0.999
 
 
+def test_a_session_of_many_sizes_costs_one_transform(monkeypatch):
+    """A Gaussian spend leaves few frequencies, at which all other spends are known in closed form."""
+    calls = []
+    for name in ("rfft", "irfft"):
+        whole = getattr(np.fft, name)
+        monkeypatch.setattr(np.fft, name, lambda *given, whole=whole: calls.append(1) or whole(*given))
+    spends = [("laplace", 0.01 + 0.001 * i, 1) for i in range(60)] + [("pure", 0.02, 3), ("gaussian", 0.2, 2), ("gaussian", 0.1, 1)]
+    found = tight_epsilon(spends, 1e-5)
+    assert len(calls) == 1
+    monkeypatch.undo()
+    step = 0.002
+    total = tight.gaussian_losses(0.3, step)
+    mass, low = total.mass, total.low
+    for kind, size, count in spends[:61]:
+        one = tight.Spends([kind], [size], step).losses(0)
+        for _ in range(count):
+            mass, low = np.convolve(mass, one.mass), low + one.low
+    assert found == pytest.approx(tight.Losses(low, mass, total.lost).epsilon(1e-5, step), rel=1e-4)
+
+
 def test_more_spends_cost_more():
     totals = [tight_epsilon([("laplace", 0.01, n)], 1e-5) for n in (1, 10, 100, 10_000, 1_000_000)]
     assert totals == sorted(totals) and totals[0] <= 0.0101
