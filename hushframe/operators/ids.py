@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,10 +34,27 @@ def with_line_number(df: DataFrame, name: str = "id") -> DataFrame:
     sizes = placed.groupBy("_file").agg(F.count(F.lit(1)).alias("_rows"))
     before = F.sum("_rows").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sizes.select("_file", F.coalesce(before, F.lit(0)).alias("_offset"))
-    numbered = placed.join(offsets, "_file")
+    numbered = placed.join(F.broadcast(offsets), "_file")
     return numbered.select(*df.columns, (F.col("_offset") + F.col("_place") + 1).alias(name))
 
 
+def id_statistics(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """name, n (ids that are not null), first, last, ids (different ones) per column of whole numbers.
+
+    A group is a run of 64 neighbouring numbers with a bit for each, so dense ids need memory for one group in 64 rows.
+    """
+    each = [F.struct(F.lit(name).alias("name"), F.col(name).cast("bigint").alias("id")) for name in names]
+    ids = df.select(F.inline(F.array(*each))).filter(F.col("id").isNotNull())
+    bit = F.expr("shiftleft(1L, CAST(id & 63 AS INT))")
+    runs = ids.groupBy("name", F.shiftright("id", 6).alias("run")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("id").alias("first"), F.max("id").alias("last"), F.bit_or(bit).alias("bits")
+    )
+    return runs.groupBy("name").agg(
+        F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"),
+        F.sum(F.bit_count("bits").cast("bigint")).alias("ids"),
+    )
+
+
 def _rows_of_files(df: DataFrame) -> bool:
     """Whether the rows are all rows of files, each once, and have their places: a scan with columns chosen or computed."""
     node = df._jdf.queryExecution().analyzed()

@@ -15,6 +15,7 @@ from hushframe.functions.noise import SeededNoise
 from hushframe.sources import generators as G
 from hushframe.sources import results as R
 from hushframe.sources import tables as T
+from workload import REGISTRY
 
 
 def test_folder_of_files(spark, tmp_path):
@@ -100,6 +101,17 @@ def test_line_numbers_of_files_write_nothing(spark, tmp_path):
     assert I.with_line_number(spark.read.parquet(path).limit(0)).count() == 0
 
 
+def test_id_statistics(spark):
+    """Repeated, negative, far and null ids; one group per 64 neighbours, no group per id."""
+    ids = [0, 63, 64, 64, -1, -64, -65, 2**62, None]
+    df = spark.createDataFrame([(i, 5) for i in ids], "a bigint, b int")
+    got = {r["name"]: tuple(r)[1:] for r in I.id_statistics(df, ["a", "b"]).collect()}
+    assert got == {"a": (8, -65, 2**62, 7), "b": (9, 5, 5, 1)}
+    assert I.id_statistics(df.limit(0), ["a", "b"]).count() == 0
+    plan = REGISTRY["privacy_ids"].run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "distinct" not in plan and "Expand" not in plan
+
+
 def test_a_run_tried_again_replaces_its_rows(spark, tmp_path):
     path = str(tmp_path / "results")
     schema = "query string, mechanism string, dataset_size bigint, n bigint"

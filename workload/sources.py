@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from hushframe.operators.ids import with_line_number, with_privacy_id
+from hushframe.operators.ids import id_statistics, with_line_number, with_privacy_id
 from hushframe.plans.materialise import new_path
 from hushframe.sources import generators as G
 from hushframe.sources import results as R
@@ -136,9 +136,12 @@ def privacy_ids(spark, folder):
     """Numbers without gaps, and cheaper ids that are only distinct."""
     lines = table(spark, folder, "lineitem").select("l_orderkey")
     numbered = with_line_number(with_privacy_id(lines, "loose"), "id")
-    return numbered.agg(
-        F.count("*").alias("n"), F.min("id").alias("first"), F.max("id").alias("last"),
-        F.countDistinct("id").alias("ids"), F.countDistinct("loose").alias("loose_ids"),
+    found = id_statistics(numbered, ["id", "loose"])
+    one = lambda name, column: F.max(F.when(F.col("name") == name, F.col(column)))
+    return found.agg(
+        F.coalesce(one("id", "n"), F.lit(0)).alias("n"), one("id", "first").alias("first"),
+        one("id", "last").alias("last"), F.coalesce(one("id", "ids"), F.lit(0)).alias("ids"),
+        F.coalesce(one("loose", "ids"), F.lit(0)).alias("loose_ids"),
     )
 
 
