@@ -106,6 +106,51 @@ def test_a_session_of_many_sizes_costs_one_transform(monkeypatch):
     assert found == pytest.approx(tight.Losses(low, mass, total.lost).epsilon(1e-5, step), rel=1e-4)
 
 
+def test_a_session_without_gaussian_spends_costs_no_transform(monkeypatch):
+    """Spends of many sizes are added up on the grid; the result is that of plain convolutions."""
+    for name in ("rfft", "irfft"):
+        monkeypatch.setattr(np.fft, name, lambda *given: pytest.fail("a transform"))
+    spends = [("laplace" if i % 4 else "pure", 0.005 + 0.004 * i, 1 + (i % 9 == 0)) for i in range(30)]
+    spends += [("laplace", 1e-7, 2), ("pure", 1e-7, 1), ("laplace", 0.25, 1)]
+    step = math.sqrt(math.fsum(n * x * x for _, x, n in spends)) / tight.FINE
+    mass, low = np.ones(1), 0
+    for kind, size, count in spends:
+        one = tight.Spends([kind], [size], step).losses(0)
+        for _ in range(count):
+            mass, low = np.convolve(mass, one.mass), low + one.low
+    for slack in (0.3, 1e-3, 1e-7):
+        assert tight_epsilon(spends, slack) == pytest.approx(tight.Losses(low, mass, 0.0).epsilon(slack, step), rel=1e-5 * 1e-7 / slack + 1e-9)
+    assert tight_epsilon(spends, 0.99) == 0.0
+
+
+@pytest.mark.parametrize(("kind", "size", "count"), [("pure", 1.0, 40), ("pure", 0.05, 400), ("laplace", 6.0, 20), ("pure", 0.2, 150)])
+def test_spends_of_one_size_in_both_ways(kind, size, count):
+    """Added up one by one and by transforms; both err upwards."""
+    step = math.sqrt(count * size * size) / tight.FINE
+    one_by_one = tight_epsilon([(kind, size, count)], 1e-5)
+    assert one_by_one == pytest.approx(tight.composed(0.0, [(kind, size, count)], step, 1e-14).epsilon(1e-5, step), rel=1e-6)
+    if kind == "pure":
+        chances = [math.lgamma(count + 1) - math.lgamma(k + 1) - math.lgamma(count - k + 1) for k in range(count + 1)]
+        parts = [((2 * k - count) * size, c - k * math.log1p(math.exp(-size)) - (count - k) * math.log1p(math.exp(size))) for k, c in enumerate(chances)]
+        delta = math.fsum(math.exp(c) * -math.expm1(one_by_one - loss) for loss, c in parts if loss > one_by_one)
+        assert 0.99e-5 < delta <= 1e-5
+
+
+def test_sessions_that_go_on_in_the_next_batch(spark):
+    rows = [(s, "laplace", 0.01 * (1 + i), 0.0, None) for s in (7, None, 3, 9) for i in range(s or 2)]
+    ledger = spark.createDataFrame(rows, LEDGER.replace("string", "int", 1))
+    whole = {r["session"]: r["epsilon"] for r in tight.compose_losses(ledger, 1e-5).collect()}
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        cut = tight.compose_losses(ledger, 1e-5)
+        assert cut.schema["session"].dataType == ledger.schema["session"].dataType
+        assert {r["session"]: r["epsilon"] for r in cut.collect()} == whole
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert set(whole) == {7, None, 3, 9} and whole[9] > whole[7] > whole[3] > whole[None] > 0
+
+
 def test_more_spends_cost_more():
     totals = [tight_epsilon([("laplace", 0.01, n)], 1e-5) for n in (1, 10, 100, 10_000, 1_000_000)]
     assert totals == sorted(totals) and totals[0] <= 0.0101
