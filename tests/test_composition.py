@@ -136,6 +136,20 @@ def test_spends_of_one_size_in_both_ways(kind, size, count):
         assert 0.99e-5 < delta <= 1e-5
 
 
+@pytest.mark.parametrize(("size", "count"), [(23.0, 30), (23.5, 29), (24.0, 29), (12.0, 58), (1.4, 499)])
+def test_totals_near_the_largest_loss(size, count):
+    """No overflow; where all losses but the largest are rare, epsilon is the total, up to the grid."""
+    found = tight_epsilon([("pure", size, count)], 1e-6)
+    assert size * count * 0.5 < found <= size * count * (1 + 1e-3)
+    assert found == pytest.approx(size * count, rel=1e-3) or size < 12
+
+
+@pytest.mark.parametrize("slack", [1e-12, 3e-13, 1e-13])
+def test_slack_near_the_rounding(slack):
+    spends = [("laplace", 0.01 * (i + 1), 1) for i in range(12)]
+    assert tight_epsilon(spends, 1e-9) < tight_epsilon(spends, slack)
+
+
 def test_sessions_that_go_on_in_the_next_batch(spark):
     rows = [(s, "laplace", 0.01 * (1 + i), 0.0, None) for s in (7, None, 3, 9) for i in range(s or 2)]
     ledger = spark.createDataFrame(rows, LEDGER.replace("string", "int", 1))
